@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import packing, pieces, quality
+from tokenloom.llm import lm, packing, pieces, quality
 from tokenloom.llm.common import documents
 from tokenloom.llm.oracles import ORACLES
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.deleted_interpolation(documents(spark, sf_dir))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), piece_model())
 
@@ -30,7 +34,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_pieces, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
