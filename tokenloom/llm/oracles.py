@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tokenloom.llm import secrets
 from tokenloom.llm.quality import RULES, STOP_WORDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +24,49 @@ def _broken() -> str:
     return f"list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL)"
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _secrets() -> str:
+    """Spans from split parts and matches; entropies directly from each window, not incrementally."""
+
+    def matches(kind: str, order: int, pattern: str, where: str, base: bool) -> str:
+        p = _quoted(pattern)
+        return f"""
+  SELECT rid, {order} AS o, '{kind}' AS kind, {base} AS base, s AS start, s + length(m) AS stop, m FROM (
+    SELECT rid, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)::BIGINT)) AS s
+    FROM (SELECT rid, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS ps FROM d)
+  ) WHERE {where}"""
+
+    parts = [
+        matches("assign", 0, secrets.ASSIGN, f"length(regexp_extract(m, {_quoted(secrets.ASSIGN)}, 2)) >= 6", True),
+        matches("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20", True),
+        matches("hex", 2, "[0-9a-f]+", "length(m) >= 24", True),
+    ]
+    for k, c in enumerate(secrets.CLASSES, 3):
+        tests = [f"regexp_matches(m, {_quoted(n)})" for n in c.needs] + [f"NOT regexp_matches(m, {_quoted(a)})" for a in secrets.ALLOWED]
+        w = f"list_max(list_transform(range(1, length(m) - {c.window} + 2), lambda i: list_aggregate(string_split(substr(m, i, {c.window}), ''), 'entropy')))"
+        tests.append(f"round({w}, 9) >= {c.bits}")
+        parts.append(matches(c.name, k, c.pattern, " AND ".join(tests), False))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({' UNION ALL '.join(parts)}),
+f AS (SELECT * FROM s WHERE base OR NOT EXISTS (SELECT 1 FROM s AS b WHERE b.base AND b.rid = s.rid AND b.start < s.stop AND s.start < b.stop)),
+g AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (base), '') AS b,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans
+  FROM f GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
 ORACLES = {
+    "op4_secrets": _secrets(),
     "op10_quality": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import lm, minhash, packing, pieces, quality
+from tokenloom.llm import lm, minhash, packing, pieces, quality, secrets
 from tokenloom.llm.common import documents
 from tokenloom.llm.oracles import ORACLES
 
@@ -29,6 +29,10 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), piece_model())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=2)
 
@@ -38,7 +42,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op8_minhash, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op8_minhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
