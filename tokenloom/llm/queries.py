@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import lm, minhash, packing, pieces, quality, secrets
+from tokenloom.llm import language, lm, minhash, packing, pieces, pii, quality, secrets
 from tokenloom.llm.common import documents
 from tokenloom.llm.oracles import ORACLES
 
@@ -33,16 +33,24 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=2)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op8_minhash, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op5_pii, op8_minhash, op9_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
