@@ -4,12 +4,13 @@ Two permutations of the 32-bit universe make all coordinates of a signature: sig
 k is the least value of pi shifted circularly by k over them. Bands of ``BAND_ROWS`` coordinates give bucket keys.
 
 Texts with the same shingle set form a class and are carried by its smallest id, so exact copies cost one row each.
-Within a bucket, classes are linked in two steps, neither of which expands a group into its pairs:
+Within a bucket, classes are linked in three steps, none of which expands a group into its pairs:
 1. every class is verified against the bucket's smallest (a star), and the verified links are joined into components;
-2. only buckets that still hold several components are searched for further pairs, across components, filtered by size
-   and by one bit of each coordinate before anything is emitted, and verified on the full sets.
+2. in buckets that still hold several components, classes are verified against a few random hubs of other components;
+3. what is then left is searched for all further pairs, across components only.
+Steps 2 and 3 filter pairs by size and by four bits of each coordinate before anything is emitted.
 Verification is exact, on 64-bit shingle hashes of the whole texts. Banding misses a pair of similarity s with
-probability (1 - s^5)^40: 1.3e-7 at 0.8; the bit filter, below 1e-9.
+probability (1 - s^5)^40: 1.3e-7 at 0.8; the bit filter, about 1e-8.
 
 Defined results: texts without words (null too) have the empty set and are linked with nothing; fewer words than the
 width make one shingle, the whole sequence; rows with a null id are linked with nothing and kept, with a null component;
@@ -19,7 +20,7 @@ rows that repeat an id get the component of their own text. An empty table gives
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -33,8 +34,10 @@ from tokenloom.llm.components import components
 
 BANDS, BAND_ROWS = 40, 5
 COORDINATES = BANDS * BAND_ROWS
-#: Bits of 200 that may differ: at similarity 0.8, 20 are expected; 48 is 6.6 standard deviations above.
-DIFFER = 48
+#: Of 200 coordinates, so many may differ in their last PLANES bits: at similarity 0.8, 37.5 do; 72 is 6.2 deviations above.
+PLANES, DIFFER = 4, 72
+#: Random hubs of each bucket in the second step.
+HUBS = 3
 SEEDS = (0x9E3779B9, 0x85EBCA77)
 SIGNED = "doc_id bigint, n_shingles bigint, class string, bands array<bigint>, bits array<bigint>"
 
@@ -95,8 +98,10 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def one_bits(sig: np.ndarray) -> np.ndarray:
-    return np.packbits(np.pad((sig & np.uint32(1)).astype(np.uint8), (0, -len(sig) % 64))).view(np.int64)
+def planes(sig: np.ndarray) -> np.ndarray:
+    """The last bits of the coordinates, a plane of 64-bit words for each bit."""
+    bits = (sig[None] >> np.arange(PLANES, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.uint8)
+    return np.packbits(np.pad(bits, ((0, 0), (0, -len(sig) % 64))), axis=1).view(np.int64).ravel()
 
 
 def _sign(width: int):
@@ -108,7 +113,7 @@ def _sign(width: int):
                 for i, s in zip(part["doc_id"], shingle_sets(list(part["text"]), width), strict=True):
                     if len(s):
                         sig = signature(s)
-                        rows.append((i, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), bands(sig), one_bits(sig)))
+                        rows.append((i, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), bands(sig), planes(sig)))
                     else:
                         rows.append((i, 0, None, None, None))
                 out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "bands", "bits"])
@@ -133,15 +138,37 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _close(x: str, y: str, percent: int) -> Column:
+    """Sizes and coordinates that allow the similarity."""
+    words = -(-COORDINATES // 64)
+    differ = F.lit(0)
+    for w in range(words):
+        mixed = [F.get(f"{x}.bits", F.lit(p * words + w)).bitwiseXOR(F.get(f"{y}.bits", F.lit(p * words + w))) for p in range(PLANES)]
+        any_bit = mixed[0]
+        for m in mixed[1:]:
+            any_bit = any_bit.bitwiseOR(m)
+        differ = differ + F.bit_count(any_bit)
+    return _alike(F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles"), percent) & (differ <= DIFFER)
+
+
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.greatest(f"{x}.node", f"{y}.node").alias("a"), F.least(f"{x}.node", f"{y}.node").alias("b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInPandas(_sets(width), "node bigint, shingles array<bigint>")
     both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
+def _undecided(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, component, x: node, n_shingles, bits) of the buckets that hold several components."""
+    known = shared.join(found, "node", "left").select("band", F.coalesce("component", "node").alias("component"), F.struct("node", "n_shingles", "bits").alias("x"))
+    split = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    return cut(known.join(split, "band", "left_semi"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links) and kept (it is that id)."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
@@ -149,27 +176,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = signed.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = named.groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "bits")).alias("c"))
     classes = cut(classes.select("class", F.col("c.doc_id").alias("node"), "c.n_shingles", "c.bands", "c.bits"))
-    texts = docs.withColumnRenamed("doc_id", "node")
 
-    placed = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
-    hubs = placed.groupBy("band").agg(F.min(F.struct("node", "n_shingles")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
+    placed = classes.select("node", F.explode("bands").alias("band"))
+    hubs = placed.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     shared = cut(placed.join(hubs, "band"))
-    star = shared.where((F.col("node") != F.col("hub.node")) & _alike(F.col("n_shingles"), F.col("hub.n_shingles"), percent))
-    tried = cut(star.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
-    links = cut(_verified(tried, texts, width, percent))
-    first = components(links.toDF("u", "v"))
-
-    left = shared.select("band", "node", "n_shingles").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = left.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    left = cut(left.join(split, "band", "left_semi").join(classes.select("node", "bits"), "node"))
-    names = ("node", "n_shingles", "component", "bits")
-    x, y = (left.select("band", *(F.col(c).alias(f"{p}_{c}") for c in names)) for p in "xy")
-    differ = sum((F.bit_count(F.get("x_bits", F.lit(i)).bitwiseXOR(F.get("y_bits", F.lit(i)))) for i in range(-(-COORDINATES // 64))), F.lit(0))
-    near = x.join(y, (x["band"] == y["band"]) & (F.col("x_component") < F.col("y_component")) & _alike(F.col("x_n_shingles"), F.col("y_n_shingles"), percent) & (differ <= DIFFER))
-    more = near.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    further = _verified(cut(more), texts, width, percent)
-    found = components(links.union(further).toDF("u", "v")) if further.head(1) else first
-
+    met = shared.select("node").distinct()
+    texts = docs.withColumnRenamed("doc_id", "node").join(met, "node", "left_semi")
+    sets = cut(texts.mapInPandas(_sets(width), "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+
+    tried = cut(shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    links = cut(_verified(tried, sets, percent))
+    found = components(links.toDF("u", "v"))
+    shared = shared.select("band", "node").join(classes.select("node", "n_shingles", "bits"), "node")
+
+    def link(candidates: Callable[[DataFrame], DataFrame]) -> None:
+        nonlocal tried, links, found
+        left = _undecided(shared, found)
+        fresh = candidates(left).where(_close("x", "y", percent)).select(*_pair("x", "y")).distinct()
+        fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(fresh)
+        further = cut(_verified(fresh, sets, percent))
+        if further.head(1):
+            links = links.union(further)
+            found = components(links.toDF("u", "v"))
+
+    def some(left: DataFrame) -> DataFrame:
+        draw = [F.min_by(F.struct("component", "x"), F.xxhash64("x.node", "band", F.lit(k))) for k in range(HUBS)]
+        hubs = left.groupBy("band").agg(F.array(*draw).alias("hubs")).select("band", F.explode("hubs").alias("h"))
+        hubs = hubs.select("band", F.col("h.component").alias("other"), F.col("h.x").alias("y"))
+        return left.join(hubs, "band").where("component != other")
+
+    def every(left: DataFrame) -> DataFrame:
+        return left.join(left.select("band", F.col("component").alias("other"), F.col("x").alias("y")), "band").where("component < other")
+
+    link(some)
+    link(every)
     of_class = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
