@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tokenloom.llm import language, lm, minhash, packing, pieces, pii, quality, secrets
-from tokenloom.llm.common import documents
+from tokenloom.llm import language, lm, minhash, neighbours, packing, pieces, pii, quality, secrets, toxicity
+from tokenloom.llm.common import documents, table
 from tokenloom.llm.oracles import ORACLES
 
 
@@ -37,6 +38,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=2)
 
@@ -50,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op5_pii, op8_minhash, op9_language, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op5_pii, op6_neighbours, op7_toxicity, op8_minhash, op9_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

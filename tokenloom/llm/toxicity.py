@@ -242,7 +242,7 @@ class Model:
         return _sigmoid(self.slope * np.maximum.reduceat(got, starts).astype(float) + self.shift)
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 4, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Model:
+def train(texts: list[str], labels: np.ndarray, share: float | None = None, rounds: int = 4, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Model:
     labels = np.asarray(labels, int)
     if len(set(labels.tolist())) < 2:
         return Model(None, None, 0.0, float(labels.mean()) if len(labels) else 0.0)
@@ -255,7 +255,6 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, batch: int = 25
     flat, starts = np.concatenate(windows), np.cumsum([0, *map(len, windows)])
     net, state = Network(seed), {}
     now = inputs[flat][:, :, :-1].max(1).sum(1)  # before the first round: by the inputs alone
-    share = labels.mean()
     for k in range(rounds):
         at, y = [], []
         for i, label in enumerate(labels):
@@ -275,9 +274,10 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, batch: int = 25
                 net.step(net.backward(keep, (weight[pick] * (_sigmoid(out) - y[pick])).astype(np.float32) / len(pick)), rate / (1 + k), state)
         now = logits(net, inputs, flat)
     top = np.maximum.reduceat(now, starts[:-1]).astype(float)
-    slope, shift = 1.0, 0.0
-    for _ in range(500):  # calibration of the largest logit
-        d = (_sigmoid(slope * top + shift) - labels) * np.where(labels, 0.5 / share, 0.5 / (1 - share))
+    slope, shift, here = 1.0, 0.0, labels.mean()
+    share = here if share is None else share
+    for _ in range(2000):  # calibration of the largest logit, with the labels' shares of all labelled rows
+        d = (_sigmoid(slope * top + shift) - labels) * np.where(labels, share / here, (1 - share) / (1 - here))
         slope, shift = max(0.05, slope - 0.05 * float((d * top).mean())), shift - 0.2 * float(d.mean())
     return Model(learn_odds(v, np.arange(len(texts)), labels), net, slope, shift)
 
@@ -291,7 +291,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)  # about `sample` rows, so it may be broadcast
     docs = df.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     got = docs.join(F.broadcast(few), "doc_id").toPandas().sort_values(["doc_id", "text", "label"])
-    return train(list(got["text"]), got["label"].to_numpy())
+    return train(list(got["text"]), got["label"].to_numpy(), sizes.get(1, 0) / max(1, sum(sizes.values())))
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 128) -> DataFrame:
