@@ -328,7 +328,7 @@ def early_stopping_step(spark, sf_dir):
     return _rounded(grid.early_stop(held, ["config", "seed"]))
 
 
-_NAMES = ("spidr_base_lstm_h1024_l3_d0.1_feb12", "mhubert_gpt2_e768_l12_h12_mar01", "hubert-500_lstm_h256_l2_d0.0", "spidr_base_gpt2_lstm_h64", "notes", "a_lstm")
+_NAMES = ("base_lstm_h1024_l3_d0.1_feb12", "multi_gpt2_e768_l12_h12_mar01", "units-500_lstm_h256_l2_d0.0", "base_gpt2_lstm_h64", "notes", "a_lstm")
 _VALUES = ", ".join(f"('{n}', {0.5 + i / 100})" for i, n in enumerate(_NAMES))
 _INFO = f"""m AS (SELECT n AS filename, a::DOUBLE AS accuracy, CASE WHEN n LIKE '%lstm%' THEN 'lstm' WHEN n LIKE '%gpt2%' THEN 'gpt2' ELSE 'unknown' END AS arch,
   CASE WHEN n LIKE '%lstm%' THEN string_split(n, '_lstm')[1] WHEN n LIKE '%gpt2%' THEN string_split(n, '_gpt2')[1] END AS encoder,
