@@ -1,0 +1,100 @@
+"""Packing against exhaustive search, quality rules against plain counting, pieces against the library."""
+
+import hashlib
+import itertools
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tokenloom.llm import packing, pieces, quality
+from tokenloom.llm.common import documents
+from tokenloom.llm.queries import piece_model
+
+from .conftest import SF
+
+
+def padding(lengths, edges):
+    return sum(min(e for e in edges if e >= n) - n for n in lengths)
+
+
+def test_boundaries_are_optimal():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        lengths = rng.integers(0, 30, rng.integers(1, 25))
+        tops, counts = np.unique(lengths, return_counts=True)
+        for k in (1, 2, 3, 4):
+            edges = packing.optimal_boundaries(tops.astype(float), counts.astype(float), tops * counts.astype(float), k)
+            best = min(padding(lengths, [*c, tops[-1]]) for r in range(k) for c in itertools.combinations(tops[:-1], r))
+            assert len(edges) <= k and padding(lengths, edges) == best
+    assert packing.optimal_boundaries(np.array([]), np.array([]), np.array([]), 3) == []
+
+
+def test_batches_keep_the_budget(spark, docs_of):
+    df = documents(spark, SF)
+    got = packing.pack(df, token_budget=4000).collect()
+    count = {r.doc_id: len((r.text or "").split()) for r in df.collect()}
+    assert {r.doc_id: r.n_tokens for r in got} == count
+    slots, lens = defaultdict(list), {}
+    for r in got:
+        assert r.padding == r.bucket_len - r.n_tokens >= 0
+        slots[r.bucket, r.batch].append(r.slot)
+        lens[r.bucket] = r.bucket_len
+    assert len(lens) <= 16 and sorted(lens.values()) == [lens[b] for b in sorted(lens)]
+    for (b, n), s in slots.items():
+        assert sorted(s) == list(range(len(s))) and (len(s) == 1 or len(s) * lens[b] <= 4000)
+        last = max(k for x, k in slots if x == b)
+        assert n == last or len(s) == max(1, 4000 // lens[b])
+    odd = packing.pack(docs_of([(1, None), (2, ""), (None, "a b"), (3, "a " * 100_000), (3, "a " * 100_000)])).collect()
+    assert sorted(r.n_tokens for r in odd) == [0, 0, 2, 100_000, 100_000] and packing.pack(docs_of([])).count() == 0
+
+
+def plain(text):
+    text = text or ""
+    words = [w for w in text.encode().split()]
+    chars = [w.decode() for w in words]
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    return len(words), sum(map(len, chars)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(docs_of):
+    rng = random.Random(6)
+    texts = [None, "", " \n\t", "a\n a\na", "x | y\r\nx | y\r\n\x0b", "é " * 19, "é " * 20, "w " * 3000]
+    for _ in range(60):
+        texts.append("".join(rng.choice(["the ", "of ", "a", "\n", "##", " ", "\xa0", "b c d e f g h i ", "\t"]) for _ in range(rng.randrange(60))))
+    rows = [*enumerate(texts), (None, "z"), (3, texts[3])]
+    got = quality.quality_rules(docs_of(rows)).collect()
+    shown = sorted((r.doc_id is None, r.doc_id or 0, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words), r.base_failed) for r in got)
+    want = sorted((i is None, i or 0, p := plain(t), p[0] < 20 or 100 * p[4] > 30 * p[0]) for i, t in rows)
+    assert shown == want and all(not (r.base_failed and r.kept) and r.kept == (not r.base_failed and not r.broken_rules) for r in got)
+    assert quality.quality_rules(docs_of([])).count() == 0
+    assert quality.keep_good(docs_of(rows)).count() == sum(r.kept for r in got)
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.load(piece_model())
+
+
+def test_pieces_are_the_library(model):
+    rng = random.Random(1)
+    texts = ["", " ", "  ", "   a", "a  b", "\n", "\n\nx \ny", " ▁x", "▁", "é漢字🙂 ok", "a\x00b", "<s> </s> <0x41>", "\t tab", "a" * 200, " " * 40 + "z", " \n", "x" * 70_000]
+    texts += ["".join(rng.choice(" ▁\n\tabéthein漢🙂.,") for _ in range(rng.randrange(40))) for _ in range(1500)]
+    for t in texts:
+        ids = model.library.encode(t)
+        assert model.encode(t) == ids and model.decode(ids) == model.library.decode(ids), t
+    for _ in range(1500):
+        ids = [rng.choice([0, 1, 2, rng.randrange(3, 259), rng.randrange(3, 259), rng.randrange(259, 32000), 259]) for _ in range(rng.randrange(8))]
+        assert model.decode(ids) == model.library.decode(ids), ids
+
+
+def test_piece_rows(spark, docs_of, model):
+    rows = [(r.doc_id, r.text) for r in documents(spark, SF).select("doc_id", "text").collect()] + [(-1, None), (-2, ""), (None, "x ▁ y"), (-3, "word. " * 20_000)]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {i: (len(ids := model.library.encode(t or "")), sha(",".join(map(str, ids))), sha(model.library.decode(ids))) for i, t in rows}
+    assert {r.doc_id: tuple(r)[1:] for r in pieces.encode_decode(docs_of(rows), piece_model()).collect()} == want
+    few = pieces.token_ids(docs_of([(1, "Hello  world"), (2, None)]), piece_model()).collect()
+    assert {r.doc_id: (r.ids, r.decoded) for r in few} == {1: (model.library.encode("Hello  world"), "Hello  world"), 2: ([], "")}
