@@ -6,7 +6,8 @@ the original vectors in the order of projected distance. The squared ratio of pr
 distributed, so the search of a block stops once a point nearer than the k-th best would, with probability ``sure``,
 have been met. Equal vectors of a block are indexed once, with their smallest ids, so ties are exact.
 
-All rows are indexed. Query chunks meet candidate blocks by their ids; what is held at a time is one block and one chunk.
+All rows are indexed. A hash deals them to blocks of about BLOCK_ROWS; each query row is sent to every block, behind the
+block's own rows, and searched as it streams by, so a task holds one block.
 Cosines are computed in double precision on the original vectors.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, take
@@ -24,10 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import cut
-
 DIRECTIONS, LEAF = 8, 64
-BLOCK_ROWS, CHUNK_ROWS = 16_384, 512
+BLOCK_ROWS = 8192
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -108,57 +107,38 @@ class Block:
         return best
 
 
-def _cut_up(rows: int):
-    """(part, dim, number, ids, matrix) of at most ``rows`` vectors of one dimension."""
+def _searched(k: int, sure: float):
+    """Rows come sorted by (dim, block, asked): a block's vectors, then the queries that meet it. One block is held at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
-        number, part = 0, 0
-
-        def sealed(dim: int) -> pd.DataFrame:
-            nonlocal number
-            got = held.pop(dim)
-            number += 1
-            return pd.DataFrame([((part << 32) + number, dim, np.array([i for i, _ in got], np.int64).tobytes(), np.stack([v for _, v in got]).tobytes())], columns=["number", "dim", "ids", "matrix"])
-
+        here, ids, vectors, block = None, [], [], None
         for f in frames:
-            for i, v, p in zip(f["vec_id"], f["embedding"], f["part"], strict=True):
-                part, dim = int(p), len(v)
-                held.setdefault(dim, []).append((int(i), np.asarray(v, np.float64)))
-                if len(held[dim]) == rows:
-                    yield sealed(dim)
-        for dim in list(held):
-            yield sealed(dim)
+            found = []
+            for dim, number, asked, i, v in zip(f["dim"], f["block"], f["asked"], f["vec_id"], f["embedding"], strict=True):
+                if here != (dim, number):
+                    here, ids, vectors, block = (dim, number), [], [], None
+                if not asked:
+                    ids.append(int(i))
+                    vectors.append(np.asarray(v, np.float64))
+                elif ids:
+                    if block is None:
+                        block, vectors = Block(np.array(ids), np.stack(vectors), k), []
+                    found += [(int(i), x, -c) for c, x in block.search(int(i), np.asarray(v, np.float64), k, sure)]
+            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": float})
 
     return run
 
 
-def _read(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.float64).reshape(-1, dim)
-
-
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sure: float = 0.98) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query row, by cosine, ties to the smaller id."""
     v = F.col(vector_col).cast("array<double>")
     fit = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    rows = df.where(F.col(id_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"), F.spark_partition_id().alias("part"), is_query.alias("q"))
-    shape = "number bigint, dim int, ids binary, matrix binary"
-    blocks = cut(rows.mapInPandas(_cut_up(BLOCK_ROWS), shape))
-    chunks = cut(rows.where("q").mapInPandas(_cut_up(CHUNK_ROWS), shape))
-    # the stated query set against all rows, in blocks: ids of blocks and chunks meet, then their contents join
-    pairs = blocks.select(F.col("number").alias("block"), "dim").join(chunks.select(F.col("number").alias("chunk"), "dim"), "dim")
-    asked = pairs.join(chunks.select(F.col("number").alias("chunk"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), "chunk")
-    met = asked.join(blocks.select(F.col("number").alias("block"), "ids", "matrix"), "block")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, block = None, None
-        for f in frames:
-            for r in f.itertuples(index=False):
-                if r.block != number:
-                    number, block = r.block, Block(*_read(r.ids, r.matrix, r.dim), k)
-                found = [(int(i), x, -c) for i, q in zip(*_read(r.q_ids, r.q_matrix, r.dim), strict=True) for c, x in block.search(int(i), q, k, sure)]
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    best = met.mapInPandas(run, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rows = df.where(F.col(id_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(F.size(v).alias("dim"), F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    blocks = -(-rows.count() // BLOCK_ROWS) or 1
+    held = rows.select("dim", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).alias("block"), F.lit(False).alias("asked"), "vec_id", "embedding")
+    # the stated query set against all rows, in blocks
+    asked = rows.where("q").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("asked"), "vec_id", "embedding")
+    met = held.union(asked).repartition("dim", "block").sortWithinPartitions("dim", "block", "asked")
+    best = met.mapInPandas(_searched(k, sure), FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
