@@ -68,6 +68,24 @@ def test_chains_and_hot_groups(docs_of):
     assert rows_of(minhash.near_duplicates(docs_of(rows), width=2)) == brute(rows, 2)
 
 
+def test_families(docs_of, monkeypatch):
+    """Large families, most of whose members are just not alike enough, in runs smaller than them."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "RUN", 16)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows = []
+    for at in range(150):
+        w = list(base)
+        for _ in range(rng.choice([3, 6, 8, 9, 10, 12])):
+            w[rng.randrange(80)] = f"v{rng.randrange(10**6)}"
+        rows.append((at, " ".join(w)))
+    rng.shuffle(rows)
+    want = brute(rows, 2)
+    assert 3 < len({c for _, c, _ in want.values()}) < 150
+    assert rows_of(minhash.near_duplicates(docs_of(rows), width=2)) == want
+
+
 def test_edges(docs_of):
     long = " ".join(f"x{i % 5000}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "one two"), (7, long), (8, long + " y"), (9, "ONE")]

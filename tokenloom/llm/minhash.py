@@ -7,8 +7,11 @@ Texts with the same shingle set form a class and are carried by its smallest id,
 Within a bucket, classes are linked in three steps, none of which expands a group into its pairs:
 1. every class is verified against the bucket's smallest (a star), and the verified links are joined into components;
 2. in buckets that still hold several components, classes are verified against a few random hubs of other components;
-3. what is then left is searched for all further pairs, across components only.
-Steps 2 and 3 filter pairs by size and by four bits of each coordinate before anything is emitted.
+3. what is then left is compared exactly, across components only: in buckets of at most SMALL classes by pairs; larger
+   buckets that overlap make a family, whose classes are dealt in runs of RUN to tasks that compare two runs by a matrix
+   product over their shared shingles and emit no more links than join what is apart. Pairs of runs that lie wholly in one
+   component are left out.
+Pairs in step 2 and in small buckets are filtered by size and by four bits of each coordinate before they are emitted.
 Verification is exact, on 64-bit shingle hashes of the whole texts. Banding misses a pair of similarity s with
 probability (1 - s^5)^40: 1.3e-7 at 0.8; the bit filter, about 1e-8.
 
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import cut
 from tokenloom.llm.components import components
+from tokenloom.operators.positions import with_running
 
 BANDS, BAND_ROWS = 40, 5
 COORDINATES = BANDS * BAND_ROWS
@@ -38,6 +42,8 @@ COORDINATES = BANDS * BAND_ROWS
 PLANES, DIFFER = 4, 72
 #: Random hubs of each bucket in the second step.
 HUBS = 3
+#: Classes of a bucket that is searched by pairs, and classes of a run of a family.
+SMALL, RUN = 48, 256
 SEEDS = (0x9E3779B9, 0x85EBCA77)
 SIGNED = "doc_id bigint, n_shingles bigint, class string, bands array<bigint>, bits array<bigint>"
 
@@ -169,6 +175,56 @@ def _undecided(shared: DataFrame, found: DataFrame) -> DataFrame:
     return cut(known.join(split, "band", "left_semi"))
 
 
+def join_apart(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) that join the components of at most two runs; the similarity of all pairs of a family is exact."""
+    group = group.drop_duplicates("node")
+    nodes, component, family = (group[c].to_numpy() for c in ("node", "component", "family"))
+    each = [np.asarray(x, np.int64) for x in group["shingles"]]
+    size, owner = np.array([len(x) for x in each]), np.repeat(np.arange(len(each)), [len(x) for x in each])
+    _, at, seen = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+    often = seen[at] > 1  # a shingle of one class only is in no intersection
+    owner, at = owner[often], np.unique(at[often], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(each), len(each)), np.float32)
+    for begin in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        s = slice(*np.searchsorted(at, [begin, begin + 4096]))
+        m = np.zeros((len(each), 4096), np.float32)
+        m[owner[s], at[s] - begin] = 1
+        both += m @ m.T
+    alike = 100 * both >= percent * (size[:, None] + size[None] - both)
+    apart = np.triu((component[:, None] != component[None]) & (family[:, None] == family[None]))
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            c = root[c]
+        return c
+
+    links = []
+    for i, j in zip(*np.nonzero(alike & apart), strict=True):
+        x, y = top(int(component[i])), top(int(component[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            links.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def _within_families(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components of (node, component, first): classes that share a bucket's first node, by chains, are a family."""
+    named = components(family.select(F.col("node").alias("u"), F.col("first").alias("v"))).toDF("node", "family")
+    members = family.select("node", "component").distinct().join(named, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    members = cut(with_running(members, ["family", "component", "node"]).withColumn("run", F.floor(F.col("position") / RUN)).drop("position"))
+    runs = members.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    spans = members.groupBy("family").agg(F.min("run").alias("begin"), F.max("run").alias("end"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
+    pairs = spans.select(F.explode(F.sequence("begin", "end")).alias("i"), "end").select("i", F.explode(F.sequence("i", "end")).alias("j")).distinct()
+    pairs = pairs.join(runs.toDF("i", "i_low", "i_high"), "i").join(runs.toDF("j", "j_low", "j_high"), "j")
+    pairs = pairs.where("NOT (i_low = i_high AND j_low = j_high AND i_low = j_low)")
+    wanted = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("run"))
+    full = members.join(sets, "node")
+    return wanted.join(full, "run").groupBy("i", "j").applyInPandas(lambda g: join_apart(g, percent), "a bigint, b bigint")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links) and kept (it is that id)."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
@@ -206,11 +262,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         hubs = hubs.select("band", F.col("h.component").alias("other"), F.col("h.x").alias("y"))
         return left.join(hubs, "band").where("component != other")
 
-    def every(left: DataFrame) -> DataFrame:
-        return left.join(left.select("band", F.col("component").alias("other"), F.col("x").alias("y")), "band").where("component < other")
+    def few(left: DataFrame) -> DataFrame:
+        small = left.join(left.groupBy("band").count().where(F.col("count") <= SMALL).select("band"), "band", "left_semi")
+        return small.join(small.select("band", F.col("component").alias("other"), F.col("x").alias("y")), "band").where("component < other")
 
     link(some)
-    link(every)
+    link(few)
+    left = _undecided(shared, found)
+    large = left.groupBy("band").agg(F.count("*").alias("n"), F.min("x.node").alias("first")).where(F.col("n") > SMALL).select("band", "first")
+    family = cut(left.join(large, "band").select(F.col("x.node").alias("node"), "component", "first").distinct())
+    if family.head(1):
+        further = cut(_within_families(family, sets, percent))
+        if further.head(1):
+            found = components(links.union(further).toDF("u", "v"))
     of_class = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
