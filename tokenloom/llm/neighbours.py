@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECTIONS, LEAF = 8, 64
+DIRECTIONS, LEAF = 8, 256
 BLOCK_ROWS = 8192
 FOUND = "query_id bigint, vec_id bigint, score double"
 
@@ -94,11 +94,13 @@ class Block:
             if ready.any():
                 now = waiting[ready]
                 waiting, far = waiting[~ready], far[~ready]
-                cosine = (self.vectors[now] * q).sum(1) / (self.size[now] * size)
+                found = -(self.vectors[now] * q).sum(1) / (self.size[now] * size)
                 least = best[k - 1][0] if len(best) >= k else math.inf
-                for c, i in zip(-cosine, now, strict=True):
-                    if c <= least:
-                        best += [(c, x) for x in self.ids[i].tolist() if x != query_id]
+                if len(found) > k + 1:  # no more than these, with ties, can be among the k best; one may be the query itself
+                    least = min(least, np.partition(found, k)[k])
+                near = found <= least
+                for c, i in zip(found[near].tolist(), now[near], strict=True):
+                    best += [(c, x) for x in self.ids[i].tolist() if x != query_id]
                 best = sorted(best)[:k]
             if len(best) == k and reach < math.inf:
                 kth = max(0.0, 2.0 + 2.0 * best[-1][0])
