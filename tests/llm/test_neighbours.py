@@ -54,6 +54,31 @@ def test_ties_and_edges(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(5)
+    once = [(i, rng.standard_normal(6).tolist()) for i in range(200)]
+    near = (np.array(once[50][1]) + 1e-3).tolist()
+    # the same vector under more ids, one of them 10 times; and one id on many vectors near a query
+    once += [(300, near), (301, near), (302, near)] + [(401, (np.array(once[100][1]) + 1e-4 * n).tolist()) for n in range(20)]
+    rows = once + once + [(300, near)] * 8
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    want = {q: [(n, i, round(-s, 9)) for n, (s, i) in enumerate(x, 1)] for q, x in brute(once).items()}
+    assert {q: sorted(x) for q, x in got.items()} == want
+
+
+def test_block_counts_ids_once():
+    rng = np.random.default_rng(6)
+    ids = np.array([1] * 40 + [2] * 40 + list(range(10, 2000)))
+    v = np.concatenate([[1.0, 0, 0, 0] + rng.standard_normal((80, 4)) * 1e-3, rng.standard_normal((1990, 4))])
+    best = neighbours.Block(np.repeat(ids, 3), np.repeat(v, 3, 0), 5).search(2, np.array([1.0, 0, 0, 0]), 5, 1.0)
+    cost = {}
+    for i, c in zip(ids.tolist(), (-v[:, 0] / neighbours.lengths(v)).tolist(), strict=True):
+        cost[i] = min(cost.get(i, 2.0), c)
+    assert [i for _, i in best] == sorted(cost.keys() - {2}, key=lambda i: (cost[i], i))[:5]
+
+
 def test_chi_square():
     x = np.random.default_rng(0).chisquare(8, 200_000)
     for at in (2.0, 7.3, 15.0):

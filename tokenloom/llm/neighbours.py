@@ -4,7 +4,8 @@ Vectors are brought to length 1 and projected onto a few Gaussian directions. Ca
 projections are indexed by a kd-tree. A query visits leaves by their distance from its projection, and verifies points on
 the original vectors in the order of projected distance. The squared ratio of projected to true distance is chi-square
 distributed, so the search of a block stops once a point nearer than the k-th best would, with probability ``sure``,
-have been met. Equal vectors of a block are indexed once, with their smallest ids, so ties are exact.
+have been met. Equal vectors of a block are indexed once, with their smallest ids, so ties are exact. Repeated rows are
+dropped before they are dealt out, and an id on several vectors of a block has one place among the k best.
 
 All rows are indexed. A hash deals them to blocks of about BLOCK_ROWS; each query row is sent to every block, behind the
 block's own rows, and searched as it streams by, so a task holds one block.
@@ -58,9 +59,12 @@ class Block:
         same: dict[bytes, list[int]] = {}
         for i, v in enumerate(vectors):
             group = same.setdefault(v.tobytes(), [])
-            if len(group) <= k:  # one may be the query itself
+            if len(group) <= k and not (group and ids[group[-1]] == ids[i]):  # one may be the query itself
                 group.append(i)
         self.ids = [ids[g] for g in same.values()]
+        self.label = np.array([x[0] for x in self.ids])
+        held = np.concatenate(self.ids)
+        self.repeats = len(np.unique(held)) < len(held)  # an id stands on several vectors
         self.vectors = vectors[[g[0] for g in same.values()]].astype(float)
         self.size = lengths(self.vectors)
         self.places = (self.vectors / self.size[:, None]) @ directions(vectors.shape[1])
@@ -76,6 +80,14 @@ class Block:
         self.leaves = leaves
         self.low, self.high = (np.array([f(self.places[x], 0) for x in leaves]) for f in (np.min, np.max))
 
+    def reached(self, found: np.ndarray, at: np.ndarray, k: int) -> float:
+        """The cost by which k + 1 different ids are met among the points at ``at``."""
+        if not self.repeats:
+            return np.partition(found, k)[k]
+        order = np.argsort(found, kind="stable")
+        _, first = np.unique(self.label[at[order]], return_index=True)
+        return found[order[np.partition(first, k)[k]]] if len(first) > k else math.inf
+
     def search(self, query_id: int, query: np.ndarray, k: int, sure: float) -> list[tuple[float, int]]:
         """The k best (minus cosine, id), as far as the stopping test lets it look."""
         q = query.astype(float)
@@ -97,11 +109,14 @@ class Block:
                 found = -(self.vectors[now] * q).sum(1) / (self.size[now] * size)
                 least = best[k - 1][0] if len(best) >= k else math.inf
                 if len(found) > k + 1:  # no more than these, with ties, can be among the k best; one may be the query itself
-                    least = min(least, np.partition(found, k)[k])
+                    least = min(least, self.reached(found, now, k))
                 near = found <= least
                 for c, i in zip(found[near].tolist(), now[near], strict=True):
                     best += [(c, x) for x in self.ids[i].tolist() if x != query_id]
-                best = sorted(best)[:k]
+                firsts: dict[int, float] = {}
+                for c, x in sorted(best):
+                    firsts.setdefault(x, c)
+                best = [(c, x) for x, c in firsts.items()][:k]
             if len(best) == k and reach < math.inf:
                 kth = max(0.0, 2.0 + 2.0 * best[-1][0])
                 if chi_square_below(reach / kth if kth > 1e-12 else math.inf) >= sure and reach > 0:
@@ -136,7 +151,8 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     v = F.col(vector_col).cast("array<double>")
     fit = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
     rows = df.where(F.col(id_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(F.size(v).alias("dim"), F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    blocks = -(-rows.count() // BLOCK_ROWS) or 1
+    rows = rows.groupBy("dim", "vec_id", "embedding").agg(F.max("q").alias("q"))
+    blocks = -(-rows.select(F.xxhash64("vec_id", "embedding")).distinct().count() // BLOCK_ROWS) or 1
     held = rows.select("dim", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).alias("block"), F.lit(False).alias("asked"), "vec_id", "embedding")
     # the stated query set against all rows, in blocks
     asked = rows.where("q").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("asked"), "vec_id", "embedding")
