@@ -54,6 +54,22 @@ def test_disguises(text, kind, source):
     assert f"[{kind.upper()}]" in pii.redacted(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("mail jоhn@example.com now", "email", "jоhn@example.com"),
+        ("mail john@example.cоm now", "email", "john@example.cоm"),
+        ("mail john dot doe@example.com now", "email", "john dot doe@example.com"),
+        ("call +1 555 123 45６7 now", "phone", "+1 555 123 45６7"),
+    ],
+)
+def test_disguise_around_a_base_span(text, kind, source):
+    base, more = pii.find(text)
+    assert base == plain(text) and len(base) == 1
+    assert [(pii.KINDS[k], text[s:e]) for k, s, e in more] == [(kind, source)]
+    assert pii.redacted(text) == text.replace(source, f"[{kind.upper()}]")
+
+
 def test_clean_text_stays():
     for t in ("we met at noon and the dot was red", "one two three", "la niña está aquí, déjà vu", "at one point five or six came", "look at this. the end"):
         assert pii.find(t) == ([], []) and pii.redacted(t) == t

@@ -3,7 +3,7 @@
 Base detectors run on the source text. Where a text shows signs of disguise, a chain of transducers normalises it
 (homoglyphs and invisible characters; bracketed or spelled at and dot; spelled digits), each keeping the source place of
 what it writes. The same detectors run on the result, and spans that needed a change are mapped back to the source and
-added, unless they overlap a base span. Everything is linear in the text, one long run of characters included.
+added, unless a base span of their kind covers them. Everything is linear in the text, one long run of characters included.
 
 Defined results: null and empty texts have no spans; a null id is passed through; repeated rows are judged each; further
 columns are not read by ``find_pii``, and kept by ``redact``.
@@ -180,16 +180,15 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     for edits in chain:
         steps.append(Mapped(now, edits(now)))
         now = steps[-1].text
-    taken, more = sorted((s, e) for _, s, e in base), set()
-    ends: list[int] = []
-    for _, e in taken:  # base spans of different kinds may overlap: the furthest end so far
-        ends.append(max(e, ends[-1] if ends else 0))
+    taken = [([s for k, s, _ in base if k == n], [e for k, _, e in base if k == n]) for n in range(len(KINDS))]
+    more: set[Span] = set()
     for kind, s, e in detect(now):
         seen = now[s:e]
         for m in reversed(steps):
             s, e = m.back(s, e)
-        i = bisect_right(taken, (e - 1, len(text) + 1)) - 1
-        if text[s:e] != seen and not (i >= 0 and ends[i] > s):
+        starts, ends = taken[kind]  # spans of a kind do not overlap
+        i = bisect_right(starts, s) - 1
+        if text[s:e] != seen and not (i >= 0 and ends[i] >= e):
             more.add((kind, s, e))
     return base, sorted(more)
 
