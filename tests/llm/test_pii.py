@@ -70,6 +70,15 @@ def test_disguise_around_a_base_span(text, kind, source):
     assert pii.redacted(text) == text.replace(source, f"[{kind.upper()}]")
 
 
+def test_spelled_at_by_itself():
+    for before in ("", "the dot was red; ", "look (at) this; "):
+        for t in ("write to john at example.com now", "write to john AT\tmail.Example.COM now", "john at my-host.example.org"):
+            base, more = pii.find(before + t)
+            want = t.removeprefix("write to ").removesuffix(" now")
+            assert base == [] and [(k, (before + t)[s:e]) for k, s, e in more] == [(0, want)]
+            assert pii.redacted(before + t) == before + t.replace(want, "[EMAIL]")
+
+
 def test_clean_text_stays():
     for t in ("we met at noon and the dot was red", "one two three", "la niña está aquí, déjà vu", "at one point five or six came", "look at this. the end"):
         assert pii.find(t) == ([], []) and pii.redacted(t) == t

@@ -97,6 +97,8 @@ _OPEN_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}", re.
 _OPEN_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}", re.I | re.A)
 _SPELLED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I | re.A)
 _SPELLED_AT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", re.I | re.A)
+#: In lower case, and looser: a literal start makes it cheap.
+_MAYBE_AT = re.compile(r"at\s{1,3}[a-z0-9-][a-z0-9.-]*\.[a-z]{2}", re.A)
 _BRACKET = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]", re.I | re.A)
 _LONE_DOT = re.compile(r"\bdot\b", re.I | re.A)
 _WORD = "|".join([*_NUMBERS, "oh"])
@@ -162,7 +164,7 @@ def signs(text: str) -> list:
         chain.append(_glyph_edits)
         text = "".join(_GLYPHS.get(c, c) for c in text)
     low = text.lower()
-    if _BRACKET.search(text) or ("dot" in low and _LONE_DOT.search(text)):
+    if _BRACKET.search(text) or ("dot" in low and _LONE_DOT.search(text)) or (_MAYBE_AT.search(low) and _SPELLED_AT.search(text)):
         chain += [_dot_edits, _at_edits]
     if sum(w in low for w in _NUMBERS) >= 2 and _SPELLED.search(text):
         chain.append(_number_edits)
