@@ -79,6 +79,39 @@ def test_spelled_at_by_itself():
             assert pii.redacted(before + t) == before + t.replace(want, "[EMAIL]")
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("host one nine two dot one six eight dot zero dot one is up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("host 192.168.zero.one is up", "ip", "192.168.zero.one"),
+        ("call plus four nine 171 2345678 today", "phone", "plus four nine 171 2345678"),
+        ("call +four nine 171 2345678 today", "phone", "+four nine 171 2345678"),
+        ("call plus 1 5 5 5 zero 1 0 0 0 today", "phone", "plus 1 5 5 5 zero 1 0 0 0"),
+        ("call +1 (five five five) oh one oh, two three four", "phone", "+1 (five five five) oh one oh, two three four"),
+        ("card four one one one 1111 1111 1111 ok", "card", "four one one one 1111 1111 1111"),
+        ("card ４111 1111 1111 1111 one day", "card", "４111 1111 1111 1111"),
+        ("card ４111 1111 1111 1111 one two", "card", "４111 1111 1111 1111"),
+    ],
+)
+def test_spelled_digits(text, kind, source):
+    base, more = pii.find(text)
+    assert base == plain(text)
+    assert [(pii.KINDS[k], text[s:e]) for k, s, e in more] == [(kind, source)]
+    assert pii.redacted(text) == text.replace(source, f"[{kind.upper()}]")
+
+
+def test_few_numbers_stay():
+    for t in ("one. Two of 12 came", "chapter one, 2 pages", "plus one", "in 2019 two of three", "one hundred and 10.5 or two.three"):
+        assert pii.find(t) == ([], [])
+
+
+def test_numbers_stay_linear():
+    began = time.process_time()
+    for t in ("one." * 10**5, "1 one " * 10**5, "one 1" * 10**5, "plus " * 10**5, "one" * 10**5, "1 " * 10**5 + "one", "one " + "1" * 10**5 + "a", "+one" * 10**5):
+        pii.find(t)
+    assert time.process_time() - began < 30
+
+
 def test_clean_text_stays():
     for t in ("we met at noon and the dot was red", "one two three", "la niña está aquí, déjà vu", "at one point five or six came", "look at this. the end"):
         assert pii.find(t) == ([], []) and pii.redacted(t) == t

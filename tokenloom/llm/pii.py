@@ -2,8 +2,8 @@
 
 Base detectors run on the source text. Where a text shows signs of disguise, a chain of transducers normalises it
 (homoglyphs and invisible characters; bracketed or spelled at and dot; spelled digits), each keeping the source place of
-what it writes. The same detectors run on the result, and spans that needed a change are mapped back to the source and
-added, unless a base span of their kind covers them. Everything is linear in the text, one long run of characters included.
+what it writes. The same detectors run on each result, and spans that needed a change are mapped back to the source and
+added, unless a base span of their kind, or a wider added one, covers them. Everything is linear in the text, one long run of characters included.
 
 Defined results: null and empty texts have no spans; a null id is passed through; repeated rows are judged each; further
 columns are not read by ``find_pii``, and kept by ``redact``.
@@ -90,7 +90,8 @@ _LOOKALIKES = dict(zip("аВеЕКМНоОрРсСТхХуУіІјЅѕԁɡΑΒΕ
 _INVISIBLE = "­​‌‍⁠﻿"
 _WIDE = "".join(chr(c) for a, b in ((0x2070, 0x209C), (0x2460, 0x2473), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF)) for c in range(a, b + 1))
 _GLYPHS = _LOOKALIKES | {c: "" for c in _INVISIBLE} | {c: n for c in _WIDE if len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii()}
-_GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
+#: All of _GLYPHS are among them; a class of two bounds is searched much faster than one of all glyphs.
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 _NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _DIGIT_OF = {w: str(i) for i, w in enumerate(_NUMBERS)} | {"oh": "0", "plus": "+"}
 _OPEN_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}", re.I | re.A)
@@ -102,8 +103,12 @@ _MAYBE_AT = re.compile(r"at\s{1,3}[a-z0-9-][a-z0-9.-]*\.[a-z]{2}", re.A)
 _BRACKET = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]", re.I | re.A)
 _LONE_DOT = re.compile(r"\bdot\b", re.I | re.A)
 _WORD = "|".join([*_NUMBERS, "oh"])
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]{{1,3}})?(?:(?:{_WORD}|[0-9])[\s,-]{{1,3}}){{6,}}(?:{_WORD}|[0-9])(?![A-Za-z0-9])", re.I | re.A)
-_UNIT = re.compile(rf"(plus|{_WORD}|[0-9])[\s,-]*", re.I | re.A)
+_GAP = r"(?:[\s,-]{1,3}|\.)"
+#: Runs of spelled digits and groups of digits; a plus may open one.
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]{{1,3}})?(?:{_WORD}|[0-9]+)(?:{_GAP}(?:{_WORD}|[0-9]+))*(?![A-Za-z0-9])", re.I | re.A)
+_UNIT = re.compile(rf"plus|{_WORD}|[0-9]+", re.I | re.A)
+#: In lower case: a spelled digit or plus next to another unit. The first character alone rejects most places.
+_MAYBE_SPELLED = re.compile(rf"(?:{_WORD}){_GAP}(?:{_WORD}|[0-9])|[0-9]{_GAP}(?:{_WORD})|[+](?:{_WORD})|plus[\s-]{{1,3}}(?:{_WORD}|[0-9])", re.A)
 
 Edit = tuple[int, int, str]
 
@@ -134,7 +139,7 @@ class Mapped:
 
 
 def _glyph_edits(t: str) -> list[Edit]:
-    return [(m.start(), m.end(), _GLYPHS[m[0]]) for m in _GLYPH.finditer(t)]
+    return [(m.start(), m.end(), _GLYPHS[m[0]]) for m in _NOT_ASCII.finditer(t) if m[0] in _GLYPHS]
 
 
 def _dot_edits(t: str) -> list[Edit]:
@@ -151,48 +156,69 @@ def _at_edits(t: str) -> list[Edit]:
 
 
 def _number_edits(t: str) -> list[Edit]:
+    """Digits for words. Single digits close up; a blank parts them from groups of digits, and dots stay."""
     out: list[Edit] = []
     for m in _SPELLED.finditer(t):
-        out += [(u.start(), u.end(), _DIGIT_OF.get(u[1].lower(), u[1])) for u in _UNIT.finditer(t, m.start(), m.end())]
+        units = [(u.start(), u.end(), _DIGIT_OF.get(u[0].lower(), u[0])) for u in _UNIT.finditer(t, m.start(), m.end())]
+        if all(u[0].isdigit() for u in (t[s:e] for s, e, _ in units)) or (len(units) == 1 and t[m.start() - 1 : m.start()] != "+"):
+            continue
+        for k, (s, e, new) in enumerate(units):
+            if t[s:e] != new:
+                out.append((s, e, new))
+            if k + 1 < len(units) and t[e] != ".":
+                after, _, then = units[k + 1]
+                gap = "" if new == "+" or len(new) == len(then) == 1 else " "
+                if t[e:after] != gap:
+                    out.append((e, after, gap))
     return out
 
 
-def signs(text: str) -> list:
-    """The transducers that a text calls for, in order; cheap tests come first."""
-    chain: list = []
-    if not text.isascii() and _GLYPH.search(text):
-        chain.append(_glyph_edits)
-        text = "".join(_GLYPHS.get(c, c) for c in text)
+def _dots(text: str, low: str) -> bool:
+    return bool(_BRACKET.search(text) or ("dot" in low and _LONE_DOT.search(text)))
+
+
+def normalised(text: str) -> Iterator[Mapped]:
+    """The results of the transducers that a text calls for, one after the other; cheap tests come first."""
     low = text.lower()
-    if _BRACKET.search(text) or ("dot" in low and _LONE_DOT.search(text)) or (_MAYBE_AT.search(low) and _SPELLED_AT.search(text)):
-        chain += [_dot_edits, _at_edits]
-    if sum(w in low for w in _NUMBERS) >= 2 and _SPELLED.search(text):
-        chain.append(_number_edits)
-    return chain
+    for edits, called in (
+        (_glyph_edits, lambda: not text.isascii()),
+        (_dot_edits, lambda: _dots(text, low)),
+        (_at_edits, lambda: _MAYBE_AT.search(low)),
+        (_number_edits, lambda: _MAYBE_SPELLED.search(low)),
+    ):
+        if called() and (found := edits(text)):
+            yield (m := Mapped(text, found))
+            text = m.text
+            low = text.lower()
+
+
+def _widest(spans: set[Span]) -> list[Span]:
+    """Those that no other of their kind covers."""
+    out: list[Span] = []
+    for kind, s, e in sorted(spans, key=lambda x: (x[0], x[1], -x[2])):
+        if not (out and out[-1][0] == kind and out[-1][2] >= e):
+            out.append((kind, s, e))
+    return out
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and those that deobfuscation adds."""
     text = text or ""
     base = detect(text)
-    chain = signs(text)
-    if not chain:
-        return base, []
-    steps, now = [], text
-    for edits in chain:
-        steps.append(Mapped(now, edits(now)))
-        now = steps[-1].text
     taken = [([s for k, s, _ in base if k == n], [e for k, _, e in base if k == n]) for n in range(len(KINDS))]
+    steps: list[Mapped] = []
     more: set[Span] = set()
-    for kind, s, e in detect(now):
-        seen = now[s:e]
-        for m in reversed(steps):
-            s, e = m.back(s, e)
-        starts, ends = taken[kind]  # spans of a kind do not overlap
-        i = bisect_right(starts, s) - 1
-        if text[s:e] != seen and not (i >= 0 and ends[i] >= e):
-            more.add((kind, s, e))
-    return base, sorted(more)
+    for step in normalised(text):
+        steps.append(step)
+        for kind, s, e in detect(step.text):
+            seen = step.text[s:e]
+            for m in reversed(steps):
+                s, e = m.back(s, e)
+            starts, ends = taken[kind]  # spans of a kind do not overlap
+            i = bisect_right(starts, s) - 1
+            if text[s:e] != seen and not (i >= 0 and ends[i] >= e):
+                more.add((kind, s, e))
+    return base, _widest(more)
 
 
 def show(spans: list[Span]) -> str:
