@@ -36,6 +36,24 @@ def test_windows_cover():
         assert set(w.ravel()) - {0} == set(range(1, n + 1)) and w.shape[1] == toxicity.WINDOW
 
 
+def test_passages_of_half_a_window_are_whole():
+    half, n = toxicity.WINDOW // 2, 1000
+    begins = {int(w[0]) for w in toxicity.windows_of(np.arange(1, n + 1, dtype=np.int32))}
+    for at in range(1, n - half + 2):
+        assert any(b in begins for b in range(at + half - toxicity.WINDOW, at + 1)), at
+
+
+def test_passage_at_every_offset():
+    rng = np.random.default_rng(4)
+    clean = lambda n: [f"w{i}" for i in rng.integers(0, 300, n)]
+    texts = [" ".join([*clean(30), *(["vile", "scum"] if k % 3 == 0 else []), *clean(10)]) for k in range(300)]
+    model = toxicity.train(texts, np.array([k % 3 == 0 for k in range(300)]))
+    long = clean(400)
+    assert model.scores([" ".join(long)])[0] < 0.5
+    planted = [" ".join([*long[:at], "vile", *long[at : at + 12], "scum", *long[at + 12 :]]) for at in range(150, 200)]
+    assert (model.scores(planted) >= 0.5).all()
+
+
 def test_held_out(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
     truth = {r.doc_id: r.toxic for r in labels.collect()}

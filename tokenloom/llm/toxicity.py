@@ -2,8 +2,9 @@
 
 Each word enters with word inputs (the smoothed log odds of the whole word) and character inputs (largest and mean log
 odds of its 3-, 4- and 5-grams of bytes, with word borders); a forward and a backward gated recurrent layer run over a
-window of words, attention pools them, and a logistic output scores the window. Windows overlap; every window of a text
-is scored, and the text's score is the calibrated largest. So one bad line in a very long text counts.
+window of words, attention pools them, and a logistic output scores the window. Windows overlap by half, so a passage of up to
+half a window is whole in one; every window of a text is scored, and the text's score is the calibrated largest. So one
+bad line in a very long text counts.
 
 Learning uses a bounded sample of labelled rows (``sample`` texts of at most ``longest`` characters, half of them
 labelled 1 where there are as many). The log odds that a training text meets come from the other half of the sample, so
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import fold
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION = 8, 8
 GRAMS, HASH_BITS = (3, 4, 5), 18
 N_INPUTS = 1 + 2 * len(GRAMS) + 1
