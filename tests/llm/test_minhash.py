@@ -1,11 +1,13 @@
 """Near duplicates against all pairs of exact sets."""
 
+import pathlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from tokenloom.llm import minhash
+from tokenloom.llm import common, minhash
 from tokenloom.llm.common import documents
 from tokenloom.llm.components import components
 
@@ -70,8 +72,7 @@ def test_chains_and_hot_groups(docs_of):
 
 def test_families(docs_of, monkeypatch):
     """Large families, most of whose members are just not alike enough, in runs smaller than them."""
-    monkeypatch.setattr(minhash, "SMALL", 4)
-    monkeypatch.setattr(minhash, "RUN", 16)
+    monkeypatch.setattr(minhash, "HOLD", 1000)
     rng = random.Random(9)
     base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
     rows = []
@@ -97,6 +98,50 @@ def test_edges(docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4] and "n_tokens" in kept.columns
 
 
+def test_two_texts_under_one_id(docs_of):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    got = minhash.near_duplicates(docs_of([(7, a), (7, b), (9, a + " x"), (5, b + " y"), (11, "z")]), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(5, 40, 5, True), (7, 39, 5, False), (7, 39, 7, True), (9, 40, 7, False), (11, 1, 11, True)]
+
+
+def test_hubs_of_split_bands():
+    """Bands that go on over batches and partitions keep one hub."""
+    rows = [(b, n) for b, nodes in ((1, [4]), (2, [3, 3, 5]), (3, list(range(10, 40))), (4, [1]), (5, [2, 9])) for n in nodes]
+    for cuts in ([], [1, 2], [6], [3, 20, 30], list(range(1, len(rows)))):
+        out = []
+        for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            frames = [pd.DataFrame(rows[lo:hi][k : k + 2], columns=["band", "node"]) for k in range(0, hi - lo, 2)]
+            out += [tuple(None if pd.isna(x) else int(x) for x in r) for f in minhash.to_hubs(iter(frames)) for r in f.itertuples(index=False)]
+        whole: dict = {}
+        for b, n, h in out:
+            if n is None:
+                whole[b] = min(whole.get(b, h), h)
+        got = {(h if n is None else n, whole.get(b, h)) for b, n, h in out}
+        assert {x for x in got if x[0] != x[1]} == {(5, 3), (9, 2)} | {(n, 10) for n in range(11, 40)}
+    assert list(minhash.to_hubs(iter([pd.DataFrame({"band": [], "node": []}, dtype="int64")]))) == []
+
+
+def test_disk_of_one_group(spark, docs_of, monkeypatch):
+    """What lies on disk at once for one large group of near copies is at most four times its texts."""
+    rng, base, rows = random.Random(3), [f"w{k}" for k in range(200)], []
+    for at in range(1200):
+        w = list(base)
+        for _ in range(rng.randrange(1, 60)):
+            w[rng.randrange(200)] = f"v{rng.randrange(10**6)}"
+        rows.append((at, " ".join(w)))
+    most, keep = 0, common.Steps.keep
+
+    def measured(self, name, df):
+        nonlocal most
+        out = keep(self, name, df)
+        most = max(most, sum(p.stat().st_size for p in pathlib.Path(self.home.removeprefix("file:")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(common.Steps, "keep", measured)
+    assert rows_of(minhash.near_duplicates(docs_of(rows), width=2)) == brute(rows, 2)
+    assert 0 < most <= 4 * sum(len(t) for _, t in rows)
+
+
 def test_coordinates_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 900).astype(np.uint64)

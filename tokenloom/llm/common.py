@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.session import checkpoint_dir, cut, table
 
-__all__ = ["BLANKS", "WORD", "checkpoint_dir", "cut", "documents", "fold", "let", "split_words", "table"]
+__all__ = ["BLANKS", "WORD", "Steps", "checkpoint_dir", "cut", "documents", "fold", "let", "split_words", "table"]
 
 #: White space of the word rule, and the rule itself.
 BLANKS = " \t\n\x0b\f\r"
@@ -20,6 +21,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+class Steps:
+    """Tables between the steps of one run, as Parquet in the session's shared folder; they cut the lineage and survive lost executors."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.home = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.home}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.home}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(n).cast("bigint"))

@@ -3,49 +3,44 @@
 Two permutations of the 32-bit universe make all coordinates of a signature: sigma scatters the shingles, and coordinate
 k is the least value of pi shifted circularly by k over them. Bands of ``BAND_ROWS`` coordinates give bucket keys.
 
-Texts with the same shingle set form a class and are carried by its smallest id, so exact copies cost one row each.
-Within a bucket, classes are linked in three steps, none of which expands a group into its pairs:
-1. every class is verified against the bucket's smallest (a star), and the verified links are joined into components;
-2. in buckets that still hold several components, classes are verified against a few random hubs of other components;
-3. what is then left is compared exactly, across components only: in buckets of at most SMALL classes by pairs; larger
-   buckets that overlap make a family, whose classes are dealt in runs of RUN to tasks that compare two runs by a matrix
-   product over their shared shingles and emit no more links than join what is apart. Pairs of runs that lie wholly in one
-   component are left out.
-Pairs in step 2 and in small buckets are filtered by size and by four bits of each coordinate before they are emitted.
+Texts with the same shingle set form a class, a node of the graph, so exact copies cost one row each. No step expands a
+bucket into its pairs:
+1. the smallest node of a bucket is the hub of its other nodes; each node is verified against the hub it shares most
+   buckets with, and the links are joined into components;
+2. the nodes that share a bucket with a hub of one component are a group; where a group still holds several components,
+   members leave that have too many shingles which no other member has, and the others are compared exactly across
+   components: dealt in runs of HOLD shingles, two runs in a task, which emits only links that join what is apart.
 Verification is exact, on 64-bit shingle hashes of the whole texts. Banding misses a pair of similarity s with
-probability (1 - s^5)^40: 1.3e-7 at 0.8; the bit filter, about 1e-8.
+probability (1 - s^5)^40: 1.3e-7 at 0.8; nothing else is lost. The second step's comparisons grow with the square of the
+members that are nearly alike and yet not linked; its rows do not.
 
 Defined results: texts without words (null too) have the empty set and are linked with nothing; fewer words than the
 width make one shingle, the whole sequence; rows with a null id are linked with nothing and kept, with a null component;
-rows that repeat an id get the component of their own text. An empty table gives no rows. Further columns are not read.
+rows that repeat an id get the component of their own text, even where the texts differ. An empty table gives no rows.
+Further columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import cut
+from tokenloom.llm.common import Steps
 from tokenloom.llm.components import components
-from tokenloom.operators.positions import with_running
 
 BANDS, BAND_ROWS = 40, 5
 COORDINATES = BANDS * BAND_ROWS
-#: Of 200 coordinates, so many may differ in their last PLANES bits: at similarity 0.8, 37.5 do; 72 is 6.2 deviations above.
-PLANES, DIFFER = 4, 72
-#: Random hubs of each bucket in the second step.
-HUBS = 3
-#: Classes of a bucket that is searched by pairs, and classes of a run of a family.
-SMALL, RUN = 48, 256
+#: Shingles of a run of members that one task compares with another run.
+HOLD = 1 << 18
 SEEDS = (0x9E3779B9, 0x85EBCA77)
-SIGNED = "doc_id bigint, n_shingles bigint, class string, bands array<bigint>, bits array<bigint>"
+SIGNED = "doc_id bigint, n_shingles bigint, class binary, bands array<bigint>"
 
 
 def scatter32(x: np.ndarray) -> np.ndarray:
@@ -104,10 +99,8 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def planes(sig: np.ndarray) -> np.ndarray:
-    """The last bits of the coordinates, a plane of 64-bit words for each bit."""
-    bits = (sig[None] >> np.arange(PLANES, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.uint8)
-    return np.packbits(np.pad(bits, ((0, 0), (0, -len(sig) % 64))), axis=1).view(np.int64).ravel()
+def digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def _sign(width: int):
@@ -117,12 +110,8 @@ def _sign(width: int):
                 part = f.iloc[at : at + 512]
                 rows = []
                 for i, s in zip(part["doc_id"], shingle_sets(list(part["text"]), width), strict=True):
-                    if len(s):
-                        sig = signature(s)
-                        rows.append((i, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), bands(sig), planes(sig)))
-                    else:
-                        rows.append((i, 0, None, None, None))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "bands", "bits"])
+                    rows.append((i, len(s), digest(s), bands(signature(s))) if len(s) else (i, 0, None, None))
+                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "bands"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
@@ -130,158 +119,212 @@ def _sign(width: int):
 
 
 def _sets(width: int):
+    """The sets of texts that are their class's own; another text under the same id is left out."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 512):
                 part = f.iloc[at : at + 512]
-                yield pd.DataFrame({"node": part["node"], "shingles": [s.view(np.int64) for s in shingle_sets(list(part["text"]), width)]})
+                of = shingle_sets(list(part["text"]), width)
+                own = [len(s) > 0 and digest(s) == bytes(c) for s, c in zip(of, part["class"], strict=True)]
+                yield pd.DataFrame({"node": part["node"][own], "shingles": [s.view(np.int64) for s, o in zip(of, own, strict=True) if o]})
 
     return run
 
 
-def _alike(n: Column, m: Column, percent: int) -> Column:
-    """Sizes that allow the similarity."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
+def to_hubs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows (band, node) in this order: (band, node, hub) for each further node of a band, the hub its first one here.
 
-def _close(x: str, y: str, percent: int) -> Column:
-    """Sizes and coordinates that allow the similarity."""
-    words = -(-COORDINATES // 64)
-    differ = F.lit(0)
-    for w in range(words):
-        mixed = [F.get(f"{x}.bits", F.lit(p * words + w)).bitwiseXOR(F.get(f"{y}.bits", F.lit(p * words + w))) for p in range(PLANES)]
-        any_bit = mixed[0]
-        for m in mixed[1:]:
-            any_bit = any_bit.bitwiseOR(m)
-        differ = differ + F.bit_count(any_bit)
-    return _alike(F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles"), percent) & (differ <= DIFFER)
+    Of a band that may go on in another partition, the first or last here, a row (band, null, hub) follows. No more than a
+    batch is held, however large the band.
+    """
+    first = last = hub = node = None
 
+    def rows(band, nodes, hubs) -> pd.DataFrame:
+        return pd.DataFrame({"band": pd.array(band, "Int64"), "node": pd.array(nodes, "Int64"), "hub": pd.array(hubs, "Int64")})
 
-def _pair(x: str, y: str) -> tuple[Column, Column]:
-    return F.greatest(f"{x}.node", f"{y}.node").alias("a"), F.least(f"{x}.node", f"{y}.node").alias("b")
+    for f in frames:
+        band, at = f["band"].to_numpy(np.int64), f["node"].to_numpy(np.int64)
+        if not len(f):
+            continue
+        if last is not None:  # the last row before, so that its band goes on
+            band, at = np.r_[last, band], np.r_[node, at]
+        begins = np.r_[True, band[1:] != band[:-1]]
+        hubs = at[begins][np.cumsum(begins) - 1]
+        if last is None:
+            first = (int(band[0]), int(at[0]))
+        else:
+            hubs[: len(band) if begins.sum() == 1 else int(np.flatnonzero(begins)[1])] = hub
+        more = ~begins & np.r_[False, at[1:] != at[:-1]]
+        yield rows(band[more], at[more], hubs[more])
+        last, hub, node = int(band[-1]), int(hubs[-1]), int(at[-1])
+    if last is not None:
+        ends = sorted({first, (last, hub)})
+        yield rows([b for b, _ in ends], [None] * len(ends), [h for _, h in ends])
+
+
+def _hubs(placed: DataFrame, steps: Steps) -> DataFrame:
+    """(node, hub) for each node of a band of several, the hub the band's smallest; a pair once for each band.
+
+    Rows are dealt by ranges of (band, node), so a hot band lies in many partitions. Their smallest nodes are at most two
+    for each partition, and only those are met by a broadcast.
+    """
+    dealt = placed.repartitionByRange("band", "node").sortWithinPartitions("band", "node")
+    met = steps.keep("met", dealt.mapInPandas(to_hubs, "band bigint, node bigint, hub bigint"))
+    across = met.where("node IS NULL").groupBy("band").agg(F.min("hub").alias("whole"), F.max("hub").alias("high")).where("whole < high")
+    across = steps.keep("across", across.select("band", "whole"))
+    found = met.join(F.broadcast(across), "band", "left").withColumn("node", F.coalesce("node", "hub")).withColumn("hub", F.coalesce("whole", "hub"))
+    return found.where("node != hub").select("node", "hub")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
-    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
-
-
-def _undecided(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, component, x: node, n_shingles, bits) of the buckets that hold several components."""
-    known = shared.join(found, "node", "left").select("band", F.coalesce("component", "node").alias("component"), F.struct("node", "n_shingles", "bits").alias("x"))
-    split = known.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    return cut(known.join(split, "band", "left_semi"))
-
-
-def join_apart(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links (a, b) that join the components of at most two runs; the similarity of all pairs of a family is exact."""
-    group = group.drop_duplicates("node")
-    nodes, component, family = (group[c].to_numpy() for c in ("node", "component", "family"))
-    each = [np.asarray(x, np.int64) for x in group["shingles"]]
-    size, owner = np.array([len(x) for x in each]), np.repeat(np.arange(len(each)), [len(x) for x in each])
-    _, at, seen = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-    often = seen[at] > 1  # a shingle of one class only is in no intersection
-    owner, at = owner[often], np.unique(at[often], return_inverse=True)[1]
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    both = np.zeros((len(each), len(each)), np.float32)
-    for begin in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
-        s = slice(*np.searchsorted(at, [begin, begin + 4096]))
-        m = np.zeros((len(each), 4096), np.float32)
-        m[owner[s], at[s] - begin] = 1
-        both += m @ m.T
-    alike = 100 * both >= percent * (size[:, None] + size[None] - both)
-    apart = np.triu((component[:, None] != component[None]) & (family[:, None] == family[None]))
-    root: dict[int, int] = {}
-
-    def top(c: int) -> int:
-        while root.setdefault(c, c) != c:
-            c = root[c]
-        return c
+    """The pairs (u, v) whose full sets are alike enough."""
+    both = pairs.join(sets.toDF("u", "of_u"), "u").join(sets.toDF("v", "of_v"), "v")
+    shared = F.size(F.array_intersect("of_u", "of_v"))
+    return both.where(100 * shared >= percent * (F.size("of_u") + F.size("of_v") - shared)).select("u", "v")
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """The members of groups that hold several components and are not merely a node and the hub it was tried with."""
+    spans = members.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.max("tried").alias("tried"))
+    return members.join(spans.where("low < high AND NOT (n = 2 AND tried)").select("group"), "group", "left_semi")
+
+
+def _eligible(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members without those that have too many shingles that no other of their group has to be alike to any of them.
+
+    A shingle of one member only is in no intersection. One aggregation over the shingles, combined before the shuffle,
+    finds those and their owner; its work grows with the members, not with their pairs.
+    """
+    each = members.join(sets, "node").select("group", "node", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("group", "shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = alone.groupBy("group", "node").agg(F.count("*").alias("alone"))
+    kept = members.join(alone, ["group", "node"], "left")
+    return kept.where(100 * (F.col("n_shingles") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n_shingles")).drop("alone")
+
+
+def _deal(limit: int):
+    """Add ``run`` to rows in order: a partition is cut after every ``limit`` shingles."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        before, part = 0, TaskContext.get().partitionId() << 32
+        for f in frames:
+            total = before + np.cumsum(f["n_shingles"].to_numpy(np.int64))
+            f["run"] = part + (total - f["n_shingles"].to_numpy(np.int64)) // limit
+            before = int(total[-1]) if len(total) else before
+            yield f
+
+    return run
+
+
+def join_apart(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (u, v) of components that join what is alike across them, in the groups of at most two runs.
+
+    Exact: for each member, its intersections with all members of a size that allows the similarity and of another
+    component are counted in one pass over their shingles. Members of the same run meet where it is paired with itself.
+    """
     links = []
-    for i, j in zip(*np.nonzero(alike & apart), strict=True):
-        x, y = top(int(component[i])), top(int(component[j]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            links.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
-    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
-
-
-def _within_families(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components of (node, component, first): classes that share a bucket's first node, by chains, are a family."""
-    named = components(family.select(F.col("node").alias("u"), F.col("first").alias("v"))).toDF("node", "family")
-    members = family.select("node", "component").distinct().join(named, "node", "left").withColumn("family", F.coalesce("family", "node"))
-    members = cut(with_running(members, ["family", "component", "node"]).withColumn("run", F.floor(F.col("position") / RUN)).drop("position"))
-    runs = members.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    spans = members.groupBy("family").agg(F.min("run").alias("begin"), F.max("run").alias("end"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
-    pairs = spans.select(F.explode(F.sequence("begin", "end")).alias("i"), "end").select("i", F.explode(F.sequence("i", "end")).alias("j")).distinct()
-    pairs = pairs.join(runs.toDF("i", "i_low", "i_high"), "i").join(runs.toDF("j", "j_low", "j_high"), "j")
-    pairs = pairs.where("NOT (i_low = i_high AND j_low = j_high AND i_low = j_low)")
-    wanted = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("run"))
-    full = members.join(sets, "node")
-    return wanted.join(full, "run").groupBy("i", "j").applyInPandas(lambda g: join_apart(g, percent), "a bigint, b bigint")
+    for _, g in frame.groupby("group"):
+        label, inverse = np.unique(g["component"].to_numpy(np.int64), return_inverse=True)
+        run, each = g["run"].to_numpy(np.int64), list(g["shingles"])
+        while len(np.unique(inverse)) > 1:  # leave out what shares too little with all others here, until none is left to leave out
+            size = np.array([len(x) for x in each])
+            owner = np.repeat(np.arange(len(each)), size)
+            _, at, seen = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+            enough = 100 * np.bincount(owner, seen[at] > 1, len(each)) >= percent * size
+            if enough.all():
+                break
+            inverse, run, each = inverse[enough], run[enough], [x for x, e in zip(each, enough, strict=True) if e]
+        if len(np.unique(inverse)) < 2:
+            continue
+        order = np.argsort(size, kind="stable")
+        place = np.concatenate([np.arange(0), *(at[b : b + n] for b, n in zip((np.cumsum(size) - size)[order], size[order], strict=True))])
+        size, now, run = size[order], inverse[order], run[order]
+        begin, cross, held = np.r_[0, np.cumsum(size)], len(np.unique(run)) > 1, np.zeros(len(seen), bool)
+        for x in range(len(size) - 1):
+            end = int(np.searchsorted(size * percent, 100 * size[x], "right"))
+            wanted = now[x + 1 : end] != now[x]
+            if cross:
+                wanted &= run[x + 1 : end] != run[x]
+            if not wanted.any():
+                continue
+            held[place[begin[x] : begin[x + 1]]] = True
+            shared = np.add.reduceat(held[place[begin[x + 1] : begin[end]]], begin[x + 1 : end] - begin[x + 1], dtype=np.int64)
+            held[place[begin[x] : begin[x + 1]]] = False
+            alike = wanted & (100 * shared >= percent * (size[x] + size[x + 1 : end] - shared))
+            for y in np.unique(now[x + 1 : end][alike]):
+                if y != now[x]:
+                    links.append((label[max(y, now[x])], label[min(y, now[x])]))
+                    now[now == y] = now[x]
+    return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+
+
+def _joined(members: DataFrame, sets: DataFrame, percent: int, steps: Steps) -> DataFrame:
+    """Links (u, v) between components of (group, component, node, n_shingles), from exact comparisons across them.
+
+    Members are dealt in runs of at most HOLD shingles, or one text; two runs of one group are compared in one task,
+    which holds no more than them and emits no more links than join what is apart.
+    """
+    order = ["group", "component", "node"]
+    dealt = members.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = steps.keep("runs", dealt.mapInPandas(_deal(HOLD), "group bigint, component bigint, node bigint, n_shingles bigint, run bigint"))
+    spans = dealt.groupBy("group", "run").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    pairs = spans.toDF("group", "i", "i_low", "i_high").join(spans.toDF("group", "j", "j_low", "j_high"), "group")
+    pairs = pairs.where("i <= j AND least(i_low, j_low) < greatest(i_high, j_high)").select("group", "i", "j")
+    wanted = pairs.select("group", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("run"))
+    full = wanted.join(dealt, ["group", "run"]).select("i", "j", "group", "run", "component", "node").join(sets, "node")
+    return full.groupBy("i", "j").applyInPandas(lambda f: join_apart(f, percent), "u bigint, v bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable over links) and kept (it is that id)."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    signed = cut(docs.mapInPandas(_sign(width), SIGNED))
+    steps = Steps(df.sparkSession, "minhash")
+    signed = steps.keep("signed", docs.mapInPandas(_sign(width), SIGNED))
     named = signed.where("class IS NOT NULL AND doc_id IS NOT NULL")
-    classes = named.groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "bits")).alias("c"))
-    classes = cut(classes.select("class", F.col("c.doc_id").alias("node"), "c.n_shingles", "c.bands", "c.bits"))
-
-    placed = classes.select("node", F.explode("bands").alias("band"))
-    hubs = placed.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    shared = cut(placed.join(hubs, "band"))
-    met = shared.select("node").distinct()
-    texts = docs.withColumnRenamed("doc_id", "node").join(met, "node", "left_semi")
-    sets = cut(texts.mapInPandas(_sets(width), "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
-
-    tried = cut(shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    links = cut(_verified(tried, sets, percent))
-    found = components(links.toDF("u", "v"))
-    shared = shared.select("band", "node").join(classes.select("node", "n_shingles", "bits"), "node")
-
-    def link(candidates: Callable[[DataFrame], DataFrame]) -> None:
-        nonlocal tried, links, found
-        left = _undecided(shared, found)
-        fresh = candidates(left).where(_close("x", "y", percent)).select(*_pair("x", "y")).distinct()
-        fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(fresh)
-        further = cut(_verified(fresh, sets, percent))
-        if further.head(1):
-            links = links.union(further)
-            found = components(links.toDF("u", "v"))
-
-    def some(left: DataFrame) -> DataFrame:
-        draw = [F.min_by(F.struct("component", "x"), F.xxhash64("x.node", "band", F.lit(k))) for k in range(HUBS)]
-        hubs = left.groupBy("band").agg(F.array(*draw).alias("hubs")).select("band", F.explode("hubs").alias("h"))
-        hubs = hubs.select("band", F.col("h.component").alias("other"), F.col("h.x").alias("y"))
-        return left.join(hubs, "band").where("component != other")
-
-    def few(left: DataFrame) -> DataFrame:
-        small = left.join(left.groupBy("band").count().where(F.col("count") <= SMALL).select("band"), "band", "left_semi")
-        return small.join(small.select("band", F.col("component").alias("other"), F.col("x").alias("y")), "band").where("component < other")
-
-    link(some)
-    link(few)
-    left = _undecided(shared, found)
-    large = left.groupBy("band").agg(F.count("*").alias("n"), F.min("x.node").alias("first")).where(F.col("n") > SMALL).select("band", "first")
-    family = cut(left.join(large, "band").select(F.col("x.node").alias("node"), "component", "first").distinct())
-    if family.head(1):
-        further = cut(_within_families(family, sets, percent))
-        if further.head(1):
-            found = components(links.union(further).toDF("u", "v"))
-    of_class = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    classes = named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
+    classes = classes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "class")  # so that nodes are ordered as ids are
+    classes = steps.keep("classes", classes.withColumn("node", F.monotonically_increasing_id()))
+    own = named.join(classes.select("class", "doc_id", "node"), ["class", "doc_id"])
+    votes = _hubs(own.select(F.explode("bands").alias("band"), "node"), steps).repartition("node").groupBy("node", "hub").agg(F.count("*").alias("votes"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("votes"), "hub")) == 1
+    pairs = steps.keep("pairs", votes.select("node", "hub", best.alias("best")))
+    steps.drop("met", "across")
+
+    known = pairs.select("node").union(pairs.select("hub")).distinct()
+    known = steps.keep("known", classes.join(known, "node", "left_semi").select("doc_id", "class", "node"))
+    texts = docs.join(known, "doc_id").select("node", "class", "text")
+    sets = steps.keep("sets", texts.mapInPandas(_sets(width), "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+    links = _verified(pairs.where("best").select(F.col("node").alias("u"), F.col("hub").alias("v")), sets, percent)
+    found = steps.keep("found", components(links, steps))
+
+    placed = pairs.join(found.toDF("hub", "group"), "hub", "left").withColumn("group", F.coalesce("group", "hub"))
+    members = placed.select("group", "node", "best").union(placed.select("group", F.col("hub").alias("node"), F.lit(False)))
+    members = members.groupBy("group", "node").agg(F.max("best").alias("tried"))
+    members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = steps.keep("members", _split(members).join(classes.select("node", "n_shingles"), "node").select("group", "component", "node", "n_shingles", "tried"))
+    left = steps.keep("left", _split(_eligible(members, sets, percent)).select("group", "component", "node", "n_shingles"))
+    steps.drop("known", "pairs", "members")
+    further = steps.keep("further", components(_joined(left, sets, percent, steps), steps).toDF("component", "whole"))
+    steps.drop("sets", "left", "runs")
+
+    joined = found.join(further, "component", "left").select("node", F.coalesce("whole", "component").alias("root"))
+    joined = joined.union(further.select(F.col("component").alias("node"), F.col("whole").alias("root")))
+    roots = joined.join(classes.select(F.col("node").alias("root"), F.col("doc_id").alias("component")), "root")
+    label = classes.join(roots.select("node", "component"), "node", "left").select("class", F.coalesce("component", "doc_id").alias("component"))
+    label = steps.keep("label", label)
+    steps.drop("found", "further", "classes")
+    out = signed.select("doc_id", "n_shingles", "class").join(label, "class", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that stand for their group, with all columns; a repeated id stays or goes as one."""
+    """The rows of ``df`` that stand for their group, with all columns; a repeated id stays or goes as one.
+
+    An id with several texts goes if one of them stands for less than its group.
+    """
     gone = near_duplicates(df, id_col, text_col, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
