@@ -295,7 +295,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     known = pairs.select("node").union(pairs.select("hub")).distinct()
     known = steps.keep("known", classes.join(known, "node", "left_semi").select("doc_id", "class", "node"))
-    texts = docs.join(known, "doc_id").select("node", "class", "text")
+    texts = docs.join(known.hint("merge"), "doc_id").select("node", "class", "text")  # alike at every size
     sets = steps.keep("sets", texts.mapInPandas(_sets(width), "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
     links = _verified(pairs.where("best").select(F.col("node").alias("u"), F.col("hub").alias("v")), sets, percent)
     found = steps.keep("found", components(links, steps))
