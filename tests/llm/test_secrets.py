@@ -1,11 +1,15 @@
 """Secret scans against a plain search and directly computed entropies."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tokenloom.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -20,7 +24,7 @@ def brute(text):
     for k, c in enumerate(secrets.CLASSES, 3):
         for m in re.finditer(c.pattern, text):
             best = max(-sum(n / c.window * math.log2(n / c.window) for n in Counter(m[0][i : i + c.window]).values()) for i in range(len(m[0]) - c.window + 1))
-            if best >= c.bits and all(re.search(x, m[0]) for x in c.needs) and not any(re.search(x, m[0]) for x in secrets.ALLOWED) and not any(s < m.end() and m.start() < e for s, _, e in base):
+            if round(best, 9) >= c.bits and all(re.search(x, m[0]) for x in c.needs) and not any(re.search(x, m[0]) for x in secrets.ALLOWED) and not any(s < m.end() and m.start() < e for s, _, e in base):
                 every.append((m.start(), k, m.end()))
     names = ["assign", "access", "hex", *(c.name for c in secrets.CLASSES)]
     show = lambda a: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(a))
@@ -40,3 +44,34 @@ def test_against_plain_search(docs_of):
     assert sorted((r.doc_id is None, r.doc_id or 0, tuple(r[1:])) for r in got) == sorted((i is None, i or 0, brute(t)) for i, t in rows)
     assert secrets.find_secrets(docs_of([])).count() == 0
     assert any("entropy_base64" in brute(t)[-1] for t in texts) and any("entropy_hex" in brute(t)[-1] for t in texts)
+
+
+def test_windows_at_the_threshold(docs_of):
+    """Exactly 3 bits, whatever came before the window."""
+    texts = ["x " + "0A1B2C3D" * 3 + " y", "0000" + "0A1B2C3D" * 3, "0A1B2C3D" * 9, "3D2C1B0A" * 3, "A0" * 7 + "0A1B2C3D" * 4 + "A0" * 5, "0A1B2C3" * 4, "00A1B2C3D" * 3]
+    got = {r.doc_id: tuple(r[1:]) for r in secrets.find_secrets(docs_of(list(enumerate(texts)))).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert got[0][-1] == "entropy_hex:2:26"
+
+
+def test_many_matches_of_one_text(docs_of):
+    """Twice the matches take about twice the time, and added spans are set against many base spans."""
+    took = []
+    for n in (1000, 20_000, 40_000):
+        text = ("token=abcdef12 " * 7 + "0A1B2C3D" * 3 + " ") * (n // 8)
+        df = docs_of([(1, text)])
+        began = time.perf_counter()
+        r = secrets.find_secrets(df).collect()[0]
+        took.append(time.perf_counter() - began)
+        assert r.n_assign == 7 * (n // 8) and r.spans.count("entropy_hex") == n // 8
+        if n == 1000:
+            assert tuple(r[1:]) == brute(text)
+    assert took[2] < 3 * took[1] + 2
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 2, 63, 64, 65, 4096, 4097, 10_000):
+        xs = [rng.randrange(9) for _ in range(n)]
+        got = spark.createDataFrame([(xs,)], "xs array<bigint>").select(secrets.running(F.col("xs")).alias("r")).first().r
+        assert got == [0, *itertools.accumulate(xs)][:n]
