@@ -79,6 +79,46 @@ def test_block_counts_ids_once():
     assert [i for _, i in best] == sorted(cost.keys() - {2}, key=lambda i: (cost[i], i))[:5]
 
 
+def test_cells_cover_space():
+    rng = np.random.default_rng(3)
+    places = rng.standard_normal((3000, neighbours.DIRECTIONS))
+    tree = neighbours.Cells(places, 37)
+    at = tree.of(places)
+    assert len(tree) == 37 and np.bincount(at, minlength=37).min() > 30
+    assert ((tree.low[at] <= places) & (places <= tree.high[at])).all()
+    assert (tree.of(rng.standard_normal((50, neighbours.DIRECTIONS)) * 99) >= 0).all()
+    assert len(neighbours.Cells(np.ones((50, neighbours.DIRECTIONS)), 9)) == len(neighbours.Cells(places[:0], 9)) == 1
+    for q in places[:20]:
+        assert set(at[((places - q) ** 2).sum(1) <= neighbours.reach_of(0.1, 0.9)]) <= set(tree.near(q, 0.1, 0.9))
+    assert len(tree.near(places[0], float("inf"), 0.98)) == 37
+
+
+def test_routed_search(spark, monkeypatch):
+    """Clusters over many cells, one vector on a third of the rows, ids on rows of several cells, and two dimensions."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 128)
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((40, 16))
+    rows = [(i, (centres[i % 40] + 0.15 * rng.standard_normal(16)).tolist()) for i in range(2500)]
+    rows += [(10_000 + i, centres[0].tolist()) for i in range(1200)] + [(i, centres[(i + 1) % 40].tolist()) for i in range(0, 500, 25)]
+    rows += [(20_000 + i, rng.standard_normal(5).tolist()) for i in range(300)] + [(30_000, [1.0, 2.0])]
+    want, got = brute(rows), {}
+    for r in neighbours.nearest(spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    want = {q: x for q, x in want.items() if x}
+    assert got.keys() == want.keys() and all(sorted(x) == list(range(1, 6)) for x in got.values())
+    hits = sum(len({i for _, i in want[q]} & {i for i, _ in got[q].values()}) for q in want)
+    assert hits / (5 * len(want)) >= 0.95
+
+
+def test_known_distances_spare_points():
+    rng = np.random.default_rng(9)
+    v = np.repeat(rng.standard_normal((30, 12)), 60, 0) + 0.05 * rng.standard_normal((1800, 12))
+    block, far = neighbours.Block(np.arange(1800), v, 5), neighbours.Block(np.arange(1800), v, 5)
+    best = block.search(3, v[3], 5, 0.98)
+    within = 2 + 2 * best[-1][0]
+    assert far.search(3, v[3], 5, 0.98, within) == best and far.verified <= block.verified < 1800
+
+
 def test_chi_square():
     x = np.random.default_rng(0).chisquare(8, 200_000)
     for at in (2.0, 7.3, 15.0):
