@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from tokenloom.llm import toxicity
 from tokenloom.session import table
@@ -76,3 +78,72 @@ def test_edges(spark, docs_of):
     assert len(by) == 62 and np.mean([by[i].predicted == i % 2 for i in ids]) > 0.95
     assert toxicity.keep_civil(docs, labels).columns == docs.columns
     assert toxicity.score_toxicity(docs_of([]), none).count() == 0
+
+
+def plain_score(model, text):
+    """The score of a text by loops over windows, words and units."""
+    p, half = {k: v.astype(float) for k, v in model.net.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    words = (text or "").lower().encode().translate(toxicity._PARTS).split()
+    mask = (1 << toxicity.HASH_BITS) - 1
+
+    def of_word(w):
+        x = [model.odds.words[xxhash.xxh32_intdigest(w) & mask]]
+        raw = b"\x01" + w + b"\x02"
+        for n, odds in zip(toxicity.GRAMS, model.odds.grams, strict=True):
+            found = []
+            for at in range(len(raw) - n + 1):
+                h = n
+                for b in raw[at : at + n]:
+                    h = (h ^ b) * 0x9E3779B1 & 0xFFFFFFFF
+                    h ^= h >> 15
+                found.append(odds[h & mask])
+            x += [max(found), sum(found) / len(found)] if found else [0.0, 0.0]
+        return np.array([*x, 1.0])
+
+    def run(d, xs):
+        h, out = np.zeros(half), []
+        for x in xs:
+            a, b = x @ p[f"w{d}"], h @ p[f"u{d}"]
+            z, r = sig(a[:half] + b[:half]), sig(a[half : 2 * half] + b[half : 2 * half])
+            n = np.tanh(a[2 * half :] + r * b[2 * half :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    best, at = -np.inf, 0
+    while True:
+        part = words[at : at + toxicity.WINDOW]
+        if part:
+            xs = [of_word(w) for w in part]
+            hs = [np.concatenate(x) for x in zip(run("f", xs), run("b", xs[::-1])[::-1], strict=True)]
+            e = np.array([np.tanh(h @ p["wa"] + p["ba"]) @ p["va"] for h in hs])
+            e = np.exp(e - e.max())
+            c = sum(w * h for w, h in zip(e / e.sum(), hs, strict=True))
+        else:
+            c = np.zeros(2 * half)
+        best = max(best, float(c @ p["wo"] + p["bo"][0]))
+        if at + toxicity.WINDOW >= len(words):
+            return sig(model.slope * best + model.shift)
+        at += toxicity.STRIDE
+
+
+def test_against_plain_loops():
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdeé")) for _ in range(rng.integers(1, 7)))
+    texts = [" ".join([word() for _ in range(rng.integers(1, 90))] + ["vile"] * (k % 2)) for k in range(80)]
+    model = toxicity.train(texts, np.arange(80) % 2)
+    shown = [*texts[:12], None, "", " ?! ", "vile", " ".join(word() for _ in range(200)), "é" * 30]
+    assert np.allclose(model.scores(shown), [plain_score(model, t) for t in shown], atol=2e-4)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """One id on very many rows gives one text to learn from."""
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("bad thing "), "id").alias("text"))
+    docs = rows.union(spark.range(2, 5000).select("id", F.concat(F.lit("good thing "), "id")))
+    labels = spark.range(1, 5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, *_: seen.append(len(texts)))
+    toxicity.learn(docs, labels.union(labels), sample=200)
+    toxicity.learn(docs, labels.where("doc_id < 40"), sample=200)
+    assert seen[0] <= 200 and seen[0] > 100 and seen[1] <= 39

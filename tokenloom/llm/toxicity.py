@@ -6,8 +6,9 @@ window of words, attention pools them, and a logistic output scores the window.
 half a window is whole in one; every window of a text is scored, and the text's score is the calibrated largest. So one
 bad line in a very long text counts.
 
-Learning uses a bounded sample of labelled rows (``sample`` texts of at most ``longest`` characters, half of them
-labelled 1 where there are as many). The log odds that a training text meets come from the other half of the sample, so
+Learning uses a bounded sample of labelled rows: at most ``sample`` texts, one for each of the (id, label) pairs that a
+hash of the id draws, half of them labelled 1 where there are as many, each of at most ``longest`` characters. However
+often an id is repeated, the driver gets one text of it. The log odds that a training text meets come from the other half of the sample, so
 the network learns to trust them as far as they carry over. The text's window is learned along: of a text labelled 1,
 the window that now scores highest; of the others, that one and one at random.
 
@@ -255,7 +256,8 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, roun
     windows = [np.where(w > 0, w + size * half[i], 0) for i, w in enumerate(map(windows_of, v.docs))]
     flat, starts = np.concatenate(windows), np.cumsum([0, *map(len, windows)])
     net, state = Network(seed), {}
-    now = inputs[flat][:, :, :-1].max(1).sum(1)  # before the first round: by the inputs alone
+    # before the first round: by the inputs alone
+    now = np.concatenate([inputs[flat[at : at + 4096]][:, :, :-1].max(1).sum(1) for at in range(0, len(flat), 4096)])
     for k in range(rounds):
         at, y = [], []
         for i, label in enumerate(labels):
@@ -283,15 +285,15 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, roun
     return Model(learn_odds(v, np.arange(len(texts)), labels), net, slope, shift)
 
 
-def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 3000, longest: int = 50_000) -> Model:
+def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 3000, longest: int = 20_000) -> Model:
     """Train on a bounded sample of the labelled rows whose crc32(id as text) mod 5 is not 0."""
     known = labels.where((F.col(label_col).isin(0, 1)) & (fold(F.col(id_col), 5) != 0)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    chance = lambda k: min(1.0, sample / 2 / max(1, sizes.get(k, 0)))
-    share = F.when(F.col("label") == 1, F.lit(chance(1))).otherwise(F.lit(chance(0)))
-    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)  # about `sample` rows, so it may be broadcast
+    drawn = [known.where(F.col("label") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
+    few = drawn[0].union(drawn[1])  # at most `sample` rows, so it may be broadcast
     docs = df.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    got = docs.join(F.broadcast(few), "doc_id").toPandas().sort_values(["doc_id", "text", "label"])
+    one = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = one.toPandas().sort_values(["doc_id", "text", "label"])
     return train(list(got["text"]), got["label"].to_numpy(), sizes.get(1, 0) / max(1, sum(sizes.values())))
 
 
