@@ -1,8 +1,11 @@
 """Language identification: codes, decoding, held-out accuracy and edges."""
 
+import math
+import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tokenloom.llm import language
 from tokenloom.llm.common import documents
@@ -40,3 +43,54 @@ def test_edges(docs_of):
     assert not next(r for r in got if r.doc_id is None).held_out
     none = docs_of(rows, lang={i: None for i, _ in rows})
     assert {r.lang_pred for r in language.identify(none).collect()} == {"und"}
+
+
+def plain_predict(model, text):
+    """The language of a text by loops over its n-grams and over the codewords."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw = [b if b >= 128 or 97 <= b <= 122 else 32 for b in f" {text.lower()} ".encode()]
+    sums, n = [0.0] * model.table.shape[1], 0
+    for size in language.GRAMS:
+        for at in range(len(raw) - size + 1):
+            h = size
+            for b in raw[at : at + size]:
+                h = (h ^ b) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            sums = [s + float(x) for s, x in zip(sums, model.table[h & 0xFFFF], strict=True)]
+            n += 1
+    f = [math.tanh(a * s / n + c) for s, a, c in zip(sums, model.scale, model.shift, strict=True)]
+    loss = [sum(w * math.exp(-bit * x) for w, bit, x in zip(ws, code, f, strict=True)) for ws, code in zip(model.weights, model.code, strict=True)]
+    best = min(range(len(loss)), key=lambda k: (loss[k], k))
+    return model.languages[best], 1 / sum(math.exp(-8 * (x - loss[best])) for x in loss)
+
+
+def test_against_plain_loops():
+    rng = random.Random(4)
+    tongues = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(60)] for lang, letters in (("a", "abcde"), ("b", "defgh"), ("c", "ghiñé"))}
+    texts = [(" ".join(rng.choices(words, k=20)), lang) for lang, words in tongues.items() for _ in range(8)]
+    model = language.train(*map(list, zip(*texts, strict=True)))
+    for t in [*(t for t, _ in texts), None, "", "12 !", "Ñé", " ".join(rng.choices(tongues["b"], k=5) + rng.choices(tongues["c"], k=5)), "abc " * 400]:
+        lang, score, _ = model.predict(t)
+        want = plain_predict(model, t)
+        assert lang == want[0] and abs(score - want[1]) < 1e-6
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """One id on very many rows gives one text; of very many labels, the most frequent are learned."""
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("a thing "), "id").alias("text"), F.lit("en").alias("lang"))
+    more = spark.range(2, 4000).select("id", F.concat(F.lit("some thing "), "id"), F.when(F.col("id") < 3000, F.concat(F.lit("l"), (F.col("id") % 5).cast("string"))).otherwise(F.concat(F.lit("z"), "id")))
+    seen = []
+    train = language.train
+    monkeypatch.setattr(language, "train", lambda texts, labels: seen.append((len(texts), len(set(labels)))) or train(texts[:50], labels[:50]))
+    language.identify(rows.union(more), sample=300, most=20)
+    assert seen[0][0] <= 300 and 6 <= seen[0][1] <= 20
+    language.identify(rows, sample=300)
+    assert seen[1] == (1, 1)
+
+
+def test_repeated_rows_and_a_long_text(docs_of):
+    long = "the cat and the hat " * 20_000
+    rows = [(i, "der hund und die katze") for i in range(20)] + [(i, "the cat and the hat") for i in range(20, 40)] + [(77, long), (77, long), (3, "der hund und die katze")]
+    got = language.identify(docs_of(rows, lang={i: "de" for i in range(20)})).collect()
+    assert len(got) == len(rows) and [r.lang_pred for r in got if r.doc_id == 77] == ["en", "en"] and {r.lang_pred for r in got if r.doc_id == 3} == {"de"}

@@ -5,8 +5,10 @@ that bit set from the others, and its mean log odds are calibrated to a value in
 the codeword of least loss, each bit weighted by how well its classifier does on that language; ``ambiguous`` tells that
 another codeword is nearly as close.
 
-Learning uses a bounded sample of labelled rows: about ``sample`` texts, dealt evenly over the languages by a hash of the
-id, of at most ``longest`` characters each. Prediction reads every whole text.
+Learning uses a bounded sample of labelled rows: at most ``sample`` texts, dealt evenly over the languages by a hash of
+the id, one for each (id, language) drawn, of at most ``longest`` characters each. However often an id is repeated, the
+driver gets one text of it. The ``most`` values of the label with the most ids are learned; a column with more of them isn't
+one of languages. Prediction reads every whole text.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; with no label to learn from, so does
 every text; with one language, every text with a letter gets it. A null id is predicted, neither learned from nor held
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import fold
@@ -107,16 +109,17 @@ def train(texts: list[str], labels: list[str]) -> Model:
     languages = sorted(set(labels))
     code = codewords(len(languages))
     size = 1 << HASH_BITS
-    counts = np.zeros((len(languages), size))
     docs = [np.concatenate(grams(raw_bytes(t))) for t in texts]
-    which = np.array([languages.index(x) for x in labels], int)
+    place = {x: k for k, x in enumerate(languages)}
+    which = np.array([place[x] for x in labels], int)
+    texts_of = np.bincount(which, minlength=len(languages))
+    sums = np.full((2, code.shape[1], size), 1e-7)  # of both sides of each bit: as wide as the code, not as the languages
     for h, k in zip(docs, which, strict=True):
-        counts[k] += np.bincount(h, minlength=size) / max(1, len(h))  # each text counts alike
-    counts /= np.maximum(1, np.bincount(which, minlength=len(languages)))[:, None] if len(languages) else 1
-    table = np.zeros((size, code.shape[1]), np.float32)
-    for b, bits in enumerate(code.T):
-        yes, no = (np.sum(counts[bits == s], 0) / max(1, (bits == s).sum()) + 1e-7 for s in (1, -1))
-        table[:, b] = np.log(yes / yes.sum()) - np.log(no / no.sum())
+        own = np.bincount(h, minlength=size) / (max(1, len(h)) * texts_of[k])  # each text of a language counts alike, and each language
+        for b, bit in enumerate(code[k]):
+            sums[int(bit < 0), b] += own / max(1, (code[:, b] == bit).sum())
+    sums = np.log(sums / sums.sum(2, keepdims=True))
+    table = (sums[0] - sums[1]).T.astype(np.float32)
     model = Model(languages, code, table, np.ones(code.shape[1]), np.zeros(code.shape[1]), np.ones(code.shape))
     if len(languages) > 1:
         m = np.array([table[h].mean(0, dtype=np.float64) if len(h) else np.zeros(code.shape[1]) for h in docs])
@@ -131,18 +134,22 @@ def train(texts: list[str], labels: list[str]) -> Model:
     return model
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, longest: int = 50_000) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, longest: int = 20_000, most: int = 256) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, ambiguous; learned where crc32(id as text) mod 4 is not 2."""
     spark = df.sparkSession
     part = fold(df[id_col], 4)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), df[lang_col].alias("lang"), F.coalesce(part == 2, F.lit(False)).alias("held_out"), part.isNotNull().alias("named"))
     labelled = docs.where(F.col("named") & ~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    each = max(20, sample // max(1, len(sizes)))
+    counted = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("ids"), "lang")
+    sizes = {r["lang"]: r["ids"] for r in counted.limit(most).collect()}
+    each = max(1, sample // max(1, len(sizes)))
     share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
-    got = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text"])
+    for lang, n in sizes.items():  # twice what is wanted, so that what is then counted is small
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max(2.0 * each, 100.0) / n))).otherwise(share)
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    one = drawn.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = one.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text", "lang"])
     model = spark.sparkContext.broadcast(train(list(got["text"]), list(got["lang"])))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
