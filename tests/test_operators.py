@@ -185,7 +185,7 @@ def test_encoders(spark):
         encoders.vocabulary("none")
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(1, rng.random(16000).tolist(), 16000), (2, None, 16000)], "i int, w array<float>, r int")
-    e = encoders.encoder_udf("spidr_base")
+    e = encoders.encoder_udf("levels")
     a, b = (sorted(map(tuple, df.select("i", e("w", "r").alias("x")).select("i", "x.*").collect())) for _ in range(2))
     assert a == b and a[0][1] and all(0 <= t < 256 for t in a[0][1]) and all(x != y for x, y in zip(a[0][1], a[0][1][1:]))
     assert a[1][1] is None and a[1][2]

@@ -62,9 +62,57 @@ def day_tag(ts: Column) -> Column:
     return F.lower(F.date_format(ts, "MMMdd"))
 
 
-def rewrite(key: Column, rules: list[tuple[str, str | None]]) -> Column:
-    """The first rule (pattern, replacement) that matches rewrites the key; None drops it (null); no match keeps it."""
+def rewrite(key: Column, rules: list[tuple[str, str | None | tuple[tuple[str, str], ...]]]) -> Column:
+    """The first rule (pattern, replacement) that matches rewrites the key; no match keeps it.
+
+    A replacement is a text for the pattern, or several (part, text) that are replaced in turn, or None, which drops the key
+    (null).
+    """
+
+    def changed(pattern: str, new) -> Column:
+        if new is None:
+            return F.lit(None).cast("string")
+        if isinstance(new, str):
+            return F.regexp_replace(key, pattern, new)
+        out = key
+        for part, text in new:
+            out = F.replace(out, F.lit(part), F.lit(text))
+        return out
+
     out = key
     for pattern, new in reversed(rules):
-        out = F.when(key.rlike(pattern), F.lit(None).cast("string") if new is None else F.regexp_replace(key, pattern, new)).otherwise(out)
+        out = F.when(key.rlike(pattern), changed(pattern, new)).otherwise(out)
     return out
+
+
+#: Formats of time stamps.
+STAMPS = {"full": "yyyy-MM-dd HH:mm:ss", "time": "HH:mm:ss", "date": "dd-MM-yy", "iso": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def stamp(ts: Column, kind: str = "full") -> Column:
+    """A time stamp as text; an unknown kind is full."""
+    return F.date_format(ts, STAMPS.get(kind, STAMPS["full"]))
+
+
+def lstm_name(hidden: Column, layers: Column, dropout: Column, ts: Column) -> Column:
+    return F.concat(F.lit("lstm_h"), hidden.cast("string"), F.lit("_l"), layers.cast("string"), F.lit("_d"), dropout.cast("string"), F.lit("_"), day_tag(ts))
+
+
+def gpt2_name(embedding: Column, layers: Column, heads: Column, ts: Column) -> Column:
+    return F.concat(F.lit("gpt2_e"), embedding.cast("string"), F.lit("_l"), layers.cast("string"), F.lit("_h"), heads.cast("string"), F.lit("_"), day_tag(ts))
+
+
+def eta(seconds: Column) -> Column:
+    """Whole hours and minutes, as in 2h5m."""
+    whole = F.floor(seconds)
+    return F.concat(F.floor(whole / 3600).cast("string"), F.lit("h"), F.floor(F.pmod(whole, F.lit(3600)) / 60).cast("string"), F.lit("m"))
+
+
+def shown(value: Column) -> Column:
+    """Four decimals, or N/A for null."""
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.4f", value))
+
+
+def spread(mean: Column, std: Column) -> Column:
+    """mean±deviation, four decimals each, or N/A."""
+    return F.when(mean.isNull(), "N/A").otherwise(F.format_string("%.4f\u00b1%.4f", mean, std))

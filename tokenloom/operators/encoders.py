@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, ShortType, StringType, StructField, Str
 
 #: Encoder names and their numbers of tokens.
 VOCABULARIES = {"spidr_base": 256, "mhubert": 2000, "hubert-500": 500}
+#: Fixed value: messages of expected failures, which a report leaves out though the rows count as errors.
+SILENT = ("Cannot subsample F0",)
 
 Encode = Callable[[np.ndarray, int], np.ndarray]
 
@@ -57,7 +59,7 @@ ENCODED = StructType([StructField("tokens", ArrayType(ShortType())), StructField
 
 
 def level_encoder(n_tokens: int = 256) -> Encode:
-    """A native stand-in: the mean level of 20 ms frames, quantised, without repeats. Neural encoders plug in by ``register``."""
+    """The mean level of 20 ms frames, quantised, without repeats: the one encoder that needs no weights, registered as ``levels``."""
 
     def encode(wave: np.ndarray, rate: int) -> np.ndarray:
         step = max(1, rate // 50)
@@ -70,9 +72,14 @@ def level_encoder(n_tokens: int = 256) -> Encode:
 
 
 def encoder_udf(name: str, **options):
-    """struct<tokens, error> of (wave array<float>, rate int): the encoder is made once in each worker, errors become rows."""
+    """struct<tokens, error> of (wave array<float>, rate int): the encoder is made once in each worker, errors become rows.
+
+    A name whose weights aren't here (a vocabulary without a factory) is refused until ``register`` brings its encoder.
+    """
     vocabulary(name)
-    factory = _FACTORIES.get(name) or (lambda **_: level_encoder(VOCABULARIES[name]))
+    if name not in _FACTORIES:
+        raise ValueError(f"no encoder is registered for {name}; there are {sorted(_FACTORIES)}")
+    factory = _FACTORIES[name]
 
     @F.pandas_udf(ENCODED)
     def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -87,3 +94,15 @@ def encoder_udf(name: str, **options):
             yield pd.DataFrame(rows, columns=["tokens", "error"])
 
     return encode
+
+
+def split_errors(df: DataFrame, encoded: str = "encoded", silent: tuple[str, ...] = SILENT) -> tuple[DataFrame, DataFrame]:
+    """(rows with tokens and no error, rows with an error): the second with ``shown``, false for messages to leave out."""
+    error = F.col(f"{encoded}.error")
+    quiet = F.lit(False)
+    for part in silent:
+        quiet = quiet | error.contains(part)
+    return df.where(error.isNull()), df.where(error.isNotNull()).withColumn("shown", ~quiet)
+
+
+register("levels", 256, level_encoder)

@@ -19,20 +19,22 @@ def _clean(df: DataFrame, score: str, positive: str, keys: list[str]) -> DataFra
     return known.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, "_pos", "_score"]))
 
 
-def group_accuracy(df: DataFrame, score: str, positive: str, keys: list[str]) -> DataFrame:
-    """Per group: n_pos, n_neg, won (pairs), accuracy.
+def group_accuracy(df: DataFrame, score: str, positive: str, keys: list[str], collapsed: bool = False) -> DataFrame:
+    """Per group: n_pos, n_neg, won (pairs), accuracy; ``collapsed`` counts equal positives once and NaN above all numbers.
 
     Equal scores are summed first; ranks come from a running sum inside (group, score range) and the totals of the ranges
-    below, so no group meets in one task however large it is.
+    below. Ranges are the group's own quantiles, so no group meets in one task, however large it is or near its scores are.
     """
     clean = _clean(df, score, positive, keys)
     sums = [F.sum(F.col("_pos").cast("long")).alias("p"), F.sum((~F.col("_pos")).cast("long")).alias("n")]
     tied = clean.groupBy(*keys, "_score").agg(*sums)
-    edges = clean.where(~F.isnan("_score")).agg(F.percentile_approx("_score", [k / RANGES for k in range(1, RANGES)], 2000)).first()[0] or []
-    part = F.lit(0)
-    for e in sorted(set(edges)):
-        part = part + (F.col("_score") > e).cast("int")
-    ranged = tied.withColumn("_range", F.when(F.isnan("_score"), -1).otherwise(part))
+    if collapsed:
+        tied = tied.withColumn("p", F.least("p", F.lit(1)))
+    quantiles = F.percentile_approx("_score", [k / RANGES for k in range(1, RANGES)], 2000).alias("_edges")
+    edges = clean.where(~F.isnan("_score")).groupBy(*keys).agg(quantiles)
+    part = F.size(F.filter(F.array_distinct(F.coalesce("_edges", F.array().cast("array<double>"))), lambda e: F.col("_score") > e))
+    last = F.lit(RANGES) if collapsed else F.lit(-1)
+    ranged = tied.join(edges, keys, "left").withColumn("_range", F.when(F.isnan("_score"), last).otherwise(part)).drop("_edges")
     here = Window.partitionBy(*keys, "_range").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
     below = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     won = F.when(F.col("_range") >= 0, F.col("p") * F.coalesce(F.sum("n").over(here), F.lit(0))).otherwise(0)
@@ -61,11 +63,7 @@ def discrimination_accuracy_pairs(df: DataFrame, score: str, positive: str = "po
 
 def collapsed_accuracy(df: DataFrame, score: str, positive: str = "positive", group: str = "group_id") -> DataFrame:
     """A variant: equal positives of a group count once, and NaN is above all numbers."""
-    clean = _clean(df, score, positive, [group])
-    pos = clean.where("_pos").select(group, F.col("_score").alias("p")).distinct()
-    neg = clean.where("NOT _pos").select(group, F.col("_score").alias("n"))
-    each = pos.join(neg, group).groupBy(group, "p").agg(F.avg((F.col("p") > F.col("n")).cast("double")).alias("a"))
-    return _mean(each.groupBy(group).agg(F.avg("a").alias("accuracy")))
+    return _mean(group_accuracy(df, score, positive, [group], collapsed=True))
 
 
 def accuracy_by(df: DataFrame, category: str, score: str, positive: str = "positive", group: str = "group_id") -> DataFrame:
@@ -88,3 +86,28 @@ def score_summary(df: DataFrame, score: str) -> DataFrame:
 def n_unique(column: Column) -> Column:
     """Distinct values, null counting as one."""
     return F.count_distinct(column) + F.coalesce(F.max(column.isNull().cast("int")), F.lit(0))
+
+
+def group_column(df: DataFrame) -> str:
+    """group_id, or word_id in older tables."""
+    return "group_id" if "group_id" in df.columns else "word_id"
+
+
+def accuracy_report(df: DataFrame, scores: tuple[str, ...] = ("log_prob", "log_prob_norm"), positive: str = "positive", category: str = "voice") -> DataFrame:
+    """(score, category, accuracy, n_groups): each score over all rows (a null category) and by category.
+
+    Scores that the table lacks are left out, and so are categories where it has none. The group is group_id, or word_id.
+    """
+    group = group_column(df)
+    kind = dict(df.dtypes).get(category, "string")
+    parts = []
+    for s in (s for s in scores if s in df.columns):
+        parts.append(discrimination_accuracy(df, s, positive, group).select(F.lit(s).alias("score"), F.lit(None).cast(kind).alias(category), "accuracy", "n_groups"))
+        if category in df.columns:
+            parts.append(accuracy_by(df, category, s, positive, group).select(F.lit(s).alias("score"), category, "accuracy", "n_groups"))
+    if not parts:
+        raise ValueError(f"the table has none of the scores {list(scores)}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

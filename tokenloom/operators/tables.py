@@ -1,4 +1,9 @@
-"""Manifests, pair tables, token look-ups and row status."""
+"""Manifests, pair tables, token look-ups and row status.
+
+Nulls, empty tables: manifests keep null paths; a look-up gives null for a null key; empty tables stay empty with their
+columns. Repeated rows stay, except of stored values, where the last counts. Columns that clash in a look-up are refused by
+Spark as ambiguous only if read; the key and the value are the only columns taken from the stored side.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tokenloom.functions.names import sample_key
+from tokenloom.functions.names import eta, file_name, parent, sample_key
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -31,12 +36,13 @@ def adapt_manifest(df: DataFrame, prefer_path: bool = False) -> DataFrame:
     return df
 
 
-def load_manifest(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def load_manifest(spark: SparkSession, path: str, schema: StructType | str | None = None, prefer_path: bool = False) -> DataFrame:
+    """A manifest of either format; of the columns path and audio_filepath the second counts, or the first if preferred."""
     if path.endswith(".csv"):
         reader = spark.read.option("header", True)
-        return adapt_manifest((reader.schema(schema) if schema else reader).csv(path))
+        return adapt_manifest((reader.schema(schema) if schema else reader).csv(path), prefer_path)
     if path.endswith(".parquet"):
-        return adapt_manifest(spark.read.parquet(path))
+        return adapt_manifest(spark.read.parquet(path), prefer_path)
     raise ValueError(f"manifests are .csv or .parquet, not {path}")
 
 
@@ -50,7 +56,9 @@ def load_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_rows(frames: list[DataFrame], path: str) -> None:
-    """CSV or JSON lines with the union of the columns, in the order first seen."""
+    """CSV or JSON lines with the union of the columns, in the order first seen; without frames, nothing is written."""
+    if not frames:
+        return
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -62,9 +70,17 @@ def save_rows(frames: list[DataFrame], path: str) -> None:
         raise ValueError(f"rows are saved as .csv or .jsonl, not {path}")
 
 
-def unpivot_pairs(df: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
-    """Two rows of each pair, from one scan: group_id, file_id, the fields, voice, positive."""
-    side = lambda name, flag: F.struct(*(F.col(f"{name}_{f}").alias(f) for f in fields), F.lit(flag).alias("positive"))
+def unpivot_pairs(df: DataFrame, fields: list[str], id_col: str = "id", nested: dict[str, str] | None = None) -> DataFrame:
+    """Two rows of each pair, from one scan: group_id, file_id, the fields, voice, positive.
+
+    A field f comes from positive_f and negative_f; ``nested`` names further ones and the member of the structs positive
+    and negative that each comes from. Null values stay; a null voice makes a null file_id; repeated pairs come repeated.
+    """
+
+    def side(name: str, flag: bool) -> Column:
+        own = [F.col(f"{name}_{f}").alias(f) for f in fields] + [F.col(f"{name}.{m}").alias(f) for f, m in (nested or {}).items()]
+        return F.struct(*own, F.lit(flag).alias("positive"))
+
     long = df.select(F.col(id_col).alias("group_id"), "voice", F.explode(F.array(side("positive", True), side("negative", False))).alias("s"))
     flat = long.select("group_id", "voice", "s.*")
     return flat.withColumn("file_id", sample_key(F.col("group_id"), F.col("voice"), F.col("positive")))
@@ -89,3 +105,23 @@ def status(n_samples: Column, rate: Column, tokens: Column, min_seconds: float =
         .when(F.size(tokens) == 0, "error_no_tokens")
         .otherwise("ok")
     )
+
+
+def save_manifest(df: DataFrame, path: str) -> None:
+    """file_id and audio_filepath by folder, then name: one CSV part in order, or for .txt one path a line."""
+    by = df.orderBy(parent(F.col("audio_filepath")), file_name(F.col("audio_filepath")), "file_id")
+    if path.endswith(".csv"):
+        by.select("file_id", "audio_filepath").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    elif path.endswith(".txt"):
+        by.select("audio_filepath").coalesce(1).write.mode("overwrite").text(path)
+    else:
+        raise ValueError(f"manifests are saved as .csv or .txt, not {path}")
+
+
+def progress(statuses: DataFrame, elapsed: float, total: int) -> DataFrame:
+    """Counts of a column ``status`` as written, skipped_short and skipped_error, the rate a second, and hours and minutes to go."""
+    s, ok = F.col("status"), F.count_if(F.col("status") == "ok")
+    counts = statuses.agg(ok.alias("written"), F.count_if(s == "skipped_short").alias("skipped_short"), F.count_if(s.startswith("error")).alias("skipped_error"), F.count("*").alias("seen"))
+    rate = F.when(F.lit(elapsed) > 0, F.col("written") / F.lit(elapsed)).otherwise(0.0)
+    left = F.when(F.col("rate") > 0, (F.lit(total) - F.col("seen")) / F.col("rate")).otherwise(0.0)
+    return counts.withColumn("rate", rate).withColumn("_left", left).withColumns({"eta": eta(F.col("_left"))}).drop("_left")

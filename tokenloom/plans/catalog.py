@@ -58,11 +58,6 @@ def discrimination_accuracy(spark, sf_dir):
     return _rounded(metrics.discrimination_accuracy(scored_events(spark, sf_dir), "log_prob"))
 
 
-@query(_ACCURACY)
-def discrimination_accuracy_pairs(spark, sf_dir):
-    return _rounded(metrics.discrimination_accuracy_pairs(scored_events(spark, sf_dir), "log_prob"))
-
-
 @query(f"""WITH {_SCORED},
 a AS (SELECT p.voice, p.g, avg(CASE WHEN p.v > n.v AND NOT isnan(p.v) AND NOT isnan(n.v) THEN 1.0 ELSE 0.0 END) AS a
       FROM s p JOIN s n ON p.g = n.g AND p.voice = n.voice AND p.pos AND NOT n.pos GROUP BY p.voice, p.g),
@@ -292,8 +287,7 @@ def layer_norm(spark, sf_dir):
 
 def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("config"), (F.col("user_id") % 3).cast("int").alias("seed"), "ts", F.col("value").alias("loss"))
-    step = F.row_number().over(Window.partitionBy("config", "seed").orderBy("ts")).cast("long")
-    return e.withColumn("step", step).select("config", "seed", F.when(F.col("step") % 10 == 0, "eval").otherwise("train").alias("kind"), "step", "loss")
+    return positions.within(e, ["config", "seed"], ["ts"], "step").select("config", "seed", F.when(F.col("step") % 10 == 0, "eval").otherwise("train").alias("kind"), "step", "loss")
 
 
 _LOG = "g AS (SELECT event_type AS config, (user_id % 3)::INT AS seed, value AS loss, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY ts) AS step FROM events), l AS (SELECT *, CASE WHEN step % 10 = 0 THEN 'eval' ELSE 'train' END AS kind FROM g)"

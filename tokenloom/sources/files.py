@@ -81,6 +81,10 @@ def decode_wav(body: bytes) -> tuple[np.ndarray, int]:
         width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    elif width == 3:  # 24 bits: the three bytes become the upper ones of 32
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = wide.view("<i4").ravel().astype(np.float32) / float(1 << 31)
     elif width in (2, 4):
         x = np.frombuffer(raw, np.int16 if width == 2 else np.int32).astype(np.float32) / float(1 << (8 * width - 1))
     else:

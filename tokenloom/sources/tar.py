@@ -1,18 +1,27 @@
-"""Token shards: a Python data source over tar files of records (key, tokens.npy, optional json)."""
+"""Token shards: a Python data source over tar files of records (key, tokens.npy, optional json).
+
+Null tokens or keys fail the write. Repeated keys are stored each, and ``load_last`` takes the last. A folder without shards
+is an error; writing no rows writes no shard. Columns other than key, tokens and meta are not written.
+"""
 
 from __future__ import annotations
 
 import glob
+import hashlib
 import io
 import os
+import re
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from tokenloom.functions.names import segment_key
 
 SCHEMA = "key string, tokens array<smallint>, meta string, shard string, place int"
 MAX_RECORDS, MAX_BYTES = 10_000, 1 << 30
@@ -41,8 +50,8 @@ def records(path: str) -> Iterator[tuple[str, list[int], str | None, int]]:
 
 
 class _Shard(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, draw: int = 0):
+        self.path, self.draw = path, draw
 
 
 class _Reader(DataSourceReader):
@@ -67,16 +76,30 @@ class _Reader(DataSourceReader):
 
 
 class _Done(WriterCommitMessage):
-    def __init__(self, files: list[str]):
-        self.files = files
+    def __init__(self, task: int, files: list[str]):
+        self.task, self.files = task, files
+
+
+def member_name(key: str, kind: str) -> str:
+    """A member's name. The first dot parts key and kind, so a key may hold none; it can't be empty or a path either."""
+    if not key or "." in key or "/" in key:
+        raise ValueError(f"the key {key!r} can't be stored: keys are not empty and hold neither dots nor slashes")
+    return f"{key}.{kind}"
 
 
 class _Writer(DataSourceWriter):
-    """Each task rolls its own shards; they get their names when all tasks have succeeded."""
+    """Each task rolls its own shards, under names of this write's own; they get their last names when all tasks have succeeded.
+
+    An append goes on numbering where the folder's shards end; an overwrite replaces shards of equal names and only then
+    deletes the others.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
-        self.folder, self.overwrite = options["path"], overwrite
+        self.folder, self.overwrite, self.id = options["path"], overwrite, uuid.uuid4().hex
         self.most, self.bytes = int(options.get("maxrecords", MAX_RECORDS)), int(options.get("maxbytes", MAX_BYTES))
+        self.naming = options.get("naming", "task")
+        if self.naming not in ("task", "shard"):
+            raise ValueError(f"shards are named by task or by shard, not by {self.naming}")
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -93,35 +116,87 @@ class _Writer(DataSourceWriter):
             if tar is None or n >= self.most or size >= self.bytes:
                 if tar:
                     tar.close()
-                files.append(os.path.join(self.folder, f"task{task.partitionId():03d}-shard{len(files):03d}.tar.try{task.taskAttemptId()}"))
+                files.append(os.path.join(self.folder, f".{self.id}-{task.taskAttemptId()}-{len(files)}.part"))
                 tar, n, size = tarfile.open(files[-1], "w"), 0, 0
             for kind, body in parts:
-                info = tarfile.TarInfo(f"{r['key']}.{kind}")
+                info = tarfile.TarInfo(member_name(r["key"], kind))
                 info.size = len(body)
                 tar.addfile(info, io.BytesIO(body))
                 size += len(body)
             n += 1
         if tar:
             tar.close()
-        return _Done(files)
+        return _Done(task.partitionId(), files)
+
+    def _names(self, messages: list) -> Iterator[tuple[str, str]]:
+        """(written, last name) of every shard, in the order of the tasks."""
+        taken: dict[int, int] = {}
+        for old in [] if self.overwrite else glob.glob(os.path.join(self.folder, "*.tar")):
+            if m := re.fullmatch(r"(?:task(\d+)-)?shard-?(\d+)\.tar", os.path.basename(old)):
+                task = int(m[1]) if m[1] and self.naming == "task" else 0
+                taken[task] = max(taken.get(task, 0), int(m[2]) + 1)
+        for done in sorted((m for m in messages if m), key=lambda m: m.task):
+            task = done.task if self.naming == "task" else 0
+            for f in done.files:
+                k = taken.get(task, 0)
+                taken[task] = k + 1
+                yield f, f"task{task:03d}-shard{k:03d}.tar" if self.naming == "task" else f"shard-{k:03d}.tar"
+
+    def _clear(self) -> None:
+        for f in glob.glob(os.path.join(glob.escape(self.folder), f".{self.id}-*.part")):
+            os.remove(f)
 
     def commit(self, messages: list) -> None:
-        names = [f for m in messages if m for f in m.files]
+        before, kept = set(glob.glob(os.path.join(self.folder, "*.tar"))), set()
+        for written, name in list(self._names(messages)):
+            kept.add(os.path.join(self.folder, name))
+            os.replace(written, os.path.join(self.folder, name))
         if self.overwrite:
-            for old in glob.glob(os.path.join(self.folder, "*.tar")):
+            for old in before - kept:
                 os.remove(old)
-        for f in names:
-            os.replace(f, f.rpartition(".try")[0])
+        self._clear()
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            for f in m.files if m else []:
-                if os.path.exists(f):
-                    os.remove(f)
+        self._clear()
+
+
+class _Draws(DataSourceStreamReader):
+    """Shards drawn with replacement, for ever: draw n is a hash of the seed and n, so a restart draws the same."""
+
+    def __init__(self, options: dict):
+        self.folder, self.seed = options["path"], int(options.get("seed", 101))
+        self.each, self.next = int(options.get("shardspertrigger", 1)), None
+        self.shards = sorted(glob.glob(os.path.join(self.folder, "*.tar")))
+        if not self.shards:
+            raise ValueError(f"no .tar shards in {self.folder}")
+
+    def initialOffset(self) -> dict:
+        return {"draw": 0}
+
+    def latestOffset(self) -> dict:
+        self.next = (self.next or 0) + self.each
+        return {"draw": self.next}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.next = max(self.next or 0, end["draw"])
+        draw = lambda n: int.from_bytes(hashlib.blake2b(f"{self.seed}:{n}".encode(), digest_size=8).digest(), "big") % len(self.shards)
+        return [_Shard(self.shards[draw(n)], n) for n in range(start["draw"], end["draw"])]
+
+    def read(self, partition: _Shard) -> Iterator[tuple]:
+        name = os.path.basename(partition.path)
+        try:
+            for key, tokens, meta, place in records(partition.path):
+                yield key, tokens, meta, name, place
+        except (tarfile.TarError, EOFError, OSError, ValueError):  # a bad shard ends here; the stream goes on
+            return
 
 
 class TokenTar(DataSource):
-    """``format("tokentar")`` with a path in a folder that driver and executors share; options maxrecords and maxbytes."""
+    """``format("tokentar")`` with a path in a folder that driver and executors share.
+
+    Options of writes: maxrecords, maxbytes, naming (task: task000-shard000.tar; shard: shard-000.tar). A stream draws shards
+    with replacement: options seed and shardspertrigger.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -133,6 +208,9 @@ class TokenTar(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Draws(dict(self.options))
+
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(dict(self.options), overwrite)
 
@@ -158,24 +236,47 @@ def load_last(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, folder).groupBy("key").agg(F.max_by("tokens", F.struct("shard", "place")).alias("tokens"))
 
 
+def stream_tokens(spark: SparkSession, folder: str, seed: int = 101, shards: int = 1) -> DataFrame:
+    """The endless stream of records of shards drawn with replacement, ``shards`` of them for each micro-batch."""
+    spark.dataSource.register(TokenTar)
+    return spark.readStream.format("tokentar").option("path", folder).option("seed", str(seed)).option("shardspertrigger", str(shards)).load()
+
+
+def token_records(df: DataFrame, file_id: str = "file_id", tokens: str = "tokens", path: str = "audio_filepath", segment: int = 0) -> DataFrame:
+    """(key, tokens, meta) as shards store them: the key is the id's stem and the segment, meta the JSON side-car."""
+    meta = token_meta(F.col(file_id), F.lit(segment), F.col(tokens), F.col(path))
+    return df.select(segment_key(F.col(file_id), segment).alias("key"), F.col(tokens).cast("array<smallint>").alias("tokens"), meta.alias("meta"))
+
+
+#: The JSON side-car of a record.
+META = "file_id string, segment_id int, token_count int, audio_filepath string"
+
+
+def with_meta(df: DataFrame) -> DataFrame:
+    """Records with their side-car as a struct; null where there is none or it is no JSON."""
+    return df.withColumn("meta", F.from_json("meta", META))
+
+
 def broken_shards(spark: SparkSession, glob_path: str) -> DataFrame:
-    """(path, error) of the tar files that can't be listed to their end."""
+    """(path, error) of the tar files that can't be listed to their end; each is read as a stream, on the shared file system."""
 
     def test(frames):
         import pandas as pd
 
         for f in frames:
             rows = []
-            for path, body in zip(f["path"], f["content"], strict=True):
+            for path in f["path"]:
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(body)) as tar:
+                    with tarfile.open(re.sub("^file:/*", "/", path)) as tar:
                         for m in tar:
-                            if m.isfile() and len(tar.extractfile(m).read()) != m.size:
-                                raise tarfile.ReadError("a member is cut short")
+                            if m.isfile():
+                                body, n = tar.extractfile(m), 0
+                                while part := body.read(1 << 20):
+                                    n += len(part)
+                                if n != m.size:
+                                    raise tarfile.ReadError("a member is cut short")
                 except (tarfile.TarError, EOFError, OSError) as e:
                     rows.append((path, str(e)[:100]))
             yield pd.DataFrame(rows, columns=["path", "error"])
 
-    return spark.read.format("binaryFile").load(glob_path).select("path", "content").mapInPandas(test, "path string, error string")
-
-
+    return spark.read.format("binaryFile").load(glob_path).select("path").mapInPandas(test, "path string, error string")

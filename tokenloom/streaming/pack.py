@@ -13,11 +13,14 @@ OUT = "lane bigint, block_id bigint, tokens array<int>"
 STATE = "done bigint, rest array<int>"
 
 
-def stream_pack(df: DataFrame, tokens: str, bos: int, eos: int, size: int, order: str, lanes: int = 8) -> DataFrame:
+def stream_pack(df: DataFrame, tokens: str, bos: int, eos: int, size: int, order: str, lanes: int | None = None) -> DataFrame:
     """Blocks of a streaming DataFrame. Sequences are dealt to lanes by a hash of ``order``, in its order within a batch.
 
-    A lane keeps fewer than ``size`` tokens. Blocks span sequences and micro-batches.
+    There are as many lanes as asked for, or as shuffle partitions; a stream must keep their number. A lane keeps fewer than
+    ``size`` tokens, and what one micro-batch brings it is sorted in its task. Blocks span sequences and micro-batches. Null
+    sequences give nothing; repeated ones are packed each; an empty one is its two marks.
     """
+    lanes = lanes or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, rest = state.get if state.exists else (0, [])
