@@ -1,8 +1,8 @@
 """Packing by optimal length buckets.
 
 Dynamic programming over the global length histogram picks the bucket boundaries that minimise padding; inside a
-bucket, token-budget batches follow from a row's place. Three linear passes, no unbounded group: the histogram has at
-most ``2 * EXACT`` bins whatever the input, and places come from per-chunk counts whose prefix sums are added to a rank
+bucket, token-budget batches follow from a row's place. Three linear passes, no unbounded group: the histogram has EXACT
+bins and 64 more for each doubling of the longest text (about 2,400 for a million words), and places come from per-chunk counts whose prefix sums are added to a rank
 within (bucket, chunk), so that a bucket that holds most rows is still ranked in many tasks.
 
 Defined results: null and empty texts have length 0 and go to the first bucket; an empty table gives no rows; a text
@@ -20,15 +20,17 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import WORD, cut
 
-#: Lengths up to this have a bin each; above it, bins are 1/64 of an octave wide.
+#: Lengths up to this have a bin each; above it, each octave has 64 of equal width.
 EXACT = 1024
 #: Rows that share a chunk, about.
 CHUNK_ROWS = 4096
 
 
 def length_bin(length: Column) -> Column:
-    fine = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")) * 64).cast("long") + EXACT
-    return F.when(length <= EXACT, length).otherwise(fine)
+    """The leading seven bits of a length above EXACT, and their place; in whole numbers."""
+    octave = F.length(F.bin(length)) - 1
+    fine = EXACT + 64 * octave + F.call_function("shiftright", length, octave - 6)
+    return F.when(length <= EXACT, length).otherwise(fine.cast("long"))
 
 
 def optimal_boundaries(tops: np.ndarray, counts: np.ndarray, sums: np.ndarray, k: int) -> list[int]:
@@ -82,7 +84,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, te
     bucket = F.lit(0)
     for i, e in enumerate(edges[:-1]):
         bucket = bucket + (F.col("n_tokens") > e).cast("int")
-    placed = lengths.withColumn("bucket", bucket).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(chunks)))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_tokens").cast("string")).cast("binary")), 1, 7), 16, 10)
+    placed = lengths.withColumn("bucket", bucket).withColumn("chunk", F.pmod(drawn.cast("long"), F.lit(chunks)))
     before = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("bucket", "chunk").count().select("bucket", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("doc_id", "n_tokens")) - 1
