@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tokenloom.llm import secrets
+from tokenloom.llm.packing import CHUNK_ROWS, EXACT
 from tokenloom.llm.quality import RULES, STOP_WORDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -65,7 +66,50 @@ FROM d LEFT JOIN g USING (rid)
 """
 
 
+def _packing(buckets: int = 16, budget: int = 65_536) -> str:
+    """Boundaries by the same dynamic programme as a recursion over the number of buckets; places by plain ranks."""
+    cost = "b.top * (b.rows - a.rows_before) - (b.tokens - a.tokens_before)"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n FROM documents),
+h AS (SELECT CASE WHEN n <= {EXACT} THEN n ELSE {EXACT} + 64 * (length(bin(n)) - 1) + (n >> (length(bin(n)) - 7)) END AS bin, max(n) AS top, count(*) AS c, sum(n)::BIGINT AS s FROM d GROUP BY 1),
+t AS (SELECT row_number() OVER o AS i, top, sum(c) OVER o - c AS rows_before, sum(c) OVER o AS rows, sum(s) OVER o - s AS tokens_before, sum(s) OVER o AS tokens FROM h WINDOW o AS (ORDER BY top)),
+cost AS MATERIALIZED (SELECT a.i AS i, b.i AS j, {cost} AS x FROM t a JOIN t b ON a.i <= b.i),
+best AS (
+  SELECT 1 AS k, j, x AS v, i FROM cost WHERE i = 1
+  UNION ALL
+  SELECT k, j, m.v, m.i FROM (SELECT best.k + 1 AS k, cost.j, min(struct_pack(v := best.v + cost.x, i := cost.i)) AS m FROM best JOIN cost ON cost.i = best.j + 1 WHERE best.k < {buckets} GROUP BY best.k, cost.j)
+),
+least AS (SELECT k, j, i FROM best WHERE j = (SELECT max(i) FROM t) ORDER BY v, k LIMIT 1),
+back AS (SELECT k, j, i FROM least UNION ALL SELECT best.k, best.j, best.i FROM back JOIN best ON best.k = back.k - 1 AND best.j = back.i - 1),
+edges AS (SELECT row_number() OVER (ORDER BY top) - 1 AS bucket, top, coalesce(lag(top) OVER (ORDER BY top), -1) AS under FROM back JOIN t ON t.i = back.j),
+size AS (SELECT greatest(6, ceil(log2(greatest(1.0, count(*) / {CHUNK_ROWS}.0))))::INT AS bits FROM d),
+p AS (
+  SELECT doc_id, n, bucket, top, row_number() OVER (PARTITION BY bucket ORDER BY chunk, doc_id NULLS FIRST, n) - 1 AS place
+  FROM (SELECT *, ('0x' || substr(md5(concat_ws(':', doc_id, n)), 1, 7))::BIGINT % (1 << bits) AS chunk FROM d, size) JOIN edges ON n > under AND n <= top
+), z AS (SELECT *, greatest(1, {budget} // greatest(top, 1)) AS rows FROM p)
+SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, top AS bucket_len, (place // rows)::BIGINT AS batch, (place % rows)::BIGINT AS slot, top - n AS padding FROM z
+"""
+
+
+def _near_duplicates(percent: int = 80) -> str:
+    """All pairs by their shared shingles, and the links' transitive closure."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{_WORD}') AS w FROM documents),
+e AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM d),
+s AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM e),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM c WHERE 100 * shared >= {percent} * (n + m - shared)),
+e2 AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e2 UNION SELECT r.a, e2.b FROM r JOIN e2 ON r.b = e2.a),
+g AS (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM e LEFT JOIN g USING (doc_id)
+"""
+
+
 ORACLES = {
+    "op1_packing": _packing(),
+    "op8_minhash": _near_duplicates(),
     "op4_secrets": _secrets(),
     "op10_quality": rf"""
 WITH d AS (
