@@ -45,39 +45,63 @@ def test_blocks_do_not_matter(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a)
 
 
-def test_score_is_the_mixture(docs_of):
-    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(12))) for i in range(40)]
-    got = {r.doc_id: r.score for r in lm.deleted_interpolation(docs_of(rows)).collect()}
-    c1, c2, held = Counter(), Counter(), []
-    parts = {i: [b"\n", *t.encode().split(), b""] for i, t in rows}
-    kept1, kept2 = Counter(), Counter()
+def plain_mixture(rows):
+    """Scores by an expectation-maximisation over the held-out tokens one by one."""
+    c1, c2, k1, k2, held = Counter(), Counter(), Counter(), Counter(), []
+    parts = {i: [b"\n", *(w.lower() for w in t.encode().split()), b""] for i, t in rows}
     for i, s in parts.items():
         f = zlib.crc32(str(i).encode()) % 5
-        for h, w in zip(s, s[1:]):
-            if f != 1:
-                c1[w] += 1
-                c2[h, w] += 1
-                c2[h] += 1
-                if f == 2:
-                    held.append((h, w))
-                else:
-                    kept1[w] += 1
-                    kept2[h, w] += 1
-                    kept2[h] += 1
-    n, v, nk = sum(c1.values()), len(c1), sum(kept1.values())
-    cells = []
-    for h, w in held:
-        p1, p2 = kept1[w] / nk * (v + 1), (kept2[h, w] / kept2[h] if kept2[h] else 0) * (v + 1)
-        r1 = math.log(p1) if p1 else 0.0
-        cells.append((int(lm.context_bucket(np.array([kept2[h]]))[0]), 0 if p1 else -999, 0 if p2 else -999, 1.0, r1, math.log(p2) - r1 if p2 else 0.0))
-    t = pd.DataFrame(cells, columns=["b", "i1", "i2", "n", "s1", "s2"])
-    weights = lm.em_weights(t)
+        for h, w in zip(s, s[1:]) if f != 1 else ():
+            for one, two in [(c1, c2)] + [(k1, k2)] * (f != 2):
+                one[w] += 1
+                two[h, w] += 1
+                two[h] += 1
+            if f == 2:
+                held.append((h, w))
+    n, v, nk = sum(c1.values()), len(c1), sum(k1.values())
+    bucket = lambda c: c.bit_length()
+
+    def learn(events):
+        l0 = l1 = l2 = 1 / 3
+        for _ in range(60):
+            a = b = c = 0.0
+            for h, w in events:
+                x, y, z = l0 / (v + 1), l1 * k1[w] / nk, l2 * k2[h, w] / k2[h] if k2[h] else 0.0
+                a, b, c = a + x / (x + y + z), b + y / (x + y + z), c + z / (x + y + z)
+            got = [max(q / len(events), 1e-6) for q in (a, b, c)]
+            l0, l1, l2 = (q / sum(got) for q in got)
+        return [l0, l1, l2]
+
+    every, of = learn(held), {}
+    for k in range(lm.BUCKETS):
+        events = [(h, w) for h, w in held if bucket(k2[h]) == k]
+        of[k] = learn(events) if events else every
+    of[0] = [x / (of[0][0] + of[0][1]) for x in of[0][:2]] + [0.0]
+    scores = {}
     for i, s in parts.items():
-        want = 0.0
-        for h, w in zip(s, s[1:]):
-            l0, l1, l2 = weights[lm.context_bucket(np.array([c2[h]]))[0]]
-            want += math.log10(l0 / (v + 1) + l1 * c1[w] / n + (l2 * c2[h, w] / c2[h] if c2[h] else 0))
-        assert got[i] == pytest.approx(want, rel=2e-2)
+        p = [(of[bucket(c2[h])], h, w) for h, w in zip(s, s[1:])]
+        scores[i] = sum(math.log10(l0 / (v + 1) + l1 * c1[w] / n + (l2 * c2[h, w] / c2[h] if c2[h] else 0)) for (l0, l1, l2), h, w in p)
+    return scores
+
+
+def test_score_is_the_mixture(spark, docs_of):
+    """Cells of one value are exact; on documents, a sixteenth of a nat is near it."""
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(12))) for i in range(40)]
+    docs = [(r.doc_id, r.text) for r in documents(spark, SF).select("doc_id", "text").where("length(text) < 3000").collect() if r.text]
+    for some, near in ((rows, 2e-4), (docs, 1e-3)):
+        want = plain_mixture(some)
+        for r in lm.deleted_interpolation(docs_of(some)).collect():
+            assert r.score == pytest.approx(want[r.doc_id], rel=near)
+
+
+def test_ranges_grow_with_the_table(spark, docs_of, monkeypatch):
+    seen = []
+    real = lm.key_rows
+    monkeypatch.setattr(lm, "key_rows", lambda ranges, n: seen.append(ranges) or real(ranges, n))
+    monkeypatch.setattr(lm, "RANGE_TOKENS", 10)
+    rows = [(i, f"a{i % 3} b c{i} " * 20) for i in range(100)]
+    small, large = (lm.deleted_interpolation(docs_of(r)).collect() for r in (rows[:10], rows))
+    assert seen[1] >= 200 > seen[0] and len(large) == 100 and len(small) == 10
 
 
 def test_em_prefers_what_explains():

@@ -11,6 +11,7 @@ Data flow, built to move keys rather than tokens and to have no hot key:
    and bigrams, as sorted 64-bit hashes with counts. A block sends each hash once, to a range of the hash space, so the
    most frequent word costs no more than a rare one; ranges are as even as the hash is.
 2. Each range sums the counts of its hashes over all blocks and answers every block with the sums, in the block's order.
+   There are as many ranges as the characters of the table ask for, so a range stays of one size however large the table.
 3. A block's answers meet its token events (the block is built anew for this from the same scan); the result is
    checkpointed, read once for EM and once for scores.
 All counts are exact but for 64-bit hash collisions: with n distinct n-grams, below n^2 / 2^65 pairs are expected.
@@ -40,7 +41,9 @@ END, BEGIN = b"", b"\n"  # neither can be a word
 #: What a document does: it is only scored, its counts are kept, or its counts are held out for EM.
 SCORED, KEPT, HELD = 0, 1, 2
 BUCKETS = 48
-CELLS_PER_NAT = 4
+CELLS_PER_NAT = 16
+#: Tokens for each range of keys, about, and characters of a token; a range is summed in one task.
+RANGE_TOKENS, TOKEN_CHARS = 2_000_000, 6
 
 KEYS = "bucket int, block bigint, kind int, n int, sign bigint, keys binary, kept binary, held binary"
 ANSWERS = "block bigint, kind int, bucket int, n int, sign bigint, total binary, held binary, events binary"
@@ -318,7 +321,8 @@ def scorer(weights: np.ndarray, n: int, v: int):
 def deleted_interpolation(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 2_000_000, held_fold: int = 2) -> DataFrame:
     """Scores of all rows, learned from those whose crc32(id as text) mod 5 is not 1; ``held_fold`` serves EM first."""
     spark = df.sparkSession
-    ranges = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chars = df.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
+    ranges = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (RANGE_TOKENS * TOKEN_CHARS)))
     part = fold(df[id_col], 5)
     role = F.when(part.isNull() | (part == 1), SCORED).when(part == held_fold, HELD).otherwise(KEPT)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), role.alias("role"), df[text_col].alias("text"), F.spark_partition_id().alias("part"))
