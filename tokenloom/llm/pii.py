@@ -1,8 +1,9 @@
 """Personal data with offset-preserving deobfuscation.
 
 Base detectors run on the source text. Where a text shows signs of disguise, a chain of transducers normalises it
-(homoglyphs and invisible characters; bracketed or spelled at and dot; spelled digits), each keeping the source place of
-what it writes. The same detectors run on each result, and spans that needed a change are mapped back to the source and
+(homoglyphs, digits of other scripts and invisible characters; bracketed or spelled at and dot; addresses with blanks
+around the @ or between their letters; spelled digits), each keeping the source place of what it writes. Blanks in a
+disguise may be of any number. The same detectors run on each result, and spans that needed a change are mapped back to the source and
 added, unless a base span of their kind, or a wider added one, covers them. Everything is linear in the text, one long run of characters included.
 
 Defined results: null and empty texts have no spans; a null id is passed through; repeated rows are judged each; further
@@ -86,7 +87,7 @@ def detect(text: str) -> list[Span]:
 
 
 #: Look-alikes of Latin letters, and characters that do not show.
-_LOOKALIKES = dict(zip("аВеЕКМНоОрРсСТхХуУіІјЅѕԁɡΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαν", "aBeEKMHoOpPcCTxXyYiIjSsdgABEZHIKMNOPTYXoav", strict=True))
+_LOOKALIKES = dict(zip("аВеЕКМНоОрРсСТхХуУіІјЅѕԁɡһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρεօսհıɑ", "aBeEKMHoOpPcCTxXyYiIjSsdghqwABEZHIKMNOPTYXoavikpeouhia", strict=True))
 _INVISIBLE = "­​‌‍⁠﻿"
 _WIDE = "".join(chr(c) for a, b in ((0x2070, 0x209C), (0x2460, 0x2473), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF)) for c in range(a, b + 1))
 _GLYPHS = _LOOKALIKES | {c: "" for c in _INVISIBLE} | {c: n for c in _WIDE if len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii()}
@@ -94,21 +95,25 @@ _GLYPHS = _LOOKALIKES | {c: "" for c in _INVISIBLE} | {c: n for c in _WIDE if le
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 _NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _DIGIT_OF = {w: str(i) for i, w in enumerate(_NUMBERS)} | {"oh": "0", "plus": "+"}
-_OPEN_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}", re.I | re.A)
-_OPEN_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}", re.I | re.A)
-_SPELLED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I | re.A)
-_SPELLED_AT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", re.I | re.A)
+#: A run of blanks is tried from its first one only, so all of these are linear.
+_OPEN_AT = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.I | re.A)
+_OPEN_DOT = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*", re.I | re.A)
+_SPELLED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I | re.A)
+_SPELLED_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", re.I | re.A)
 #: In lower case, and looser: a literal start makes it cheap.
-_MAYBE_AT = re.compile(r"at\s{1,3}[a-z0-9-][a-z0-9.-]*\.[a-z]{2}", re.A)
-_BRACKET = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]", re.I | re.A)
+_MAYBE_AT = re.compile(r"at\s+[a-z0-9-][a-z0-9.-]*\.[a-z]{2}", re.A)
+_BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I | re.A)
+_BLANK_AT = re.compile(r"\s@|@\s", re.A)
+_BLANKS = " \t\n\x0b\f\r"
+_WHOLE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _LONE_DOT = re.compile(r"\bdot\b", re.I | re.A)
 _WORD = "|".join([*_NUMBERS, "oh"])
-_GAP = r"(?:[\s,-]{1,3}|\.)"
+_GAP = r"(?:[\s,-]+|\.)"
 #: Runs of spelled digits and groups of digits; a plus may open one.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]{{1,3}})?(?:{_WORD}|[0-9]+)(?:{_GAP}(?:{_WORD}|[0-9]+))*(?![A-Za-z0-9])", re.I | re.A)
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+)?(?:{_WORD}|[0-9]+)(?:{_GAP}(?:{_WORD}|[0-9]+))*(?![A-Za-z0-9])", re.I | re.A)
 _UNIT = re.compile(rf"plus|{_WORD}|[0-9]+", re.I | re.A)
 #: In lower case: a spelled digit or plus next to another unit. The first character alone rejects most places.
-_MAYBE_SPELLED = re.compile(rf"(?:{_WORD}){_GAP}(?:{_WORD}|[0-9])|[0-9]{_GAP}(?:{_WORD})|[+](?:{_WORD})|plus[\s-]{{1,3}}(?:{_WORD}|[0-9])", re.A)
+_MAYBE_SPELLED = re.compile(rf"(?:{_WORD}){_GAP}(?:{_WORD}|[0-9])|[0-9]{_GAP}(?:{_WORD})|[+](?:{_WORD})|plus[\s-]+(?:{_WORD}|[0-9])", re.A)
 
 Edit = tuple[int, int, str]
 
@@ -138,8 +143,60 @@ class Mapped:
         return (a + start - self.outs[i] if copied else a), (c + end - self.outs[j] if copied_ else d)
 
 
+def _plain(c: str) -> str | None:
+    """What stands for a character: of the fixed values, or a digit for one of any script."""
+    return _GLYPHS.get(c) if c in _GLYPHS else str(unicodedata.decimal(c)) if c.isdecimal() else None
+
+
 def _glyph_edits(t: str) -> list[Edit]:
-    return [(m.start(), m.end(), _GLYPHS[m[0]]) for m in _NOT_ASCII.finditer(t) if m[0] in _GLYPHS]
+    known = {c: n for c in set(t) if not c.isascii() and (n := _plain(c)) is not None}
+    return [(m.start(), m.end(), known[m[0]]) for m in _NOT_ASCII.finditer(t) if m[0] in known] if known else []
+
+
+def _blank_edits(t: str) -> list[Edit]:
+    """Closes up addresses with blanks around the @, or between single letters on either side of it.
+
+    Each @ looks back to the one before it at most, and on to the next, so this is linear.
+    """
+    out: list[Edit] = []
+    done = at = 0
+    while (at := t.find("@", at)) >= 0:
+        begin, size = at, 1
+        while size == 1:  # a word before the @, or single characters with blanks between them
+            end = begin
+            while end > done and t[end - 1] in _BLANKS:
+                end -= 1
+            start = end
+            while start > done and _LOCAL.match(t[start - 1]):
+                start -= 1
+            size = end - start
+            if size != 1 and begin != at or not size or (start > done and t[start - 1] not in _BLANKS):
+                break
+            begin = start
+        parts: list[str] = []
+        ends: list[int] = []  # in the source, of each character of the parts
+        stop, size = at + 1, 1
+        while size == 1:  # single characters, the last part perhaps whole behind a dot, or one whole domain
+            start = stop
+            while start < len(t) and t[start] in _BLANKS:
+                start += 1
+            stop = start
+            while stop < len(t) and (t[stop].isalnum() and t[stop].isascii() or t[stop] in ".-"):
+                stop += 1
+            size = stop - start
+            if size > 1 and parts and parts[-1] != ".":
+                break
+            parts += t[start:stop]
+            ends += range(start + 1, stop + 1)
+        m = _WHOLE_DOMAIN.match("".join(parts))
+        whole = ends[m.end() - 1] if m else 0
+        if begin < at and whole:
+            out += [(m.start(), m.end(), "") for m in re.compile(r"\s+", re.A).finditer(t, begin, whole)]
+            done = whole
+        else:
+            done = at + 1
+        at = max(done, at + 1)
+    return out
 
 
 def _dot_edits(t: str) -> list[Edit]:
@@ -184,6 +241,7 @@ def normalised(text: str) -> Iterator[Mapped]:
         (_glyph_edits, lambda: not text.isascii()),
         (_dot_edits, lambda: _dots(text, low)),
         (_at_edits, lambda: _MAYBE_AT.search(low)),
+        (_blank_edits, lambda: "@" in text and _BLANK_AT.search(text)),
         (_number_edits, lambda: _MAYBE_SPELLED.search(low)),
     ):
         if called() and (found := edits(text)):
