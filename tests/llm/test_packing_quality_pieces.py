@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tokenloom.llm import packing, pieces, quality
 from tokenloom.llm.common import documents
 from tokenloom.llm.queries import piece_model
@@ -98,3 +100,17 @@ def test_piece_rows(spark, docs_of, model):
     assert {r.doc_id: tuple(r)[1:] for r in pieces.encode_decode(docs_of(rows), piece_model()).collect()} == want
     few = pieces.token_ids(docs_of([(1, "Hello  world"), (2, None)]), piece_model()).collect()
     assert {r.doc_id: (r.ids, r.decoded) for r in few} == {1: (model.library.encode("Hello  world"), "Hello  world"), 2: ([], "")}
+
+
+def test_piece_edges(docs_of):
+    assert pieces.encode_decode(docs_of([]), piece_model()).count() == 0
+    got = pieces.encode_decode(docs_of([(1, "a word"), (1, "a word"), (1, "another"), (None, None)]), piece_model()).collect()
+    assert len(got) == 4 and len({tuple(r) for r in got if r.doc_id == 1}) == 2
+
+
+def test_bins_part_lengths_in_order(spark):
+    df = spark.range(0, 70_000).select("id", packing.length_bin(F.col("id")).alias("b"))
+    rows = [r.b for r in df.orderBy("id").collect()]
+    assert rows[:1025] == list(range(1025)) and rows == sorted(rows) and len(set(rows[1025:])) <= 64 * 7
+    for k in range(11, 17):
+        assert len(set(rows[1 << k : 2 << k])) <= 64
