@@ -1,7 +1,9 @@
 """A native language model over token sequences, and the place where another model plugs in.
 
 The scorer's contract: log_prob sums the log probabilities of all next tokens of the wrapped sequence, n is their number,
-log_prob_norm is log_prob / n, or 0 where n is 0.
+log_prob_norm is log_prob / n, or 0 where n is 0. Null sequences are left out by the native model, and get nulls from a
+plugged one; rows that repeat an id are summed by the native model; empty tables give no rows. Only the id and the tokens
+are read.
 """
 
 from __future__ import annotations

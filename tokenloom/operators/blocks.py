@@ -1,4 +1,8 @@
-"""Packing wrapped sequences into blocks of a fixed length; the rest behind the last full block is never emitted."""
+"""Packing wrapped sequences into blocks of a fixed length; the rest behind the last full block is never emitted.
+
+Null sequences give nothing, an empty one its two marks; repeated rows are packed each; an empty table gives no blocks (an
+error for evaluation blocks, which would never be full). Only the order and the tokens are read.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Encoders: a registry of vocabularies, and an Arrow-batched UDF around any encoder that tolerates bad rows."""
+"""Encoders: a registry of vocabularies, and an Arrow-batched UDF around any encoder that tolerates bad rows.
+
+A null or unreadable waveform becomes an error of its row; repeated rows are encoded each; an empty table stays empty.
+"""
 
 from __future__ import annotations
 

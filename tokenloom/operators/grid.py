@@ -1,4 +1,8 @@
-"""Summaries of hyper-parameter grids from a loss log (config, seed, kind, step, loss)."""
+"""Summaries of hyper-parameter grids from a loss log (config, seed, kind, step, loss).
+
+Null losses are left out of means; a run without a kind of loss has null for it; a step logged twice takes the larger loss
+at a milestone; an empty log gives no rows. Further columns are not read.
+"""
 
 from __future__ import annotations
 

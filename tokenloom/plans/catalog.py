@@ -287,7 +287,7 @@ def layer_norm(spark, sf_dir):
 
 def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("config"), (F.col("user_id") % 3).cast("int").alias("seed"), "ts", F.col("value").alias("loss"))
-    return positions.within(e, ["config", "seed"], ["ts"], "step").select("config", "seed", F.when(F.col("step") % 10 == 0, "eval").otherwise("train").alias("kind"), "step", "loss")
+    return positions.within(e, ["config", "seed"], ["ts", "loss"], "step").select("config", "seed", F.when(F.col("step") % 10 == 0, "eval").otherwise("train").alias("kind"), "step", "loss")
 
 
 _LOG = "g AS (SELECT event_type AS config, (user_id % 3)::INT AS seed, value AS loss, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY ts) AS step FROM events), l AS (SELECT *, CASE WHEN step % 10 = 0 THEN 'eval' ELSE 'train' END AS kind FROM g)"

@@ -1,4 +1,8 @@
-"""Directory scans and audio files."""
+"""Directory scans and audio files.
+
+Files that can't be read, null contents too, become an error of their row; a file met twice is listed once; a folder
+without audio gives no rows. Columns of the input stay beside those of the decoder, whose names it must not have.
+"""
 
 from __future__ import annotations
 
