@@ -14,6 +14,7 @@ from tokenloom.functions import names
 from tokenloom.operators import bigrams, checkpoints, encoders, evaluate, grid, metrics, models, positions, quantize, tables
 from tokenloom.plans import flows
 from tokenloom.sources import files, tar
+from tokenloom.streaming.pack import stream_pack
 
 
 def wav(x, rate, width=2):
@@ -39,6 +40,29 @@ def test_running_keeps_all_columns(spark):
     assert sorted(r.k for r in placed if r._part == "c") == [1, 2] and positions.with_running(df.limit(0), ["i"]).count() == 0
 
 
+def test_task_shard(spark):
+    df = spark.range(10).select(F.format_string("p%02d", "id").alias("path"))
+    got = [(n, k, list(x)) for n, k, x in (positions.task_shard(df, ["path"], "path", 3, t) for t in range(3))]
+    assert got == [(10, 3, ["p00", "p01", "p02"]), (10, 3, ["p03", "p04", "p05"]), (10, 4, ["p06", "p07", "p08", "p09"])]
+    assert [positions.task_shard(df.limit(2), ["path"], "path", 5, t)[1] for t in (0, 4)] == [0, 2]
+
+
+def test_lanes_of_a_stream(spark, tmp_path):
+    """As many lanes as shuffle partitions; null sequences give nothing, empty ones their marks."""
+    rows = [(i, None if i % 10 == 0 else [1] * (i % 4)) for i in range(200)]
+    spark.createDataFrame(rows, "i bigint, t array<int>").write.parquet(f"{tmp_path}/in")
+    stream = stream_pack(spark.readStream.schema("i bigint, t array<int>").parquet(f"{tmp_path}/in"), "t", 5, 6, 4, "i")
+    q = stream.writeStream.format("memory").queryName("lanes").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("lanes").collect()
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = sum(len(t) + 2 for _, t in rows if t is not None)
+    assert len({r.lane for r in got}) == lanes and total - 4 * lanes < 4 * len(got) <= total
+    for lane in {r.lane for r in got}:
+        assert sorted(r.block_id for r in got if r.lane == lane) == list(range(sum(r.lane == lane for r in got)))
+
+
 def test_wide_columns_are_not_checkpointed(spark, monkeypatch):
     seen = []
     real = positions.cut

@@ -7,6 +7,7 @@ result, which is refused.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate
 
@@ -86,3 +87,10 @@ def contiguous(df: DataFrame, order: list[str], tasks: int) -> DataFrame:
     if not chunk:
         return ranked.withColumn("task", F.lit(tasks - 1).cast("long"))
     return ranked.withColumn("task", F.least(F.floor(F.col("position") / chunk), F.lit(tasks - 1)).cast("long"))
+
+
+def task_shard(df: DataFrame, order: list[str], column: str, tasks: int, task: int) -> tuple[int, int, Iterator]:
+    """(rows in all, rows of a task's contiguous shard, its values of one column in the order), fetched a partition at a time."""
+    every = contiguous(df, order, tasks)
+    own = every.where(F.col("task") == task)
+    return every.count(), own.count(), (r[0] for r in own.orderBy("position").select(column).toLocalIterator())
