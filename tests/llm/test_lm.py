@@ -85,7 +85,7 @@ def plain_mixture(rows):
 
 
 def test_score_is_the_mixture(spark, docs_of):
-    """Cells of one value are exact; on documents, a sixteenth of a nat is near it."""
+    """Cells of one value are exact; on documents, an eighth of a nat is near it."""
     rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(12))) for i in range(40)]
     docs = [(r.doc_id, r.text) for r in documents(spark, SF).select("doc_id", "text").where("length(text) < 3000").collect() if r.text]
     for some, near in ((rows, 2e-4), (docs, 1e-3)):

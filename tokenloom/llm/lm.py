@@ -41,7 +41,9 @@ END, BEGIN = b"", b"\n"  # neither can be a word
 #: What a document does: it is only scored, its counts are kept, or its counts are held out for EM.
 SCORED, KEPT, HELD = 0, 1, 2
 BUCKETS = 48
-CELLS_PER_NAT = 16
+CELLS_PER_NAT = 8
+#: Effort of the compression, for less disk.
+LEVEL = 9
 #: Tokens for each range of keys, about, and characters of a token; a range is summed in one task.
 RANGE_TOKENS, TOKEN_CHARS = 2_000_000, 6
 
@@ -55,7 +57,7 @@ def squeeze(a: np.ndarray) -> bytes:
     """An array as compressed byte planes, with its type in front."""
     a = np.ascontiguousarray(a)
     planes = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.size else b""
-    return a.dtype.str.encode().ljust(4) + zstandard.ZstdCompressor(level=1).compress(planes)
+    return a.dtype.str.encode().ljust(4) + zstandard.ZstdCompressor(level=LEVEL).compress(planes)
 
 
 def unsqueeze(raw: bytes) -> np.ndarray:
@@ -148,7 +150,7 @@ class Block:
         ids = np.array([d if d is not None else 0 for d in self.docs], np.int64)
         return bundle({
             "docs": ids, "null": np.array([d is None for d in self.docs], np.uint8), "roles": np.array(self.roles, np.uint8), "lengths": self.lengths.astype(np.int64),
-            "at": steps(at.astype(np.int32)), "before": steps(self.before.astype(np.int32)), "after": self.after.astype(np.int32), "order0": self.order[0].astype(np.int32), "hashes": self.keys[0],
+            "at": steps(at.astype(np.int32)), "before": steps(self.before.astype(np.int32)), "after": self.after.astype(np.int32), "hashes": self.keys[0],
         })
 
 
@@ -229,7 +231,7 @@ def assemble(group: pd.DataFrame) -> pd.DataFrame:
     e = unbundle(group.loc[group["kind"] == -1, "events"].iloc[0])
     counts = {}
     before, after = np.cumsum(e["before"]), e["after"]
-    for kind, order in ((0, e["order0"]), (1, np.argsort(mix(e["hashes"][before], e["hashes"][after]), kind="stable"))):
+    for kind, order in ((0, np.argsort(e["hashes"], kind="stable")), (1, np.argsort(mix(e["hashes"][before], e["hashes"][after]), kind="stable"))):
         part = group[group["kind"] == kind].sort_values("bucket")
         for c in ("total", "held"):
             got = np.empty(len(order), np.uint64)
