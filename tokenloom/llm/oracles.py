@@ -107,7 +107,29 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)
 """
 
 
+def _audit() -> str:
+    """Flags from lists of words; every order and step by its own sums over all documents of a part."""
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, coalesce(min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id, FALSE) AS e FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+  map {{'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': e}} AS fails FROM d LEFT JOIN l USING (doc_id)),
+n AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[x]) AS failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, k AS step, filter_order[k] AS own, string_split(filter_order[:k - 1], '') AS before FROM o, (SELECT unnest(range(1, 6))::INT AS k)),
+r AS (SELECT part, filter_order, step, own,
+  sum(n) FILTER (NOT list_has_any(failed, before) AND NOT list_contains(failed, own)) AS kept, sum(n) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, before)) AS removed,
+  sum(n) FILTER (list_contains(failed, own) AND list_has_any(failed, before)) AS redundant, sum(n) FILTER (failed = [own]) AS unique_fails,
+  sum(good) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, before)) AS good_lost, sum(toxic) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, before)) AS toxic_lost
+  FROM n, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley FROM r
+"""
+
+
 ORACLES = {
+    "op11_audit": _audit(),
     "op1_packing": _packing(),
     "op8_minhash": _near_duplicates(),
     "op4_secrets": _secrets(),
