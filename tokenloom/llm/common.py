@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.session import checkpoint_dir, cut, table
 
-__all__ = ["BLANKS", "WORD", "Steps", "checkpoint_dir", "cut", "documents", "fold", "let", "split_words", "table"]
+__all__ = ["BLANKS", "WORD", "Steps", "checkpoint_dir", "cut", "documents", "fit_vector", "fold", "let", "split_words", "table"]
 
 #: White space of the word rule, and the rule itself.
 BLANKS = " \t\n\x0b\f\r"
@@ -54,3 +54,13 @@ def split_words(text: Column) -> Column:
         F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)),
         lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+", -1)),
     )
+
+
+def fit_vector(df: DataFrame, column: str, zero: bool) -> tuple[Column, Column]:
+    """A column of vectors as floats or doubles, and whether each is one: not null or empty, all components finite, and not all
+    zero unless ``zero`` allows it.
+    """
+    kind = dict(df.dtypes)[column]
+    v = F.col(column) if kind in ("array<float>", "array<double>") else F.col(column).cast("array<double>")
+    fit = (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return v, F.coalesce(fit if zero else fit & F.exists(v, lambda x: x != 0), F.lit(False))

@@ -128,7 +128,19 @@ SELECT part, filter_order, step, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' f
 """
 
 
+#: Vectors without null or non-finite components.
+_FIT = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+#: All pairs of a label by cosine, and the links' transitive closure.
+_NEAR_VECTORS = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FIT} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a), g AS (SELECT a AS vec_id, min(b) AS low FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, coalesce(vec_id <= coalesce(low, vec_id), TRUE) AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN g USING (vec_id)
+"""
+
 ORACLES = {
+    "op12_covertree": _NEAR_VECTORS,
     "op11_audit": _audit(),
     "op1_packing": _packing(),
     "op8_minhash": _near_duplicates(),

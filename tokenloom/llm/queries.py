@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import audit, language, lm, minhash, neighbours, packing, pieces, pii, quality, secrets, toxicity
+from tokenloom.llm import audit, covertree, language, lm, minhash, neighbours, packing, pieces, pii, quality, secrets, toxicity
 from tokenloom.llm.common import documents, table
 from tokenloom.llm.oracles import ORACLES
 
@@ -62,8 +62,12 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op12_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op5_pii, op6_neighbours, op7_toxicity, op8_minhash, op9_language, op10_quality, op11_audit)}
+    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op5_pii, op6_neighbours, op7_toxicity, op8_minhash, op9_language, op10_quality, op11_audit, op12_covertree)}
 
 
 def oracle_sql() -> dict[str, str]:
