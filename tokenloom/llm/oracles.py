@@ -139,7 +139,17 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a), g AS (SELECT a AS ve
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, coalesce(vec_id <= coalesce(low, vec_id), TRUE) AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN g USING (vec_id)
 """
 
+#: Every anchor against every row, by whole numbers.
+_HARD_NEGATIVES = f"""
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FIT}),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b))::INT AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s QUALIFY rank <= 10
+"""
+
 ORACLES = {
+    "op13_hardneg": _HARD_NEGATIVES,
     "op12_covertree": _NEAR_VECTORS,
     "op11_audit": _audit(),
     "op1_packing": _packing(),

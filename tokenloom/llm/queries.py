@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import audit, covertree, language, lm, minhash, neighbours, packing, pieces, pii, quality, secrets, toxicity
+from tokenloom.llm import audit, covertree, hardneg, language, lm, minhash, neighbours, packing, pieces, pii, quality, secrets, toxicity
 from tokenloom.llm.common import documents, table
 from tokenloom.llm.oracles import ORACLES
 
@@ -66,8 +66,13 @@ def op12_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op5_pii, op6_neighbours, op7_toxicity, op8_minhash, op9_language, op10_quality, op11_audit, op12_covertree)}
+    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op5_pii, op6_neighbours, op7_toxicity, op8_minhash, op9_language, op10_quality, op11_audit, op12_covertree, op13_hardneg)}
 
 
 def oracle_sql() -> dict[str, str]:
