@@ -94,3 +94,22 @@ def test_repeated_rows_and_a_long_text(docs_of):
     rows = [(i, "der hund und die katze") for i in range(20)] + [(i, "the cat and the hat") for i in range(20, 40)] + [(77, long), (77, long), (3, "der hund und die katze")]
     got = language.identify(docs_of(rows, lang={i: "de" for i in range(20)})).collect()
     assert len(got) == len(rows) and [r.lang_pred for r in got if r.doc_id == 77] == ["en", "en"] and {r.lang_pred for r in got if r.doc_id == 3} == {"de"}
+
+
+def test_letters(docs_of):
+    """Numbers that no script has as letters don't make a language; letters of any script do."""
+    rows = [(i, f"only one tongue here {i}") for i in range(8)] + [(20, "½ ² Ⅷ ③ 12 _ !"), (21, "½ é"), (22, "日"), (23, "ª")]
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs_of(rows)).collect()}
+    assert got[20] == "und" and got[21] == got[22] == got[23] == "en"
+
+
+def test_very_many_languages(spark):
+    """More values than 256 are learned, each from its own texts."""
+    n = 300
+    rows = [(i, f"w{i % n}x w{i % n}y w{i % n}z " * 5, f"l{i % n:03d}") for i in range(6 * n)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=3000).collect()
+    assert len({r.lang_pred for r in got}) == n
+    codes = language.codewords(n)
+    assert len({tuple(c) for c in codes}) == n
+    few = language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=20).collect()
+    assert len(few) == len(rows) and len({r.lang_pred for r in few}) <= 20

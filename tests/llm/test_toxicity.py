@@ -147,3 +147,40 @@ def test_sample_is_bounded(spark, monkeypatch):
     toxicity.learn(docs, labels.union(labels), sample=200)
     toxicity.learn(docs, labels.where("doc_id < 40"), sample=200)
     assert seen[0] <= 200 and seen[0] > 100 and seen[1] <= 39
+
+
+def plain_draw(docs, labels, sample, longest):
+    """The texts and labels to learn from: of each label the first by the hash of the id, of those that have a text."""
+    import zlib
+
+    texts = {}
+    for i, t in docs:
+        if i is not None and t is not None and len(t) <= longest:
+            texts.setdefault(i, set()).add(t)
+    pairs = {(i, y) for i, y in labels if i is not None and y in (0, 1) and zlib.crc32(str(i).encode()) % 5 and i in texts}
+    return texts, pairs
+
+
+def test_sample_meets_documents_first(spark, monkeypatch):
+    """Labels of absent ids change nothing, and texts beyond the bound are replaced by the next drawn."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, share: seen.append((list(texts), list(labels), share)))
+    rows = [(i, f"text {i}" + (" long" * 100 if i % 3 == 0 else "")) for i in range(400)] + [(5, "text 5 again"), (None, "x"), (401, None)]
+    own = [(i, i % 2) for i in range(0, 400, 2)] + [(i, 1) for i in range(1, 400, 4)] + [(7, None), (None, 1), (401, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for labels in (own, own + [(i, i % 2) for i in range(1000, 60_000)], own * 3):
+        toxicity.learn(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"), sample=60, longest=100)
+    assert seen[0] == seen[1] == seen[2]
+    texts, pairs = plain_draw(rows, own, 60, 100)
+    got = seen[0]
+    assert sum(got[1]) == 30 and len(got[1]) == 60 and got[2] == pytest.approx(sum(y for _, y in pairs) / len(pairs))
+    ids = {i: h for i, h in spark.range(401).select("id", F.xxhash64("id")).collect()}
+    want = sorted((i, y) for k in (0, 1) for i, y in sorted((p for p in pairs if p[1] == k), key=lambda p: (ids[p[0]], p[0]))[:30])
+    assert [y for _, y in want] == got[1] and all(t in texts[i] for (i, _), t in zip(want, got[0], strict=True))
+
+
+def test_only_long_texts(spark):
+    docs = spark.createDataFrame([(i, "word " * 50) for i in range(20)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    model = toxicity.learn(docs, labels, longest=10)
+    assert model.net is None and model.shift == 0.0

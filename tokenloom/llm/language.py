@@ -7,8 +7,8 @@ another codeword is nearly as close.
 
 Learning uses a bounded sample of labelled rows: at most ``sample`` texts, dealt evenly over the languages by a hash of
 the id, one for each (id, language) drawn, of at most ``longest`` characters each. However often an id is repeated, the
-driver gets one text of it. The ``most`` values of the label with the most ids are learned; a column with more of them isn't
-one of languages. Prediction reads every whole text.
+driver gets one text of it. Every value of the label is learned, up to ``sample`` of them, those with the most ids: each needs a
+text of its own in the sample. ``most`` may bound them further. Prediction reads every whole text.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; with no label to learn from, so does
 every text; with one language, every text with a letter gets it. A null id is predicted, neither learned from nor held
@@ -30,11 +30,16 @@ from tokenloom.llm.common import fold
 
 GRAMS, HASH_BITS = (2, 3, 4), 16
 OUT = "doc_id bigint, held_out boolean, lang_pred string, score double, ambiguous boolean"
-_LETTER = re.compile(r"[^\W\d_]")
+#: All letters are among them, and some numbers, which ``str.isalpha`` tells apart.
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes as the classifiers see them: ASCII letters lower-cased (texts come lower-cased), other ASCII as a space.
 _SEEN = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """(n, bits) of +1 and -1: all splits for few languages, else the best of some random codes."""
     if n < 2:
@@ -44,10 +49,10 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         return np.array([[1.0 if s >> i & 1 else -1.0 for s in splits] for i in range(n)])
     rng, best, most = np.random.default_rng(seed), None, -1
     bits = int(np.ceil(10 * np.log2(n)))
-    for _ in range(200):
+    for _ in range(200 if n <= 256 else 10):
         code = rng.choice([-1.0, 1.0], (n, bits))
         code = code[:, np.abs(code.sum(0)) < n]
-        apart = ((code[:, None] != code[None]).sum(2) + np.eye(n, dtype=int) * 10**6).min()
+        apart = ((code.shape[1] - code @ code.T) / 2 + np.eye(n) * 10**6).min()  # bits in which they differ
         if apart > most:
             best, most = code, apart
     return best
@@ -94,7 +99,7 @@ class Model:
         return total / max(n, 1)
 
     def predict(self, text: str | None, margin: float = 0.1) -> tuple[str, float, bool]:
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not has_letter(text):
             return "und", 0.0, False
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
@@ -134,19 +139,18 @@ def train(texts: list[str], labels: list[str]) -> Model:
     return model
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, longest: int = 20_000, most: int = 256) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, longest: int = 20_000, most: int | None = None) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, ambiguous; learned where crc32(id as text) mod 4 is not 2."""
     spark = df.sparkSession
     part = fold(df[id_col], 4)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"), df[lang_col].alias("lang"), F.coalesce(part == 2, F.lit(False)).alias("held_out"), part.isNotNull().alias("named"))
     labelled = docs.where(F.col("named") & ~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
     counted = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("ids"), "lang")
-    sizes = {r["lang"]: r["ids"] for r in counted.limit(most).collect()}
+    sizes = {r["lang"]: r["ids"] for r in counted.limit(min(sample, most or sample)).collect()}
     each = max(1, sample // max(1, len(sizes)))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():  # twice what is wanted, so that what is then counted is small
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max(2.0 * each, 100.0) / n))).otherwise(share)
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    wish = [(x, min(1.0, max(2.0 * each, 100.0) / n)) for x, n in sizes.items()]  # twice what is wanted, so that what is then counted is small
+    share = F.broadcast(spark.createDataFrame(wish, "lang string, share double"))  # at most ``sample`` rows
+    drawn = labelled.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
     one = drawn.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     got = one.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text", "lang"])

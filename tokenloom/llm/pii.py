@@ -6,6 +6,11 @@ around the @ or between their letters; spelled digits), each keeping the source
 disguise may be of any number. The same detectors run on each result, and spans that needed a change are mapped back to the source and
 added, unless a base span of their kind, or a wider added one, covers them. Everything is linear in the text, one long run of characters included.
 
+A bare ``at`` before a dotted name is mostly a place on the web, so it becomes an address only with more evidence: a local
+part with a dot, underscore or plus between letters or digits behind them, a spelled dot in the name, a word about mail
+shortly before, or nothing around the address in its line or clause; the last three not behind an article or a possessive,
+nor for words that often stand before ``at``; none for a name that goes on as a path.
+
 Defined results: null and empty texts have no spans; a null id is passed through; repeated rows are judged each; further
 columns are not read by ``find_pii``, and kept by ``redact``.
 """
@@ -99,13 +104,31 @@ _DIGIT_OF = {w: str(i) for i, w in enumerate(_NUMBERS)} | {"oh": "0", "plus": "+
 _OPEN_AT = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(?:at|@)\s*[\])}>]\s*", re.I | re.A)
 _OPEN_DOT = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*", re.I | re.A)
 _SPELLED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I | re.A)
-_SPELLED_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", re.I | re.A)
+_SPELLED_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))", re.I | re.A)
+#: A dot of other scripts between letters or digits; a name whose dots are spelled or stand in brackets; one whose dot has blanks around it.
+_WIDE_DOT = re.compile(r"(?<=[A-Za-z0-9])[\u3002\uff61](?=[A-Za-z0-9])")
+_AT_DOTS = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=((?:[A-Za-z0-9-]+\.)*[A-Za-z0-9-]+(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)[A-Za-z0-9]))", re.I | re.A)
+_AT_BLANKS = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+((?:[A-Za-z0-9-]+\s*\.\s*)+)(com|org|net|edu|gov|int|info|io|co|uk|eu|de|fr|es|it|nl|ch|at|us|ca|au|jp|in|dev|app)(?![A-Za-z0-9-])", re.I | re.A)
+#: An address of single digits with blanks and dots between them.
+_SPACED_IP = re.compile(r"(?<![\w.])[0-9](?:\s[0-9]){0,2}(?:\s\.\s[0-9](?:\s[0-9]){0,2}){3}(?!\w|\s?[0-9.])", re.A)
+_ADDRESS_LIKE = re.compile(r"[A-Za-z]{2,}[._+][A-Za-z]|[A-Za-z][._+][A-Za-z]{2,}|[A-Za-z]{2,}[0-9]+$", re.A)
+_CUE = re.compile(r"\b(?:e-?mail(?:s|ed)?|mail(?:s|ed|to)?|write|wrote|contact|reach|address|send|cc|inbox)\b", re.I | re.A)
+#: Words that often stand before ``at``, and those before a noun.
+_COMMON = frozenset(
+    "i me you he him she her it we us they them who what this that all more most least best good here there now then home work office noon night today tomorrow yesterday online "
+    "look looks looked looking see sees saw seen meet meets met meeting arrive arrives arrived be is are was were been am stay stays stayed live lives lived visit visits visited "
+    "read start starts started end ends ended find found available hosted released posted published listed located shown page pages site team support people everyone anyone not only also even back".split()
+)
+_DETERMINERS = frozenset("the a an my your his her its our their this that these those some any every each no".split())
 #: In lower case, and looser: a literal start makes it cheap.
 _MAYBE_AT = re.compile(r"at\s+[a-z0-9-][a-z0-9.-]*\.[a-z]{2}", re.A)
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.I | re.A)
 _BLANK_AT = re.compile(r"\s@|@\s", re.A)
 _BLANKS = " \t\n\x0b\f\r"
 _WHOLE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_SPACED_DOT, _BLANK_RUN = re.compile(r"\s\.|\.\s", re.A), re.compile(r"\s+", re.A)
+#: In lower case, and looser.
+_MAYBE_SPACED = re.compile(r"at\s+[a-z0-9-]+(?:\s+\.|\.\s)", re.A)
 _LONE_DOT = re.compile(r"\bdot\b", re.I | re.A)
 _WORD = "|".join([*_NUMBERS, "oh"])
 _GAP = r"(?:[\s,-]+|\.)"
@@ -200,7 +223,8 @@ def _blank_edits(t: str) -> list[Edit]:
 
 
 def _dot_edits(t: str) -> list[Edit]:
-    found = [(m.start(), m.end(), n) for p, n in ((_OPEN_AT, "@"), (_OPEN_DOT, "."), (_SPELLED_DOT, ".")) for m in p.finditer(t)]
+    found = [(m.start(), m.end(), n) for p, n in ((_OPEN_AT, "@"), (_OPEN_DOT, "."), (_SPELLED_DOT, "."), (_WIDE_DOT, ".")) for m in p.finditer(t)]
+    found += [(m.start(), m.end(), "@") for m in _AT_DOTS.finditer(t) if _is_address(t, m.start(), m.end(1), spelled=True)]
     out: list[Edit] = []
     for e in sorted(found):
         if not out or e[0] >= out[-1][1]:
@@ -208,8 +232,35 @@ def _dot_edits(t: str) -> list[Edit]:
     return out
 
 
+def _is_address(t: str, at: int, end: int, spelled: bool = False) -> bool:
+    """Whether the word before the place ``at`` and the name up to ``end`` are an address, by what stands around them."""
+    if t[end : end + 1] == "/":
+        return False
+    start = at
+    while start > 0 and at - start < 64 and _LOCAL.match(t[start - 1]):
+        start -= 1
+    local, before = t[start:at], t[max(0, start - 60) : start]
+    if _ADDRESS_LIKE.search(local):
+        return True
+    words = before.lower().split()
+    if local.lower() in _COMMON or (words and words[-1] in _DETERMINERS):
+        return False
+    if spelled or _CUE.search(" ".join(before.split()[-4:])):
+        return True
+    inside = before.rstrip(" \t")
+    return (not inside or inside[-1] in "\n\r:;(<\"'") and re.match(r"[ \t]*(?:$|[\n\r;)>!?\"']|\.(?:\s|$))", t[end : end + 60]) is not None
+
+
 def _at_edits(t: str) -> list[Edit]:
-    return [(m.start(), m.end(), "@") for m in _SPELLED_AT.finditer(t)]
+    out = [(m.start(), m.end(), "@") for m in _SPELLED_AT.finditer(t) if _is_address(t, m.start(), m.end(1))]
+    for m in _AT_BLANKS.finditer(t):
+        if _SPACED_DOT.search(m[1]) and _is_address(t, m.start(), m.end(), spelled=True):
+            out += [(m.start(), m.start(1), "@")] + [(m.start(1) + x.start(), m.start(1) + x.end(), "") for x in _BLANK_RUN.finditer(m[1])]
+    return sorted(set(out))
+
+
+def _spaced_edits(t: str) -> list[Edit]:
+    return [(m.start() + x.start(), m.start() + x.end(), "") for m in _SPACED_IP.finditer(t) for x in _BLANK_RUN.finditer(m[0])]
 
 
 def _number_edits(t: str) -> list[Edit]:
@@ -231,7 +282,7 @@ def _number_edits(t: str) -> list[Edit]:
 
 
 def _dots(text: str, low: str) -> bool:
-    return bool(_BRACKET.search(text) or ("dot" in low and _LONE_DOT.search(text)))
+    return bool(_BRACKET.search(text) or ("dot" in low and _LONE_DOT.search(text)) or _WIDE_DOT.search(text))
 
 
 def normalised(text: str) -> Iterator[Mapped]:
@@ -240,8 +291,9 @@ def normalised(text: str) -> Iterator[Mapped]:
     for edits, called in (
         (_glyph_edits, lambda: not text.isascii()),
         (_dot_edits, lambda: _dots(text, low)),
-        (_at_edits, lambda: _MAYBE_AT.search(low)),
+        (_at_edits, lambda: _MAYBE_AT.search(low) or _MAYBE_SPACED.search(low)),
         (_blank_edits, lambda: "@" in text and _BLANK_AT.search(text)),
+        (_spaced_edits, lambda: " . " in text and _SPACED_IP.search(text)),
         (_number_edits, lambda: _MAYBE_SPELLED.search(low)),
     ):
         if called() and (found := edits(text)):

@@ -7,7 +7,9 @@ half a window is whole in one; every window of a text is scored, and the text's
 bad line in a very long text counts.
 
 Learning uses a bounded sample of labelled rows: at most ``sample`` texts, one for each of the (id, label) pairs that a
-hash of the id draws, half of them labelled 1 where there are as many, each of at most ``longest`` characters. However
+hash of the id draws, half of them labelled 1 where there are as many, each of at most ``longest`` characters. Pairs are drawn
+of those that have such a text, so labels without documents, or of documents that are too long, neither take a place nor count
+in the labels' shares. However
 often an id is repeated, the driver gets one text of it. The log odds that a training text meets come from the other half of the sample, so
 the network learns to trust them as far as they carry over. The text's window is learned along: of a text labelled 1,
 the window that now scores highest; of the others, that one and one at random.
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import fold
+from tokenloom.llm.common import Steps, fold
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION = 8, 8
@@ -287,11 +289,13 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, roun
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 3000, longest: int = 20_000) -> Model:
     """Train on a bounded sample of the labelled rows whose crc32(id as text) mod 5 is not 0."""
-    known = labels.where((F.col(label_col).isin(0, 1)) & (fold(F.col(id_col), 5) != 0)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    known = labels.where((F.col(label_col).isin(0, 1)) & (fold(F.col(id_col), 5) != 0)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
+    docs = df.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    steps = Steps(df.sparkSession, "toxicity")
+    known = steps.keep("known", known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))  # ids and labels alone
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    drawn = [known.where(F.col("label") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
+    drawn = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
     few = drawn[0].union(drawn[1])  # at most `sample` rows, so it may be broadcast
-    docs = df.where(F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     one = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = one.toPandas().sort_values(["doc_id", "text", "label"])
     return train(list(got["text"]), got["label"].to_numpy(), sizes.get(1, 0) / max(1, sum(sizes.values())))
