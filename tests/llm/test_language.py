@@ -106,9 +106,10 @@ def test_letters(docs_of):
 def test_very_many_languages(spark):
     """More values than 256 are learned, each from its own texts."""
     n = 300
-    rows = [(i, f"w{i % n}x w{i % n}y w{i % n}z " * 5, f"l{i % n:03d}") for i in range(6 * n)]
+    word = lambda k: "".join("bcdfghjklmnpqrstvwxz"[k // 20**p % 20] + "aeiou"[k // 5**p % 5] for p in range(3))
+    rows = [(i, f"{word(i % n)} {word(i % n + 1000)} {word(i % n + 3000)} " * 5, f"l{i % n:03d}") for i in range(6 * n)]
     got = language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=3000).collect()
-    assert len({r.lang_pred for r in got}) == n
+    assert np.mean([r.lang_pred == f"l{r.doc_id % n:03d}" for r in got]) > 0.9
     codes = language.codewords(n)
     assert len({tuple(c) for c in codes}) == n
     few = language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=20).collect()
