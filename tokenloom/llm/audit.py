@@ -33,10 +33,13 @@ ORDERS = tuple("".join(p) for p in permutations(FILTERS))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, words, distinct) for each key of rows (doc_id, h, text), by exploded words."""
+    """(doc_id, h, words, distinct) for each key of rows (doc_id, h, text), by exploded words.
+
+    Words are grouped as bytes: for text, Spark first tries a small map, which is full after a few documents and only costs.
+    """
     dealt = docs.repartition("doc_id", "h")
     words = dealt.select("doc_id", "h", F.explode(F.concat(split_words(F.col("text")), F.array(F.lit(None).cast("string")))).alias("word"))
-    each = words.groupBy("doc_id", "h", "word").agg(F.count("*").alias("n"))
+    each = words.groupBy("doc_id", "h", F.col("word").cast("binary").alias("word")).agg(F.count("*").alias("n"))
     rows, total = F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.sum(F.when(F.col("word").isNotNull(), F.col("n")))
     return each.groupBy("doc_id", "h").agg((F.coalesce(total, F.lit(0)) / rows).cast("long").alias("words"), F.count("word").alias("distinct"))
 
