@@ -1,37 +1,50 @@
-"""Token shards: a Python data source over tar files of records (key, tokens.npy, optional json).
+"""Token shards: a Python data source over tar files of records (key, tokens.npy, optional json), in any store.
 
-Null tokens or keys fail the write. Repeated keys are stored each, and ``load_last`` takes the last. A folder without shards
-is an error; writing no rows writes no shard. Columns other than key, tokens and meta are not written.
+Null tokens or keys, and keys that can't be stored, fail the write, or with the option ``quarantine`` go to a table of errors
+beside the shards. Repeated keys are stored each, and ``load_last`` takes the last. A folder without shards is an error; writing
+no rows writes no shard. Columns other than key, tokens, meta, status and error are not written.
+
+A stream draws shards in lanes. For each epoch the shards are dealt anew to the lanes, each to one; a lane draws from its own,
+with replacement or each once. What a lane draws follows from the seed, the lane and the number of the draw alone, so the
+offset is one number for each lane, a restart draws the same, and a lane is one input partition. A stream into shards commits
+them by batch: shards of a batch count once its marker is written, and a batch that is written again replaces them.
 """
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import io
-import os
+import json
 import re
+import sys
 import tarfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tokenloom.functions.names import segment_key
+from tokenloom.sources.store import Store
 
 SCHEMA = "key string, tokens array<smallint>, meta string, shard string, place int"
+#: Of a stream: also the lane, the number of the draw in its lane, whether the record ends a lane, and what is wrong with a shard.
+STREAMED = f"{SCHEMA}, lane int, draw bigint, ends boolean, error string"
 MAX_RECORDS, MAX_BYTES = 10_000, 1 << 30
+ERRORS = "key string, status string, error string"
 _ARROW = pa.schema([("key", pa.string()), ("tokens", pa.list_(pa.int16())), ("meta", pa.string()), ("shard", pa.string()), ("place", pa.int32())])
+_BAD = (tarfile.TarError, EOFError, OSError, ValueError)
 
 
-def records(path: str) -> Iterator[tuple[str, list[int], str | None, int]]:
-    """(key, tokens, meta, place) of the records that have tokens; members of a record stand together."""
+def records(path: str, store: Store | None = None) -> Iterator[tuple[str, list[int], str | None, int]]:
+    """(key, tokens, meta, place) of the records that have tokens; members of a record stand together. Read as a stream."""
+    folder, _, name = path.rpartition("/")
+    store = store or Store(folder or ".")
     key, tokens, meta, place = None, None, None, 0
-    with tarfile.open(path) as tar:
+    with store.reader(name) as body, tarfile.open(fileobj=body, mode="r|*") as tar:
         for m in tar:
             if not m.isfile():
                 continue
@@ -49,25 +62,42 @@ def records(path: str) -> Iterator[tuple[str, list[int], str | None, int]]:
         yield key, tokens, meta, place
 
 
+def _done_name(batch: str) -> str:
+    return f"{batch}.done"
+
+
+def listed(store: Store) -> list[str]:
+    """The shards of a folder; those of a stream's batch only once it is committed."""
+    done = {n.removesuffix(".done") for n in store.names(".done")}
+    return [n for n in store.names(".tar") if not (m := re.match(r"(stream-[0-9a-f]+-batch\d+)-", n)) or m[1] in done]
+
+
 class _Shard(InputPartition):
-    def __init__(self, path: str, draw: int = 0):
-        self.path, self.draw = path, draw
+    def __init__(self, name: str):
+        self.name = name
+
+
+class _Lane(InputPartition):
+    """The draws of a lane from ``start`` on, as (number, shard), and whether the lane ends with them."""
+
+    def __init__(self, lane: int, draws: list[tuple[int, str]], ends: bool):
+        self.lane, self.draws, self.ends = lane, draws, ends
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, options: dict):
+        self.folder, self.factory = options["path"], options.get("store", "")
 
     def partitions(self) -> list[InputPartition]:
-        found = sorted(glob.glob(os.path.join(self.folder, "*.tar")))
+        found = listed(Store(self.folder, self.factory))
         if not found:
             raise ValueError(f"no .tar shards in {self.folder}")
-        return [_Shard(p) for p in found]
+        return [_Shard(n) for n in found]
 
     def read(self, partition: _Shard) -> Iterator[pa.RecordBatch]:
-        rows, name = [], os.path.basename(partition.path)
-        for key, tokens, meta, place in records(partition.path):
-            rows.append({"key": key, "tokens": tokens, "meta": meta, "shard": name, "place": place})
+        rows = []
+        for key, tokens, meta, place in records(partition.name, Store(self.folder, self.factory)):
+            rows.append({"key": key, "tokens": tokens, "meta": meta, "shard": partition.name, "place": place})
             if len(rows) == 1024:
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
                 rows = []
@@ -76,63 +106,102 @@ class _Reader(DataSourceReader):
 
 
 class _Done(WriterCommitMessage):
-    def __init__(self, task: int, files: list[str]):
-        self.task, self.files = task, files
+    def __init__(self, task: int, files: list[str], errors: list[str]):
+        self.task, self.files, self.errors = task, files, errors
 
 
-def member_name(key: str, kind: str) -> str:
-    """A member's name. The first dot parts key and kind, so a key may hold none; it can't be empty or a path either."""
+def unfit_key(key: str | None) -> str | None:
+    """What is wrong with a key. The first dot parts key and kind, so a key may hold none; it can't be empty or a path either."""
     if not key or "." in key or "/" in key:
-        raise ValueError(f"the key {key!r} can't be stored: keys are not empty and hold neither dots nor slashes")
-    return f"{key}.{kind}"
+        return f"the key {key!r} can't be stored: keys are not empty and hold neither dots nor slashes"
+    return None
 
 
-class _Writer(DataSourceWriter):
-    """Each task rolls its own shards, under names of this write's own; they get their last names when all tasks have succeeded.
+def _body(r: dict) -> tuple[list[tuple[str, bytes]], str | None]:
+    """(kind, bytes) of a record's members, or what keeps it from being stored."""
+    wrong = unfit_key(r["key"]) or ("there are no tokens" if r["tokens"] is None else None)
+    if wrong:
+        return [], wrong
+    buffer = io.BytesIO()
+    np.save(buffer, np.asarray(r["tokens"], np.int16))
+    return [("tokens.npy", buffer.getvalue())] + ([("json", r["meta"].encode())] if r.get("meta") is not None else []), None
 
-    An append goes on numbering where the folder's shards end; an overwrite replaces shards of equal names and only then
-    deletes the others.
-    """
 
-    def __init__(self, options: dict, overwrite: bool):
-        self.folder, self.overwrite, self.id = options["path"], overwrite, uuid.uuid4().hex
+class _Rolled:
+    """What batch and stream writers share: tasks roll shards, and tables of errors, under names of their own."""
+
+    prefix = "."
+
+    def __init__(self, options: dict):
+        self.folder, self.factory, self.id = options["path"], options.get("store", ""), uuid.uuid4().hex
         self.most, self.bytes = int(options.get("maxrecords", MAX_RECORDS)), int(options.get("maxbytes", MAX_BYTES))
-        self.naming = options.get("naming", "task")
-        if self.naming not in ("task", "shard"):
-            raise ValueError(f"shards are named by task or by shard, not by {self.naming}")
+        self.quarantine = options.get("quarantine", "").lower() == "true"
+
+    def store(self) -> Store:
+        return Store(self.folder, self.factory)
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, rows: Iterable) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        task = TaskContext.get()
-        os.makedirs(self.folder, exist_ok=True)
-        files, tar, n, size = [], None, 0, 0
+        task, store = TaskContext.get(), self.store()
+        store.make()
+        own = f"{self.prefix}{self.id}-{task.taskAttemptId()}"
+        files, errors, out, tar, n, size = [], [], None, None, 0, 0
+
+        def close() -> None:
+            if tar:
+                tar.close()
+                out.close()
+
+        bad = None
         for r in rows:
-            buffer = io.BytesIO()
-            np.save(buffer, np.asarray(r["tokens"], np.int16))
-            parts = [("tokens.npy", buffer.getvalue())]
-            if "meta" in r and r["meta"] is not None:
-                parts.append(("json", r["meta"].encode()))
+            r = r.asDict()
+            failed = r.get("status") not in (None, "ok") or r.get("error") is not None
+            parts, wrong = ([], r.get("error")) if failed else _body(r)
+            if failed or wrong:
+                if not self.quarantine:
+                    raise ValueError(wrong or f"a row of status {r['status']} can't be stored")
+                if bad is None:
+                    errors.append(f"{own}-errors.part")
+                    bad = store.writer(errors[-1])
+                status = r.get("status") if failed and r.get("status") not in (None, "ok") else "error_store"
+                bad.write((json.dumps({"key": r["key"], "status": status, "error": wrong}) + "\n").encode())
+                continue
             if tar is None or n >= self.most or size >= self.bytes:
-                if tar:
-                    tar.close()
-                files.append(os.path.join(self.folder, f".{self.id}-{task.taskAttemptId()}-{len(files)}.part"))
-                tar, n, size = tarfile.open(files[-1], "w"), 0, 0
+                close()
+                files.append(f"{own}-{len(files)}.part")
+                out = store.writer(files[-1])
+                tar, n, size = tarfile.open(fileobj=out, mode="w|"), 0, 0
             for kind, body in parts:
-                info = tarfile.TarInfo(member_name(r["key"], kind))
+                info = tarfile.TarInfo(f"{r['key']}.{kind}")
                 info.size = len(body)
                 tar.addfile(info, io.BytesIO(body))
                 size += len(body)
             n += 1
-        if tar:
-            tar.close()
-        return _Done(task.partitionId(), files)
+        close()
+        if bad is not None:
+            bad.close()
+        return _Done(task.partitionId(), files, errors)
+
+
+class _Writer(_Rolled, DataSourceWriter):
+    """Each task rolls its own shards, under names of this write's own; they get their last names when all tasks have succeeded.
+
+    An append goes on numbering where the folder's shards end; an overwrite replaces shards of equal names and only then
+    deletes the others.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        super().__init__(options)
+        self.overwrite, self.naming = overwrite, options.get("naming", "task")
+        if self.naming not in ("task", "shard"):
+            raise ValueError(f"shards are named by task or by shard, not by {self.naming}")
 
-    def _names(self, messages: list) -> Iterator[tuple[str, str]]:
+    def _names(self, messages: list, old_names: list[str]) -> Iterator[tuple[str, str]]:
         """(written, last name) of every shard, in the order of the tasks."""
         taken: dict[int, int] = {}
-        for old in [] if self.overwrite else glob.glob(os.path.join(self.folder, "*.tar")):
-            if m := re.fullmatch(r"(?:task(\d+)-)?shard-?(\d+)\.tar", os.path.basename(old)):
+        for old in [] if self.overwrite else old_names:
+            if m := re.fullmatch(r"(?:task(\d+)-)?shard-?(\d+)\.tar", old):
                 task = int(m[1]) if m[1] and self.naming == "task" else 0
                 taken[task] = max(taken.get(task, 0), int(m[2]) + 1)
         for done in sorted((m for m in messages if m), key=lambda m: m.task):
@@ -143,59 +212,168 @@ class _Writer(DataSourceWriter):
                 yield f, f"task{task:03d}-shard{k:03d}.tar" if self.naming == "task" else f"shard-{k:03d}.tar"
 
     def _clear(self) -> None:
-        for f in glob.glob(os.path.join(glob.escape(self.folder), f".{self.id}-*.part")):
-            os.remove(f)
+        store = self.store()
+        for n in store.names(".part", hidden=True):
+            if n.startswith(f".{self.id}-"):
+                store.remove(n)
 
     def commit(self, messages: list) -> None:
-        before, kept = set(glob.glob(os.path.join(self.folder, "*.tar"))), set()
-        for written, name in list(self._names(messages)):
-            kept.add(os.path.join(self.folder, name))
-            os.replace(written, os.path.join(self.folder, name))
+        store, kept = self.store(), set()
+        store.make()
+        before = [*store.names(".tar"), *store.names(".errors.jsonl")]
+        names = list(self._names(messages, before))
+        names += [(e, f"{self.id}-{m.task:05d}.errors.jsonl") for m in messages if m for e in m.errors]
+        for written, name in names:
+            kept.add(name)
+            store.move(written, name)
         if self.overwrite:
-            for old in before - kept:
-                os.remove(old)
+            for old in [n for n in before if n not in kept]:
+                store.remove(old)
+            for old in store.names(".done"):
+                store.remove(old)
         self._clear()
 
     def abort(self, messages: list) -> None:
         self._clear()
 
 
+class _StreamWriter(_Rolled, DataSourceStreamWriter):
+    """Shards named by stream and batch. A batch counts by its marker, which lists them and is written last.
+
+    A batch that comes again, since the query ended between the sink's commit and its own, replaces what it had; what
+    attempts before have left is cleared. Two streams may write into one folder under names of their own.
+    """
+
+    prefix = ".stream-"
+
+    def __init__(self, options: dict, overwrite: bool):
+        super().__init__(options)
+        name = options.get("streamname", "")
+        if not name:
+            raise ValueError("a stream into shards needs a name that stays the same over restarts (streamname)")
+        if self.quarantine:
+            raise ValueError("a stream into shards has no table of errors: take bad records out before")
+        self.stream = hashlib.blake2b(name.encode(), digest_size=6).hexdigest()
+        self.prefix = f".stream-{self.stream}-"
+
+    def commit(self, messages: list, batchId: int) -> None:
+        store, batch = self.store(), f"stream-{self.stream}-batch{batchId:09d}"
+        store.make()
+        if store.exists(_done_name(batch)):
+            store.remove(_done_name(batch))
+        for old in store.names(".tar"):
+            if old.startswith(f"{batch}-"):
+                store.remove(old)
+        names = []
+        for done in sorted((m for m in messages if m), key=lambda m: m.task):
+            for f in done.files:
+                names.append(f"{batch}-shard{len(names):05d}.tar")
+                store.move(f, names[-1])
+        store.write(_done_name(batch), "\n".join(names).encode())
+        self._clear()
+
+    def _clear(self) -> None:
+        store = self.store()
+        for n in store.names(".part", hidden=True):
+            if n.startswith(self.prefix):
+                store.remove(n)
+
+    def abort(self, messages: list, batchId: int) -> None:
+        self._clear()
+
+
+class Draws:
+    """What the lanes of a stream draw: for each epoch the shards are dealt to the lanes by a hash of the seed and the epoch."""
+
+    def __init__(self, shards: list[str], lanes: int, seed: int, once: bool, epochs: int):
+        if not shards or lanes > len(shards):
+            raise ValueError(f"{len(shards)} shards can't be dealt to {lanes} lanes")
+        self.shards, self.lanes, self.seed, self.once, self.epochs = shards, lanes, seed, once, epochs
+        self._dealt: tuple[int, list[str]] = (-1, [])
+
+    def _hash(self, *of) -> int:
+        return int.from_bytes(hashlib.blake2b(":".join(map(str, (self.seed, *of))).encode(), digest_size=8).digest(), "big")
+
+    def each(self, lane: int) -> int:
+        """Draws of a lane in an epoch: as many as it is dealt shards."""
+        return len(range(lane, len(self.shards), self.lanes))
+
+    def last(self, lane: int) -> int | None:
+        """Draws of a lane in all, or none for an endless stream."""
+        return self.each(lane) * self.epochs if self.epochs else None
+
+    def own(self, lane: int, epoch: int) -> list[str]:
+        if self._dealt[0] != epoch:
+            self._dealt = epoch, sorted(self.shards, key=lambda s: (self._hash("deal", epoch, s), s))
+        return self._dealt[1][lane :: self.lanes]
+
+    def draw(self, lane: int, n: int) -> str:
+        epoch, k = divmod(n, self.each(lane))
+        own = self.own(lane, epoch)
+        return own[k] if self.once else own[self._hash("draw", lane, n) % len(own)]
+
+
 class _Draws(DataSourceStreamReader):
-    """Shards drawn with replacement, for ever: draw n is a hash of the seed and n, so a restart draws the same."""
+    """The lanes' draws as micro-batches; the offset holds the number of draws of each lane, and of what they are drawn."""
 
     def __init__(self, options: dict):
-        self.folder, self.seed = options["path"], int(options.get("seed", 101))
-        self.each, self.next = int(options.get("shardspertrigger", 1)), None
-        self.shards = sorted(glob.glob(os.path.join(self.folder, "*.tar")))
-        if not self.shards:
+        self.folder, self.factory = options["path"], options.get("store", "")
+        self.step, self.rows = int(options.get("shardspertrigger", 1)), options.get("badshards", "skip") == "rows"
+        shards = listed(Store(self.folder, self.factory))
+        if not shards:
             raise ValueError(f"no .tar shards in {self.folder}")
+        self.draws = Draws(shards, int(options.get("lanes", 1)), int(options.get("seed", 101)), options.get("replacement", "true").lower() != "true", int(options.get("epochs", 0)))
+        of = [shards, self.draws.seed, self.draws.once]
+        self.of = hashlib.blake2b(json.dumps(of).encode(), digest_size=8).hexdigest()
+        self.next: list[int] | None = None
+
+    def _offset(self, at: list[int]) -> dict:
+        return {"lanes": len(at), "of": self.of} | {f"lane{i}": n for i, n in enumerate(at)}
+
+    def _at(self, offset: dict) -> list[int]:
+        if offset["lanes"] != self.draws.lanes:
+            raise ValueError(f"the stream was begun with {offset['lanes']} lanes and can't go on with {self.draws.lanes}")
+        if offset["of"] != self.of:
+            raise ValueError("the shards, the seed or the way to draw have changed since the stream was begun")
+        return [offset[f"lane{i}"] for i in range(self.draws.lanes)]
 
     def initialOffset(self) -> dict:
-        return {"draw": 0}
+        return self._offset([0] * self.draws.lanes)
 
     def latestOffset(self) -> dict:
-        self.next = (self.next or 0) + self.each
-        return {"draw": self.next}
+        ends = [self.draws.last(i) for i in range(self.draws.lanes)]
+        self.next = [n + self.step if e is None else min(e, n + self.step) for n, e in zip(self.next or [0] * len(ends), ends, strict=True)]
+        return self._offset(self.next)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self.next = max(self.next or 0, end["draw"])
-        draw = lambda n: int.from_bytes(hashlib.blake2b(f"{self.seed}:{n}".encode(), digest_size=8).digest(), "big") % len(self.shards)
-        return [_Shard(self.shards[draw(n)], n) for n in range(start["draw"], end["draw"])]
-
-    def read(self, partition: _Shard) -> Iterator[tuple]:
-        name = os.path.basename(partition.path)
-        try:
-            for key, tokens, meta, place in records(partition.path):
-                yield key, tokens, meta, name, place
-        except (tarfile.TarError, EOFError, OSError, ValueError):  # a bad shard ends here; the stream goes on
-            return
+        begin, stop = self._at(start), self._at(end)
+        self.next = list(map(max, self.next or stop, stop))  # a restart plans its last batch first
+        return [
+            _Lane(i, [(n, self.draws.draw(i, n)) for n in range(a, b)], b == self.draws.last(i))
+            for i, (a, b) in enumerate(zip(begin, stop, strict=True)) if a < b
+        ]
+
+    def read(self, partition: _Lane) -> Iterator[tuple]:
+        store, n = Store(self.folder, self.factory), 0
+        for n, name in partition.draws:
+            try:
+                for key, tokens, meta, place in records(name, store):
+                    yield key, tokens, meta, name, place, partition.lane, n, False, None
+            except _BAD as e:  # a bad shard ends here; the stream goes on
+                print(f"shard {name} is broken: {e}", file=sys.stderr)
+                if self.rows:
+                    yield None, None, None, name, None, partition.lane, n, False, str(e)[:100]
+        if partition.ends and self.rows:
+            yield None, None, None, None, None, partition.lane, n, True, None
 
 
 class TokenTar(DataSource):
-    """``format("tokentar")`` with a path in a folder that driver and executors share.
+    """``format("tokentar")`` with a path in a store that driver and executors share; option store names a factory of it.
 
-    Options of writes: maxrecords, maxbytes, naming (task: task000-shard000.tar; shard: shard-000.tar). A stream draws shards
-    with replacement: options seed and shardspertrigger.
+    Options of writes: maxrecords, maxbytes, naming (task: task000-shard000.tar; shard: shard-000.tar), quarantine (true:
+    rows that can't be stored go to a table of errors). Of a stream to read: seed, lanes, shardspertrigger (of each lane),
+    replacement, epochs (0: endless), badshards (skip, or rows: a row with the error, and one at the end of each lane).
+    Of a stream to write: streamname.
     """
 
     @classmethod
@@ -203,29 +381,38 @@ class TokenTar(DataSource):
         return "tokentar"
 
     def schema(self) -> str:
-        return SCHEMA
+        return STREAMED if self.options.get("lanes") else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(dict(self.options))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Draws(dict(self.options))
+        return _Draws(dict(self.options) | {"lanes": self.options.get("lanes") or "1"})
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(dict(self.options), overwrite)
 
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
+        return _StreamWriter(dict(self.options), overwrite)
+
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+def read_tokens(spark: SparkSession, folder: str, store: str = "") -> DataFrame:
     spark.dataSource.register(TokenTar)
-    return spark.read.format("tokentar").load(folder)
+    return spark.read.format("tokentar").option("store", store).load(folder)
 
 
 def write_tokens(df: DataFrame, folder: str, mode: str = "overwrite", **options) -> None:
-    """Columns key, tokens and, if wanted, meta (a JSON string)."""
+    """Columns key, tokens and, if wanted, meta (a JSON string); with ``quarantine`` also status and error."""
     df.sparkSession.dataSource.register(TokenTar)
     df.write.format("tokentar").mode(mode).options(**options).save(folder)
 
 
+def read_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, status, error) of the rows that writes with ``quarantine`` could not store."""
+    found = spark.read.schema(ERRORS).option("pathGlobFilter", "*.errors.jsonl")
+    return found.json(folder)
+
+
 def token_meta(file_id, segment, tokens, path):
     """The JSON side-car of a record."""
     return F.to_json(F.struct(file_id.alias("file_id"), segment.alias("segment_id"), F.size(tokens).alias("token_count"), path.alias("audio_filepath")))
@@ -236,16 +423,17 @@ def load_last(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, folder).groupBy("key").agg(F.max_by("tokens", F.struct("shard", "place")).alias("tokens"))
 
 
-def stream_tokens(spark: SparkSession, folder: str, seed: int = 101, shards: int = 1) -> DataFrame:
-    """The endless stream of records of shards drawn with replacement, ``shards`` of them for each micro-batch."""
+def stream_tokens(spark: SparkSession, folder: str, seed: int = 101, shards: int = 1, **options) -> DataFrame:
+    """The endless stream of records of shards drawn with replacement, ``shards`` of them for each micro-batch and lane."""
     spark.dataSource.register(TokenTar)
-    return spark.readStream.format("tokentar").option("path", folder).option("seed", str(seed)).option("shardspertrigger", str(shards)).load()
+    options = {"lanes": 1, "seed": seed, "shardspertrigger": shards} | options
+    return spark.readStream.format("tokentar").option("path", folder).options(**{k: str(v) for k, v in options.items()}).load()
 
 
-def token_records(df: DataFrame, file_id: str = "file_id", tokens: str = "tokens", path: str = "audio_filepath", segment: int = 0) -> DataFrame:
+def token_records(df: DataFrame, file_id: str = "file_id", tokens: str = "tokens", path: str = "audio_filepath", segment: int = 0, also: tuple[str, ...] = ()) -> DataFrame:
     """(key, tokens, meta) as shards store them: the key is the id's stem and the segment, meta the JSON side-car."""
     meta = token_meta(F.col(file_id), F.lit(segment), F.col(tokens), F.col(path))
-    return df.select(segment_key(F.col(file_id), segment).alias("key"), F.col(tokens).cast("array<smallint>").alias("tokens"), meta.alias("meta"))
+    return df.select(segment_key(F.col(file_id), segment).alias("key"), F.col(tokens).cast("array<smallint>").alias("tokens"), meta.alias("meta"), *also)
 
 
 #: The JSON side-car of a record.
@@ -257,8 +445,11 @@ def with_meta(df: DataFrame) -> DataFrame:
     return df.withColumn("meta", F.from_json("meta", META))
 
 
-def broken_shards(spark: SparkSession, glob_path: str) -> DataFrame:
-    """(path, error) of the tar files that can't be listed to their end; each is read as a stream, on the shared file system."""
+def broken_shards(spark: SparkSession, glob_path: str, store: str = "") -> DataFrame:
+    """(path, error) of the tar files that can't be listed to their end; each is read as a stream.
+
+    Spark lists them. With a factory, ``glob_path`` is a folder of its store, and all its .tar files are read.
+    """
 
     def test(frames):
         import pandas as pd
@@ -266,8 +457,9 @@ def broken_shards(spark: SparkSession, glob_path: str) -> DataFrame:
         for f in frames:
             rows = []
             for path in f["path"]:
+                folder, _, name = path.rpartition("/")
                 try:
-                    with tarfile.open(re.sub("^file:/*", "/", path)) as tar:
+                    with Store(folder, store).reader(name) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
                         for m in tar:
                             if m.isfile():
                                 body, n = tar.extractfile(m), 0
@@ -279,4 +471,9 @@ def broken_shards(spark: SparkSession, glob_path: str) -> DataFrame:
                     rows.append((path, str(e)[:100]))
             yield pd.DataFrame(rows, columns=["path", "error"])
 
-    return spark.read.format("binaryFile").load(glob_path).select("path").mapInPandas(test, "path string, error string")
+    if store:
+        names = [(Store(glob_path, store).at(n),) for n in Store(glob_path, store).names(".tar")]
+        paths = spark.createDataFrame(names, "path string").repartition(max(1, len(names)))
+    else:
+        paths = spark.read.format("binaryFile").load(glob_path).select("path")
+    return paths.mapInPandas(test, "path string, error string")
