@@ -23,7 +23,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import split_words
+from tokenloom.llm.common import Steps, split_words
 
 FILTERS = "ABCDE"
 SETS = 1 << len(FILTERS)
@@ -52,6 +52,7 @@ def other_flags(docs: DataFrame) -> DataFrame:
         (100 * upper > MOST_UPPER * F.char_length(text)).alias("c"), text.rlike(SYMBOLS).alias("d"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
     )
     copied = flags.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    copied = Steps(docs.sparkSession, "audit").keep("copied", copied)  # a table of its own, so that the join's two exchanges can be split
     return flags.join(copied, "digest", "left").select("doc_id", "h", "part", "c", "d", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("e"))
 
 
