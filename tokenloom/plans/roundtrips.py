@@ -15,6 +15,7 @@ from tokenloom.operators import evaluate, metrics, tables
 from tokenloom.plans.catalog import _ACCURACY, _SEQ, _SHOWN, _rounded, _shown, event_sequences, query, scored_events
 from tokenloom.session import checkpoint_dir, table
 from tokenloom.sources import tar
+from tokenloom.streaming import pack
 
 
 def _folder(spark: SparkSession) -> str:
@@ -108,3 +109,17 @@ def stored_record_keys(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(names.stem(F.format_string("d%d.x", "doc_id")).alias("key"), F.array((F.col("doc_id") % 1000).cast("smallint")).alias("tokens"))
     tar.write_tokens(d, home, naming="shard", maxrecords=300)
     return tar.read_tokens(spark, home).select(F.substring("key", 2, 20).cast("long").alias("doc_id"), F.col("key").alias("stem"))
+
+
+@query("""SELECT md5(array_to_string(list_concat([32766], list_transform(range(1, 15), lambda i: (doc_id * i + coalesce(n_chars, 0)) % 32000), [32767]), ',')) AS digest, 16 AS n FROM documents""")
+def streamed_blocks(spark, sf_dir):
+    """The training stream over one epoch, from shards through lanes, buffers and packing into shards: sequences as long as a block, so each is one."""
+    home = _folder(spark)
+    tokens = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: ((F.col("doc_id") * i + F.coalesce("n_chars", F.lit(0))) % 32000).cast("smallint"))
+    docs = table(spark, sf_dir, "documents").select(F.format_string("d%d", "doc_id").alias("key"), tokens.alias("tokens"))
+    tar.write_tokens(docs, f"{home}/in", maxrecords=40)
+    blocks = pack.training_blocks(spark, f"{home}/in", 32766, 32767, 16, lanes=2, buffer=100, replacement="false", epochs=1, shardspertrigger=20)
+    running = pack.write_blocks(blocks, f"{home}/out", f"{home}/progress")
+    running.processAllAvailable()
+    running.stop()
+    return pack.read_blocks(spark, f"{home}/out").select(F.md5(_shown(F.col("tokens")).cast("binary")).alias("digest"), F.size("tokens").alias("n"))
