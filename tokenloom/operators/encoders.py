@@ -74,19 +74,21 @@ def level_encoder(n_tokens: int = 256) -> Encode:
     return encode
 
 
-def encoder_udf(name: str, **options):
-    """struct<tokens, error> of (wave array<float>, rate int): the encoder is made once in each worker, errors become rows.
-
-    A name whose weights aren't here (a vocabulary without a factory) is refused until ``register`` brings its encoder.
-    """
+def factory(name: str) -> Callable[..., Encode]:
+    """What makes an encoder. A name whose weights aren't here (a vocabulary without a factory) is refused until ``register`` brings it."""
     vocabulary(name)
     if name not in _FACTORIES:
         raise ValueError(f"no encoder is registered for {name}; there are {sorted(_FACTORIES)}")
-    factory = _FACTORIES[name]
+    return _FACTORIES[name]
+
+
+def encoder_udf(name: str, **options):
+    """struct<tokens, error> of (wave array<float>, rate int): the encoder is made once in each worker, errors become rows."""
+    make = factory(name)
 
     @F.pandas_udf(ENCODED)
     def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = factory(**options)
+        model = make(**options)
         for waves, rates in batches:
             rows = []
             for w, r in zip(waves, rates, strict=True):

@@ -96,6 +96,10 @@ def look_up(meta: DataFrame, tokens: DataFrame, key: str, order: list[str], valu
     return meta.join(latest(tokens, key, order, value), key, "left")
 
 
+#: What becomes of a row, in the order in which the reasons are looked at; the last are found when a good row is stored.
+STATUSES = ("error_read", "error_empty", "skipped_short", "error_encode", "error_no_tokens", "ok", "error_store")
+
+
 def status(n_samples: Column, rate: Column, tokens: Column, min_seconds: float = 3.0) -> Column:
     """The first reason to skip a row, or ok: no samples, too short (strictly), no encoding, no tokens."""
     return (
@@ -122,6 +126,16 @@ def progress(statuses: DataFrame, elapsed: float, total: int) -> DataFrame:
     """Counts of a column ``status`` as written, skipped_short and skipped_error, the rate a second, and hours and minutes to go."""
     s, ok = F.col("status"), F.count_if(F.col("status") == "ok")
     counts = statuses.agg(ok.alias("written"), F.count_if(s == "skipped_short").alias("skipped_short"), F.count_if(s.startswith("error")).alias("skipped_error"), F.count("*").alias("seen"))
+    return _with_rate(counts, elapsed, total)
+
+
+def progress_of(spark: SparkSession, counts: dict[str, int], elapsed: float, total: int) -> DataFrame:
+    """The same from what a write has counted by status while it ran, without a pass of its own."""
+    row = (counts.get("ok", 0), counts.get("skipped_short", 0), sum(n for s, n in counts.items() if s.startswith("error")), sum(counts.get(s, 0) for s in STATUSES))
+    return _with_rate(spark.createDataFrame([row], "written bigint, skipped_short bigint, skipped_error bigint, seen bigint"), elapsed, total)
+
+
+def _with_rate(counts: DataFrame, elapsed: float, total: int) -> DataFrame:
     rate = F.when(F.lit(elapsed) > 0, F.col("written") / F.lit(elapsed)).otherwise(0.0)
     left = F.when(F.col("rate") > 0, (F.lit(total) - F.col("seen")) / F.col("rate")).otherwise(0.0)
     return counts.withColumn("rate", rate).withColumn("_left", left).withColumns({"eta": eta(F.col("_left"))}).drop("_left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import names
 from tokenloom.operators import evaluate, metrics, tables
+from tokenloom.plans import flows
 from tokenloom.plans.catalog import _ACCURACY, _SEQ, _SHOWN, _rounded, _shown, event_sequences, query, scored_events
 from tokenloom.session import checkpoint_dir, table
 from tokenloom.sources import tar
@@ -123,3 +124,26 @@ def streamed_blocks(spark, sf_dir):
     running.processAllAvailable()
     running.stop()
     return pack.read_blocks(spark, f"{home}/out").select(F.md5(_shown(F.col("tokens")).cast("binary")).alias("digest"), F.size("tokens").alias("n"))
+
+
+def _sound(body):
+    """A mono WAV file of 8 bits at 8 kHz whose samples are the given bytes."""
+    n = F.octet_length(body)
+    four = lambda x: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(x), 8, "0"), k, 2) for k in (7, 5, 3, 1))))  # noqa: E731  the low byte first
+    head = lambda text: F.lit(text.encode())
+    return F.concat(head("RIFF"), four(n + 36), head("WAVEfmt "), F.unhex(F.lit("1000000001000100401F0000401F000001000800")), head("data"), four(n), body)
+
+
+@query("""WITH s AS (SELECT CASE WHEN text IS NULL OR doc_id % 11 = 0 THEN 'error_read' WHEN strlen(text) = 0 THEN 'error_empty' WHEN strlen(text) / 8000.0 < 0.1 THEN 'skipped_short' WHEN doc_id % 13 = 0 THEN 'error_store' ELSE 'ok' END AS status, doc_id FROM documents)
+SELECT status, count(*) AS n, count(*) AS n_found, CASE WHEN status = 'ok' THEN NULL ELSE sum(doc_id)::BIGINT END AS sources FROM s GROUP BY status""")
+def encoded_counts(spark, sf_dir):
+    """Texts as sounds, some broken, short or of ids that can't be keys, encoded in one pass: counts of the write itself beside those of what it left."""
+    home, i, body = _folder(spark), F.col("doc_id").cast("string"), F.col("text").cast("binary")
+    name = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("a.b."), i)).otherwise(i)
+    sounds = table(spark, sf_dir, "documents").select(F.concat(name, F.lit(".wav")).alias("file_id"), i.alias("audio_filepath"), F.when(F.col("doc_id") % 11 == 0, body).otherwise(_sound(body)).alias("content"))
+    done = flows.encode_audio(sounds, "levels", 0.1)
+    counts = flows.write_encoded(tar.token_records(done, also=("status", "error", F.col("audio_filepath").alias("source"))), home)
+    told = spark.createDataFrame([(s, counts[s]) for s in tables.STATUSES if counts[s]], "status string, n bigint")
+    good = tar.read_tokens(spark, home).select(F.lit("ok").alias("status"), F.lit(None).cast("bigint").alias("source"))
+    left = good.union(tar.read_errors(spark, home).select("status", F.col("source").cast("bigint"))).groupBy("status").agg(F.count("*").alias("n_found"), F.sum("source").alias("sources"))
+    return told.join(left, "status")

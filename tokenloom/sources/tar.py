@@ -34,7 +34,7 @@ SCHEMA = "key string, tokens array<smallint>, meta string, shard string, place i
 #: Of a stream: also the lane, the number of the draw in its lane, whether the record ends a lane, and what is wrong with a shard.
 STREAMED = f"{SCHEMA}, lane int, draw bigint, ends boolean, error string"
 MAX_RECORDS, MAX_BYTES = 10_000, 1 << 30
-ERRORS = "key string, status string, error string"
+ERRORS = "key string, status string, error string, source string"
 _ARROW = pa.schema([("key", pa.string()), ("tokens", pa.list_(pa.int16())), ("meta", pa.string()), ("shard", pa.string()), ("place", pa.int32())])
 _BAD = (tarfile.TarError, EOFError, OSError, ValueError)
 
@@ -165,7 +165,7 @@ class _Rolled:
                     errors.append(f"{own}-errors.part")
                     bad = store.writer(errors[-1])
                 status = r.get("status") if failed and r.get("status") not in (None, "ok") else "error_store"
-                bad.write((json.dumps({"key": r["key"], "status": status, "error": wrong}) + "\n").encode())
+                bad.write((json.dumps({"key": r["key"], "status": status, "error": wrong, "source": r.get("source")}) + "\n").encode())
                 continue
             if tar is None or n >= self.most or size >= self.bytes:
                 close()
@@ -408,7 +408,7 @@ def write_tokens(df: DataFrame, folder: str, mode: str = "overwrite", **options)
 
 
 def read_errors(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, status, error) of the rows that writes with ``quarantine`` could not store."""
+    """(key, status, error, source) of the rows that writes with ``quarantine`` could not store."""
     found = spark.read.schema(ERRORS).option("pathGlobFilter", "*.errors.jsonl")
     return found.json(folder)
 
