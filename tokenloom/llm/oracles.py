@@ -46,10 +46,11 @@ def _secrets() -> str:
         matches("hex", 2, "[0-9a-f]+", "length(m) >= 24", True),
     ]
     for k, c in enumerate(secrets.CLASSES, 3):
-        tests = [f"regexp_matches(m, {_quoted(n)})" for n in c.needs] + [f"NOT regexp_matches(m, {_quoted(a)})" for a in secrets.ALLOWED]
-        w = f"list_max(list_transform(range(1, length(m) - {c.window} + 2), lambda i: list_aggregate(string_split(substr(m, i, {c.window}), ''), 'entropy')))"
+        tests = [f"length(x) >= {c.window}", *(f"regexp_matches(x, {_quoted(n)})" for n in c.needs)]
+        w = f"list_max(list_transform(range(1, length(x) - {c.window} + 2), lambda i: list_aggregate(string_split(substr(x, i, {c.window}), ''), 'entropy')))"
         tests.append(f"round({w}, 9) >= {c.bits}")
-        parts.append(matches(c.name, k, c.pattern, " AND ".join(tests), False))
+        pieces = f"string_split_regex(m, {_quoted('|'.join(secrets.ALLOWED))})"
+        parts.append(matches(c.name, k, c.pattern, f"len(list_filter({pieces}, lambda x: {' AND '.join(tests)})) > 0", False))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 s AS ({' UNION ALL '.join(parts)}),

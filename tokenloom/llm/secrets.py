@@ -1,8 +1,10 @@
 """Secret scans in native expressions: base patterns, and sliding-window entropy over candidate strings.
 
-A candidate is a maximal run of a character class. A window slides over it; the entropy of the window follows from the
-counts of its characters, of which each step changes two. A candidate whose best window reaches its class's threshold,
-and that no allow-list pattern suppresses, adds a span, unless it overlaps a base span. Base spans always stay.
+A candidate is a maximal run of a character class. What the allow list matches is cut out of it, so that a window never
+touches an allowed word, and an allowed word beside a key suppresses nothing but itself. A window slides over each piece that
+is left; the entropy of the window follows from the counts of its characters, of which each step changes two. A candidate of
+which a piece has the kinds of characters asked for and a window that reaches its class's threshold adds a span, the whole
+run, unless it overlaps a base span. Base spans always stay.
 
 Entropies are sums of k * log2(k) in whole numbers, so that a window at the threshold is at it in any order of steps. An
 array can't change in place, so a step of the window writes one count for each character of the class: a constant.
@@ -33,7 +35,7 @@ HEX = "[0-9a-f]{24,}"
 class CharacterClass:
     """Runs of ``pattern`` are candidates; their windows of ``window`` characters need ``bits`` of entropy.
 
-    ``needs`` are patterns that a candidate must have all of: natural words do not mix cases and digits.
+    ``needs`` are patterns that a piece of a candidate must have all of: natural words do not mix cases and digits.
     """
 
     name: str
@@ -47,9 +49,11 @@ class CharacterClass:
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 CLASSES = (
     CharacterClass("entropy_hex", _DIGITS + "ABCDEFabcdef", "[0-9A-Fa-f]{24,}", 24, 3.0, ("[0-9]", "[A-Fa-f]")),
-    CharacterClass("entropy_base64", _UPPER + _LOWER + _DIGITS + "+/_-", "[A-Za-z0-9+/_-]{28,}", 28, 4.0, ("[0-9]", "[A-Z]", "[a-z]")),
+    CharacterClass("entropy_base64", _UPPER + _LOWER + _DIGITS + "+/_-", "[A-Za-z0-9+/_-]{20,}", 20, 3.75, ("[0-9]", "[A-Z]", "[a-z]")),
+    CharacterClass("entropy_lower", _LOWER + _DIGITS, "[a-z0-9]{24,}", 24, 3.7, ("[0-9][a-z]+[0-9]", "[a-z]")),
+    CharacterClass("entropy_upper", _UPPER + _DIGITS, "[A-Z0-9]{24,}", 24, 3.7, ("[0-9][A-Z]+[0-9]", "[A-Z]")),
 )
-#: Candidates that hold one of these are no secrets.
+#: What holds one of these is no secret.
 ALLOWED = (
     "(?:EXAMPLE|example|placeholder|PLACEHOLDER)",
     "(?:0123456789|123456789|abcdefghij|ABCDEFGHIJ)",
@@ -150,12 +154,14 @@ def reaches(candidate: Column, c: CharacterClass) -> Column:
 
 
 def _candidate(m: Column, c: CharacterClass, allowed: tuple[str, ...]) -> Column:
-    ok = F.lit(True)
-    for need in c.needs:
-        ok = ok & m.rlike(need)
-    for a in allowed:
-        ok = ok & ~m.rlike(a)
-    return F.when(ok, reaches(m, c)).otherwise(False)
+    def piece(x: Column) -> Column:
+        ok = F.char_length(x) >= c.window
+        for need in c.needs:
+            ok = ok & x.rlike(need)
+        return F.when(ok, reaches(x, c)).otherwise(False)
+
+    pieces = F.split(m, "|".join(allowed), -1) if allowed else F.array(m)
+    return F.exists(pieces, piece)
 
 
 def _accepts(c: CharacterClass, allowed: tuple[str, ...]) -> Callable[[Column], Column]:
