@@ -1,0 +1,234 @@
+"""Any store, listings, caches, resampling, keyed centroids, and hot keys of positions and early stopping."""
+
+import io
+import math
+import os
+import time
+import tracemalloc
+import wave
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tokenloom.operators import evaluate, grid, positions, quantize
+from tokenloom.plans import flows
+from tokenloom.sources import files, tar
+from tokenloom.streaming import pack
+
+from . import memory_store
+
+BUCKET = "tests.memory_store:make"
+
+
+def wav(x, rate=8000, width=2, channels=1):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(width)
+        w.setframerate(rate)
+        w.writeframes((np.asarray(x) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+@pytest.fixture
+def bucket(tmp_path, monkeypatch):
+    os.makedirs(f"{tmp_path}/bucket")
+    monkeypatch.setenv(memory_store.HOME, f"{tmp_path}/bucket")
+    return f"{tmp_path}/bucket"
+
+
+def with_store(spark, bucket):
+    """Workers get the stand-in's place with the rows they read, since they are not started anew for a test."""
+    spark.sparkContext.environment[memory_store.HOME] = bucket
+
+
+def test_shards_of_a_bucket(spark, bucket):
+    """Write, append, overwrite, read, errors, broken shards and a stream, on a store without seek or rename."""
+    with_store(spark, bucket)
+    rows = [(f"k{i:03d}", [i, i]) for i in range(30)]
+    df = spark.createDataFrame(rows, "key string, tokens array<smallint>").repartition(3)
+    tar.write_tokens(df, "data/t", store=BUCKET, maxrecords=4)
+    assert sorted((r.key, r.tokens) for r in tar.read_tokens(spark, "data/t", BUCKET).collect()) == rows
+    tar.write_tokens(df.limit(5).coalesce(1), "data/t", "append", store=BUCKET)
+    assert tar.read_tokens(spark, "data/t", BUCKET).count() == 35
+    tar.write_tokens(df.limit(7).coalesce(1), "data/t", store=BUCKET)
+    assert tar.read_tokens(spark, "data/t", BUCKET).count() == 7 and not [f for f in os.listdir(bucket) if f.endswith(".part")]
+    with open(f"{bucket}/data%t%zz.tar", "wb") as f:
+        f.write(b"no tar at all" * 90)
+    assert [r.path for r in tar.broken_shards(spark, "data/t", BUCKET).collect()] == ["data/t/zz.tar"]
+    os.remove(f"{bucket}/data%t%zz.tar")
+    tar.write_tokens(df, "data/t", store=BUCKET, maxrecords=4)
+    blocks = pack.training_blocks(spark, "data/t", 200, 201, 4, replacement="false", epochs=1, buffer=5, shardspertrigger=20, store=BUCKET)
+    q = pack.write_blocks(blocks, "data/o", f"{bucket}-progress", store=BUCKET)
+    q.processAllAvailable()
+    q.stop()
+    got = pack.read_blocks(spark, "data/o", BUCKET).collect()
+    assert sorted(r.tokens[1] for r in got) == list(range(30)) and sorted(r.block_id for r in got) == list(range(30))
+
+
+def test_audio_of_a_bucket(spark, bucket):
+    with_store(spark, bucket)
+    for k in range(6):
+        with open(f"{bucket}/sound%{'abc'[k % 3]}%f{k}.wav", "wb") as f:
+            f.write(wav(np.sin(np.arange(4000) / (k + 3))))
+    manifest = files.scan_directory(spark, "sound", store=BUCKET)
+    assert [r.audio_filepath for r in manifest.collect()] == [f"sound/{d}/f{k}.wav" for d, k in (("a", 0), ("a", 3), ("b", 1), ("b", 4), ("c", 2), ("c", 5))]
+    got = flows.encode_manifest(spark, manifest, "sound", "levels", "enc", 0.1, store=BUCKET)
+    assert [tuple(r) for r in got.collect()] == [("ok", 6)] and tar.read_tokens(spark, "enc", BUCKET).count() == 6
+
+
+def test_flat_folder_is_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LISTED", 100)
+    for folder, n in (("a", 1000), ("a/sub", 3), ("a/sub/deep", 2), ("b", 5)):
+        os.makedirs(f"{tmp_path}/s/{folder}", exist_ok=True)
+        for k in range(n):
+            open(f"{tmp_path}/s/{folder}/{k:05d}.wav", "wb").close()
+    os.symlink(f"{tmp_path}/s", f"{tmp_path}/s/a/sub/round")
+    spark.dataSource.register(files.AudioWalk)
+    found = spark.read.format("audiowalk").load(f"{tmp_path}/s")
+    by = dict(found.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(by.values()) == 1010 and max(by.values()) < 160 and len(by) >= 11
+    assert found.distinct().count() == 1010
+    open(f"{tmp_path}/s/own.wav", "wb").close()
+    assert files.scan_directory(spark, f"{tmp_path}/s").count() == 1010 and files.scan_directory(spark, f"{tmp_path}/s", True).count() == 1011
+    os.makedirs(f"{tmp_path}/e")
+    assert files.scan_directory(spark, f"{tmp_path}/e").count() == 0
+    with pytest.raises(Exception, match="no folder"):
+        files.scan_directory(spark, f"{tmp_path}/none").collect()
+
+
+def test_cache_marks(spark, tmp_path):
+    """A failed write, changed inputs and force each make the table anew; nothing else does."""
+    path, made = f"{tmp_path}/c.csv", []
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    rows = lambda: spark.read.parquet(f"{tmp_path}/in").select(F.col("id").cast("string").alias("group_id"), F.col("id").cast("double").alias("log_prob"))
+
+    def once(**k):
+        return evaluate.scored_once(spark, path, lambda: made.append(1) or rows(), inputs=(spark.read.parquet(f"{tmp_path}/in"),), **k).count()
+
+    def fails():
+        return spark.range(3).select(F.raise_error(F.lit("boom")).cast("string").alias("group_id"))
+
+    with pytest.raises(Exception, match="boom"):
+        evaluate.scored_once(spark, path, fails)
+    assert (once(), len(made)) == (5, 1) and (once(), len(made)) == (5, 1)
+    assert (once(force=True), len(made)) == (5, 2)
+    time.sleep(1.1)
+    spark.range(7).write.mode("overwrite").parquet(f"{tmp_path}/in")
+    assert (once(), len(made)) == (7, 3) and (once(), len(made)) == (7, 3)
+    with pytest.raises(Exception, match="boom"):
+        evaluate.scored_once(spark, path, fails, force=True)
+    assert (once(), len(made)) == (7, 4)
+    evaluate.scored_once(spark, path, lambda: made.append(1) or rows())  # inputs don't matter if none are given
+    assert len(made) == 4
+    os.remove(f"{path}/_SUCCESS")
+    assert (once(), len(made)) == (7, 5)
+
+
+def direct(x, rate, to=files.RATE, zeros=16):
+    """Every output by its own kernel."""
+    at = np.arange(int(np.ceil(len(x) * to / rate))) * (rate / to)
+    cutoff = min(1.0, to / rate)
+    half = int(np.ceil(zeros / cutoff))
+    near = np.floor(at).astype(int)[:, None] + np.arange(-half + 1, half + 1)
+    d = at[:, None] - near
+    kernel = cutoff * np.sinc(cutoff * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / half, -1, 1)))
+    return (np.where((near >= 0) & (near < len(x)), x[np.clip(near, 0, len(x) - 1)], 0) * kernel).sum(1).astype(np.float32)
+
+
+@pytest.mark.parametrize("rate", [8000, 11025, 44100, 48000, 22050, 16001, 15999, 96000])
+def test_polyphase(rate, monkeypatch):
+    rng = np.random.default_rng(rate)
+    for n in (1, 2, 50, 777, 20_000):
+        x, want = rng.standard_normal(n).astype(np.float32), None
+        want = direct(x, rate)
+        for part in (1 << 18, 331, 7):
+            if n / part > 300:
+                continue
+            monkeypatch.setattr(files, "FRAMES", part)
+            got = files.resample(x, rate)
+            assert len(got) == len(want) and np.abs(got - want).max() < 1e-6
+
+
+def test_decode_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.clip(rng.standard_normal(9000) * 0.2, -1, 1)
+    for rate, channels in ((44100, 1), (44100, 2), (16000, 2), (8000, 3)):
+        body = wav(x, rate, channels=channels)
+        plain, own = files.decode_wav(body)
+        for part in (1 << 18, 500):
+            monkeypatch.setattr(files, "FRAMES", part)
+            got, n, r = files.decode_at(body)
+            assert (n, r) == (len(plain), own) and np.abs(got - files.resample(plain, rate)).max() < 1e-6
+    assert files.decode_at(wav([], 8000))[1] == 0
+
+
+def test_long_audio_in_bounded_memory():
+    """Ten minutes at 44.1 kHz: beside the file and the result, a few megabytes."""
+    body = wav(np.zeros(44100 * 600, np.float32), 44100)
+    tracemalloc.start()
+    got, n, _ = files.decode_at(body)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert n == 44100 * 600 and len(got) == files.RATE * 600 and peak < 2 * got.nbytes + len(body) + 30e6
+
+
+def test_keyed_centroids(spark, tmp_path):
+    df = spark.createDataFrame([(m, k, c, [float(c), float(k)]) for m in ("a", "b") for k in (2, 3) for c in range(k)], "model string, k int, cluster int, centroid array<double>")
+    quantize.save_centroids(df, f"{tmp_path}/c")
+    found = quantize.load_centroids(spark, f"{tmp_path}/c", "b", 3)
+    assert sorted(map(tuple, found.collect())) == [(c, [float(c), 3.0]) for c in range(3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(model" in plan and len(found.inputFiles()) >= 1
+    read = found.select(F.input_file_name()).distinct().collect()
+    assert all("model=b/k=3" in r[0] for r in read)
+    with pytest.raises(ValueError, match="no centroids"):
+        quantize.load_centroids(spark, f"{tmp_path}/c", "b", 9)
+
+
+def test_ties_lie_in_many_tasks(spark, monkeypatch):
+    """An order of two values on many rows: the windows that tell its rows apart hold a few rows each."""
+    seen = []
+    real = positions.cut
+    monkeypatch.setattr(positions, "cut", lambda d: seen.append(real(d)) or seen[-1])
+    df = spark.range(4000).select((F.col("id") % 2).alias("o"), F.col("id").alias("x"), (F.col("id") % 3).alias("size"))
+    got = positions.with_running(df, ["o"], F.col("size"), "at").collect()
+    assert max(r["count"] for r in seen[0].groupBy("o", "_mark").count().collect()) <= 2 and max(r._place for r in seen[0].select("_place").distinct().collect()) <= 2
+    spans = sorted((r.at, r.at + r["size"], r.o) for r in got)
+    assert all(a[1] == b[0] or a[1] >= b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] == sum(i % 3 for i in range(4000))
+    assert sorted(r.at for r in got if r.o == 0)[0] == 0 and min(r.at for r in got if r.o == 1) == sum(i % 3 for i in range(0, 4000, 2))
+    place = sorted(r.position for r in positions.with_running(df, ["o"]).collect())
+    assert place == list(range(4000))
+
+
+def plain_stop(rows, patience):
+    out = {}
+    for key in {r[0] for r in rows}:
+        best, stale = None, 0
+        for _, step, loss in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            if best is None or (loss is not None and loss < best):
+                best, stale = loss if loss is not None else best, 0
+            else:
+                stale += 1
+                if stale == patience:
+                    out[key] = (step, best)
+                    break
+    return out
+
+
+def test_early_stop_of_a_long_log(spark, monkeypatch):
+    """One long log lies in many tasks, with the answer of a plain walk."""
+    seen = []
+    real = grid.cut
+    monkeypatch.setattr(grid, "cut", lambda d: seen.append(real(d)) or seen[-1])
+    rng = np.random.default_rng(5)
+    for patience in (1, 3, 25):
+        rows = [("hot", k, float(1000 - k + rng.integers(0, 30 if patience > 3 else 6))) for k in range(3000)]
+        rows += [(f"c{c}", k, float(rng.integers(0, 50))) for c in range(12) for k in range(int(rng.integers(0, 40)))] + [("null", 1, None), ("null", 2, 3.0), ("null", 3, None), ("null", 4, None), ("null", 5, 4.0)]
+        rows = [rows[i] for i in rng.permutation(len(rows))]
+        got = grid.early_stop(spark.createDataFrame(rows, "config string, step int, loss double"), ["config"], patience)
+        assert {r.config: (r.stop_step, r.best_loss) for r in got.collect()} == plain_stop(rows, patience)
+        parts = seen[-1].where("config = 'hot'").groupBy("_part").count().collect()
+        assert len(parts) > 3 and max(r["count"] for r in parts) < 2000
+    assert grid.early_stop(spark.createDataFrame([], "config string, step int, loss double"), ["config"]).count() == 0

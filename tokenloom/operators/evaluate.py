@@ -5,7 +5,9 @@ Values are read by name from CSV with a header; an empty field is null. Empty ta
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +30,68 @@ def write_scored(df: DataFrame, path: str) -> None:
     df.select(*(c for c, t in df.dtypes if t != "binary")).write.mode("overwrite").option("header", True).csv(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def scored_once(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """The scored table at a path: read if it is there, else (or if forced) made and written first."""
-    if force or not _exists(spark, path):
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def fingerprint(*inputs: DataFrame) -> str:
+    """A digest of what tables are read from: the names, sizes and times of their files, and their plans where there are none."""
+    digest = hashlib.sha256()
+    for df in inputs:
+        names = sorted(df.inputFiles())
+        for name in names:
+            p, fs = _path(df.sparkSession, unquote(name))
+            s = fs.getFileStatus(p)
+            digest.update(f"{name}:{s.getLen()}:{s.getModificationTime()}\n".encode())
+        if not names:
+            digest.update(str(df.semanticHash()).encode())
+    return digest.hexdigest()
+
+
+_PRINT = "_fingerprint"
+
+
+def _kept(spark: SparkSession, path: str, wanted: str | None) -> bool:
+    """Whether a table is there, written to its end, and of the wanted inputs. A file by itself is one that was put there."""
+    where, fs = _path(spark, path)
+    if not fs.exists(where):
+        return False
+    if fs.getFileStatus(where).isFile():
+        return wanted is None
+    if not fs.exists(_path(spark, f"{path}/_SUCCESS")[0]):
+        return False
+    stored = _path(spark, f"{path}/{_PRINT}")[0]
+    if wanted is None:
+        return True
+    return fs.exists(stored) and _read_text(spark, stored, fs) == wanted
+
+
+def _read_text(spark: SparkSession, path, fs) -> str:
+    with_utf8 = spark._jvm.java.io.InputStreamReader(fs.open(path), "UTF-8")
+    reader = spark._jvm.java.io.BufferedReader(with_utf8)
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
+def scored_once(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False, inputs: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """The scored table at a path: read if it is there, else (or if forced) made and written first.
+
+    It is there once a write has succeeded, and only for the same inputs, if they are given: what a failed write has left, or
+    a table made from files that have changed since, is made anew. Overwriting takes the marks of the table before away first.
+    """
+    wanted = fingerprint(*inputs) if inputs else None
+    if force or not _kept(spark, path, wanted):
         write_scored(make(), path)
+        if wanted:
+            where, fs = _path(spark, f"{path}/{_PRINT}")
+            out = fs.create(where, True)
+            try:
+                out.write(bytearray(wanted.encode()))
+            finally:
+                out.close()
     return read_scored(spark, path)
 
 

@@ -6,9 +6,14 @@ at a milestone; an empty log gives no rows. Further columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tokenloom.operators.positions import _free
+from tokenloom.session import cut
+
 MILESTONES = (100, 500)
 
 
@@ -105,14 +110,39 @@ def plan_runs(spark: SparkSession, configs: list[str] | None = None, seeds: list
     return spark.createDataFrame([(c, s) for s in seeds for c in configs], "config string, seed int")
 
 
+def with_seeds(configs: DataFrame, seeds: list[int] | None = None) -> DataFrame:
+    """Every row of a table of configurations with every seed of a short list, without a join."""
+    return configs.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds or SEEDS))))
+
+
 def early_stop(log: DataFrame, keys: list[str], patience: int = 3) -> DataFrame:
-    """Per key: the first step that ends ``patience`` evaluations without a new lowest loss, and the best loss so far."""
-    order = Window.partitionBy(*keys).orderBy("step")
-    before = F.min("loss").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    better = log.withColumn("_better", (before.isNull() | (F.col("loss") < before)).cast("int"))
-    run = better.withColumn("_run", F.sum("_better").over(order))
-    stale = run.withColumn("_stale", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("step")) - 1).withColumn("_best", F.min("loss").over(order))
-    return stale.where(F.col("_stale") == patience).groupBy(*keys).agg(F.min("step").alias("stop_step"), F.min_by("_best", "step").alias("best_loss"))
+    """Per key: the first step that ends ``patience`` evaluations without a new lowest loss, and the best loss so far.
+
+    Steps are dealt by ranges of (keys, step), so a long log of one key lies in many tasks; each finds its own, and a row for
+    each key and range tells what came before: the lowest loss, the number of rows, and where the last improvement was.
+    """
+    part = _free(log, "_part")
+    dealt = cut(log.select(*keys, "step", "loss").repartitionByRange(*keys, "step").withColumn(part, F.spark_partition_id()))
+    here = Window.partitionBy(*keys, part).orderBy("step")
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    first, at = here.rowsBetween(Window.unboundedPreceding, -1), [*keys, part]
+
+    def with_earlier(rows: DataFrame, **found: tuple[Column, Column]) -> DataFrame:
+        """Add, for each name, what a first aggregate of each range and a second one over the ranges before make of it."""
+        ranges = rows.groupBy(*at).agg(*(a.alias(n) for n, (a, _) in found.items()))
+        ranges = ranges.select(*at, *(then.over(earlier).alias(n) for n, (_, then) in found.items()))
+        own = {c: f"_of_{c}" for c in at}
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in own.items()))
+        return rows.join(ranges.withColumnsRenamed(own), same).drop(*own.values())
+
+    rows = with_earlier(dealt, _low=(F.min("loss"), F.min("_low")), _rows=(F.count("*"), F.sum("_rows")))
+    before = F.least(F.min("loss").over(first), F.col("_low"))
+    rows = rows.withColumn("_before", before).withColumn("_at", F.row_number().over(here) + F.coalesce("_rows", F.lit(0)))
+    better = F.when(F.col("_before").isNull() | (F.col("loss") < F.col("_before")), F.col("_at"))
+    rows = with_earlier(rows.withColumn("_better", better), _last=(F.max("_better"), F.max("_last")))
+    last = F.greatest(F.max("_better").over(here), F.col("_last"))
+    stale = rows.withColumn("_stale", F.col("_at") - last).where(F.col("_stale") == patience).withColumn("_best", F.least("_before", "loss"))
+    return stale.groupBy(*keys).agg(F.min("step").alias("stop_step"), F.min_by("_best", "step").alias("best_loss"))
 
 
 def throughput(steps: Column, elapsed: Column, per_device: Column, accumulate: Column, devices: Column, block: int = 2048) -> Column:

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tokenloom.session import cut
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
+def _free(df: DataFrame, name: str, *more: str) -> str:
+    """A column name that ``df`` does not have, and that is none of ``more``."""
+    taken = {c.lower() for c in [*df.columns, *more]}
     while name.lower() in taken:
         name += "_"
     return name
@@ -56,15 +56,17 @@ def with_running(df: DataFrame, order: list[str], size: Column | None = None, na
     """
     if name.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the table has a column {name} already")
-    weight, place = _free(df, "_size"), _free(df, "_place")
+    weight, place, mark = (_free(df, n, name) for n in ("_size", "_place", "_mark"))
     others = [c for c, t in df.dtypes if c not in order and "map<" not in t]
     sized = df.withColumn(weight, (F.lit(1) if size is None else size).cast("long"))
     if set(df.columns) <= set(order):
         return _sums(sized, order, weight, name).select(*df.columns, name)
-    tie = Window.partitionBy(*order).orderBy(F.xxhash64(weight, *others))
-    placed = sized.withColumn(place, F.row_number().over(tie))
-    summed = _sums(placed.select(*order, place, weight), [*order, place], weight, name).drop(weight)
-    return _met(placed, summed, [*order, place], name).select(*df.columns, name)
+    # rows of equal order are told apart by a hash of the others, so that only rows equal in all meet in one task
+    marked = sized.withColumn(mark, F.xxhash64(weight, *others))
+    tie = Window.partitionBy(*order, mark).orderBy(weight)
+    placed = marked.withColumn(place, F.row_number().over(tie))
+    summed = _sums(placed.select(*order, mark, place, weight), [*order, mark, place], weight, name).drop(weight)
+    return _met(placed, summed, [*order, mark, place], name).select(*df.columns, name)
 
 
 def within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Numbers of centroids that one broadcast holds; larger tables are searched in parts of this size, one after the other.
@@ -67,3 +67,16 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, id_col: str, vector: s
         part = [next(rows) for _ in range(min(most, n - at))]
         found = improved(found, [r.cluster for r in part], np.array([r.centroid for r in part], float))
     return found.select(F.col("id").alias(id_col), "cluster")
+
+
+def save_centroids(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Rows (model, k, cluster, centroid) as a table with a folder for each model and number of clusters."""
+    df.select("cluster", "centroid", "model", "k").write.mode(mode).partitionBy("model", "k").parquet(path)
+
+
+def load_centroids(spark: SparkSession, path: str, model: str, k: int) -> DataFrame:
+    """(cluster, centroid) of one model and number of clusters, from its folder alone; a key that isn't there is an error."""
+    found = spark.read.parquet(path).where((F.col("model") == model) & (F.col("k") == k)).select("cluster", "centroid")
+    if not found.head(1):
+        raise ValueError(f"there are no centroids of the model {model} with {k} clusters")
+    return found

@@ -6,10 +6,11 @@ empty table gives no bars.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.names import model_info
+from tokenloom.operators.positions import with_running
 
 
 def compare(results: DataFrame, name: str = "filename", known: tuple[str, ...] = ("lstm", "gpt2")) -> DataFrame:
@@ -21,9 +22,11 @@ def compare(results: DataFrame, name: str = "filename", known: tuple[str, ...] =
 def bar_positions(models: DataFrame) -> DataFrame:
     """Order lstm before gpt2, then encoder and size; x grows by 1, by 1.25 where the next bar changes architecture.
 
-    One row for each model file: a report is small.
+    Places are global positions by ranges of the order. There are two architectures, so x follows from the place and the
+    number of bars of the first: no window spans the table.
     """
-    order = Window.orderBy(F.when(F.col("arch") == "lstm", 0).otherwise(1), "encoder", "size", "filename")
-    step = F.when(F.lead("arch").over(order) != F.col("arch"), 1.25).otherwise(1.0)
-    spaced = models.withColumn("_step", step)
-    return spaced.withColumn("x", F.coalesce(F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("place", F.row_number().over(order)).drop("_step")
+    first = (F.col("arch") != "lstm").cast("int")
+    placed = with_running(models.withColumn("_second", first), ["_second", "encoder", "size", "filename"], name="_place")
+    any_first = bool(models.where(F.col("arch") == "lstm").head(1))
+    gap = F.when((F.col("_second") == 1) & F.lit(any_first), 0.25).otherwise(0.0)
+    return placed.withColumn("x", F.col("_place") + gap).withColumn("place", (F.col("_place") + 1).cast("int")).drop("_place", "_second")

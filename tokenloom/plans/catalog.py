@@ -161,16 +161,25 @@ def two_key_path_sort(spark, sf_dir):
     return positions.with_running(p, ["parent", "name", "page_id"])
 
 
-@query("SELECT c.mode AS config, s.seed::INT AS seed FROM (VALUES ('a'), ('b'), ('c')) c(mode), (VALUES (1), (2)) s(seed)")
+@query("SELECT c.config, s.seed::INT AS seed FROM (SELECT DISTINCT event_type AS config FROM events) c, (VALUES (1), (2)) s(seed)")
 def plan_runs(spark, sf_dir):
-    return grid.plan_runs(spark, ["a", "b", "c"], [1, 2])
+    return grid.with_seeds(table(spark, sf_dir, "events").select(F.col("event_type").alias("config")).distinct(), [1, 2])
 
 
-@query("""SELECT name, n::INT AS n_tokens, n::INT AS bos, (n + 1)::INT AS eos, (n + 2)::INT AS vocab, CASE WHEN n + 2 > 1000 THEN 16 ELSE 32 END::INT AS batch, CASE WHEN n + 2 > 1000 THEN 8 ELSE 4 END::INT AS accumulate
-FROM (VALUES ('spidr_base', 256), ('mhubert', 2000), ('hubert-500', 500)) t(name, n)""")
+#: Which encoder's tokens a document's language stands for; Spanish has one that isn't known.
+_ENCODER_OF = {"en": "spidr_base", "de": "mhubert", "fr": "hubert-500", "es": "none"}
+_ENCODER_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ENCODER_OF.items()) + " END"
+_VOCABULARY_SQL = ", ".join(f"('{n}', {k})" for n, k in encoders.VOCABULARIES.items())
+
+
+@query(f"""SELECT d.name, n_docs, n::INT AS n_tokens, n::INT AS bos, (n + 1)::INT AS eos, (n + 2)::INT AS vocab, CASE WHEN n + 2 > 1000 THEN 16 WHEN n IS NOT NULL THEN 32 END::INT AS batch, CASE WHEN n + 2 > 1000 THEN 8 WHEN n IS NOT NULL THEN 4 END::INT AS accumulate
+FROM (SELECT {_ENCODER_SQL} AS name, count(*) AS n_docs FROM documents GROUP BY 1) d LEFT JOIN (VALUES {_VOCABULARY_SQL}) t(name, n) ON d.name = t.name""")
 def vocabularies(spark, sf_dir):
-    known = encoders.dimension(spark).where(F.col("name").isin("spidr_base", "mhubert", "hubert-500"))
-    return known.withColumn("r", grid.batch_rule(F.col("vocab"))).select("name", "n_tokens", "bos", "eos", "vocab", "r.batch", "r.accumulate")
+    """The registry looked up for the encoder of each document, with the batch that its vocabulary allows."""
+    name = F.coalesce(*(F.when(F.col("lang") == k, v) for k, v in _ENCODER_OF.items())).alias("name")
+    counted = table(spark, sf_dir, "documents").groupBy(name).agg(F.count("*").alias("n_docs"))
+    known = counted.join(encoders.dimension(spark), "name", "left").withColumn("r", F.when(F.col("vocab").isNotNull(), grid.batch_rule(F.col("vocab"))))
+    return known.select("name", "n_docs", "n_tokens", "bos", "eos", "vocab", "r.batch", "r.accumulate")
 
 
 # --- sequences -----------------------------------------------------------------------------------------------------
@@ -322,35 +331,40 @@ def early_stopping_step(spark, sf_dir):
     return _rounded(grid.early_stop(held, ["config", "seed"]))
 
 
-_NAMES = ("base_lstm_h1024_l3_d0.1_feb12", "multi_gpt2_e768_l12_h12_mar01", "units-500_lstm_h256_l2_d0.0", "base_gpt2_lstm_h64", "notes", "a_lstm")
-_VALUES = ", ".join(f"('{n}', {0.5 + i / 100})" for i, n in enumerate(_NAMES))
-_INFO = f"""m AS (SELECT n AS filename, a::DOUBLE AS accuracy, CASE WHEN n LIKE '%lstm%' THEN 'lstm' WHEN n LIKE '%gpt2%' THEN 'gpt2' ELSE 'unknown' END AS arch,
+#: Forms of model names, with the numbers of an order in them; the last two tell no architecture or no size.
+_FORMS = ("base_lstm_h{k}_l3_d0.1_feb12", "multi_gpt2_e{k}_l12_h12_mar01", "units-{k}_lstm_h256_l2_d0.0", "base_gpt2_lstm_h{k}", "notes-{k}", "a{k}_lstm")
+_FORM_SQL = "CASE o_custkey % 6 " + " ".join(f"WHEN {i} THEN '" + f.replace("{k}", "' || o_orderkey || '") + "'" for i, f in enumerate(_FORMS)) + " END"
+_INFO = f"""n AS (SELECT o_orderkey, {_FORM_SQL} AS n, o_totalprice AS a FROM orders),
+m AS (SELECT o_orderkey, n AS filename, a::DOUBLE AS accuracy, CASE WHEN n LIKE '%lstm%' THEN 'lstm' WHEN n LIKE '%gpt2%' THEN 'gpt2' ELSE 'unknown' END AS arch,
   CASE WHEN n LIKE '%lstm%' THEN string_split(n, '_lstm')[1] WHEN n LIKE '%gpt2%' THEN string_split(n, '_gpt2')[1] END AS encoder,
-  CASE WHEN n LIKE '%lstm%' THEN coalesce(try_cast(regexp_extract(n, '_h(\\d+)', 1) AS INT), 0) WHEN n LIKE '%gpt2%' THEN coalesce(try_cast(regexp_extract(n, '_e(\\d+)', 1) AS INT), 0) ELSE 0 END AS size
-  FROM (VALUES {_VALUES}) t(n, a))"""
+  CASE WHEN n LIKE '%lstm%' THEN coalesce(try_cast(regexp_extract(n, '_h(\\d+)', 1) AS INT), 0) WHEN n LIKE '%gpt2%' THEN coalesce(try_cast(regexp_extract(n, '_e(\\d+)', 1) AS INT), 0) ELSE 0 END AS size FROM n)"""
 
 
-def _models(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, 0.5 + i / 100) for i, n in enumerate(_NAMES)], "filename string, accuracy double")
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = F.element_at(F.array(*(F.lit(f) for f in _FORMS)), (F.col("o_custkey") % 6 + 1).cast("int"))
+    name = F.replace(form, F.lit("{k}"), F.col("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("filename"), F.col("o_totalprice").cast("double").alias("accuracy"))
 
 
 @query(f"WITH {_INFO} SELECT filename, arch, encoder, size FROM m")
 def parse_model_names(spark, sf_dir):
-    return _models(spark).select("filename", *(c.alias(k) for k, c in names.model_info(F.col("filename")).items()))
+    return _models(spark, sf_dir).select("filename", *(c.alias(k) for k, c in names.model_info(F.col("filename")).items()))
 
 
-@query(f"""WITH {_INFO}, k AS (SELECT *, row_number() OVER o AS place, lead(arch) OVER o AS nxt FROM m WHERE arch <> 'unknown' WINDOW o AS (ORDER BY (arch <> 'lstm')::INT, encoder, size, filename))
+@query(f"""WITH {_INFO}, g AS (SELECT encoder, arch, size, round(avg(accuracy), 6) AS accuracy, min(filename) AS filename FROM m WHERE arch <> 'unknown' AND encoder NOT LIKE 'a%' AND encoder NOT LIKE 'units%' GROUP BY ALL),
+k AS (SELECT *, row_number() OVER o AS place, lead(arch) OVER o AS nxt FROM g WINDOW o AS (ORDER BY (arch <> 'lstm')::INT, encoder, size, filename))
 SELECT encoder, arch, size, accuracy, filename, coalesce(sum(CASE WHEN nxt <> arch THEN 1.25 ELSE 1.0 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS x, place::INT AS place FROM k""")
 def bar_positions(spark, sf_dir):
-    return report.bar_positions(report.compare(_models(spark)))
-
-
-_PATHS = [("r1", "w/checkpoint-900"), ("r1", "w/checkpoint-1000"), ("r1", "w/final"), ("r2", "w/checkpoint-20"), ("r3", "w/none")]
+    """A bar for each model that orders name; places come from a range of the order, a running count and one of the changes."""
+    models = report.compare(_models(spark, sf_dir).select("filename", "accuracy")).where("encoder NOT LIKE 'a%' AND encoder NOT LIKE 'units%'")
+    one = models.groupBy("encoder", "arch", "size").agg(F.round(F.avg("accuracy"), 6).alias("accuracy"), F.min("filename").alias("filename"))
+    return report.bar_positions(one)
 
 
-@query(rf"""SELECT run, arg_max(path, try_cast(regexp_extract(path, '-(\d+)$', 1) AS BIGINT)) AS path FROM (VALUES {', '.join(map(str, _PATHS))}) t(run, path) GROUP BY run""")
+@query(r"""SELECT user_id AS run, arg_max(path, step) AS path FROM (SELECT user_id, CASE WHEN event_type = 'view' THEN 'w/final' ELSE 'w/checkpoint-' || event_id END AS path, CASE WHEN event_type <> 'view' THEN event_id END AS step FROM events) GROUP BY user_id""")
 def latest_checkpoint(spark, sf_dir):
-    p = spark.createDataFrame(_PATHS, "run string, path string")
+    path = F.when(F.col("event_type") == "view", "w/final").otherwise(F.concat(F.lit("w/checkpoint-"), F.col("event_id").cast("string")))
+    p = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), path.alias("path"))
     return p.groupBy("run").agg(F.max_by("path", names.trailing_number(F.col("path"))).alias("path"))
 
 

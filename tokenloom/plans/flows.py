@@ -37,15 +37,15 @@ def _encoding(encoder: str, min_seconds: float, body: Callable[[object], bytes],
 
         def one(value) -> tuple:
             try:
-                x, rate = files.decode_wav(bytes(body(value)))
+                x, n, rate = files.decode_at(bytes(body(value)))
             except Exception as e:  # a bad file is counted, not fatal
                 return None, None, None, str(e)[:100] or type(e).__name__, None
-            if not len(x) or len(x) / rate < min_seconds:
-                return None, len(x), rate, None, None
+            if not n or n / rate < min_seconds:
+                return None, n, rate, None, None
             try:
-                return np.asarray(model(files.resample(x, rate), files.RATE)).astype(np.int16).tolist(), len(x), rate, None, None
+                return np.asarray(model(x, files.RATE)).astype(np.int16).tolist(), n, rate, None, None
             except Exception as e:
-                return None, len(x), rate, None, str(e)[:100] or type(e).__name__
+                return None, n, rate, None, str(e)[:100] or type(e).__name__
 
         for values in batches:
             out = pd.DataFrame([one(v) for v in values], columns=[c.split()[0] for c in _ENCODED.split(", ")])

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import names
-from tokenloom.operators import evaluate, metrics, tables
+from tokenloom.operators import evaluate, metrics, quantize, tables
 from tokenloom.plans import flows
 from tokenloom.plans.catalog import _ACCURACY, _SEQ, _SHOWN, _rounded, _shown, event_sequences, query, scored_events
 from tokenloom.session import checkpoint_dir, table
@@ -147,3 +147,14 @@ def encoded_counts(spark, sf_dir):
     good = tar.read_tokens(spark, home).select(F.lit("ok").alias("status"), F.lit(None).cast("bigint").alias("source"))
     left = good.union(tar.read_errors(spark, home).select("status", F.col("source").cast("bigint"))).groupBy("status").agg(F.count("*").alias("n_found"), F.sum("source").alias("sources"))
     return told.join(left, "status")
+
+
+@query("""WITH c AS (SELECT label % 5 AS label, list(m ORDER BY i) AS c FROM (SELECT label % 5 AS label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label % 5, i) GROUP BY label % 5)
+SELECT vec_id, arg_min(c.label, list_sum(list_transform(range(1, len(c) + 1), lambda k: (c[k] - embedding[k]::DOUBLE) ** 2))) AS cluster FROM embeddings, c GROUP BY vec_id""")
+def stored_centroids(spark, sf_dir):
+    """Centroids of two models in one store, of which the look-up reads the folder of its key."""
+    home, e = f"{_folder(spark)}/centroids", table(spark, sf_dir, "embeddings")
+    for k, label in ((10, F.col("label")), (5, F.col("label") % 5)):
+        means = quantize.group_means(e.withColumn("label", label), "label", "embedding")
+        quantize.save_centroids(means.withColumn("model", F.lit("units")).withColumn("k", F.lit(k)), home, "append")
+    return quantize.nearest_centroid(e, quantize.load_centroids(spark, home, "units", 5), "vec_id", "embedding")

@@ -7,48 +7,77 @@ without audio gives no rows. Columns of the input stay beside those of the decod
 from __future__ import annotations
 
 import io
+import math
 import os
 import wave
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tokenloom.functions.names import AUDIO_SUFFIXES, file_name, is_audio, parent, stem
+from tokenloom.sources.store import Store
 
 RATE = 16_000
 
 
-class _Top(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Files of one folder that a task lists by itself, and tasks that one folder is split into at most.
+LISTED, MOST_SLICES = 1000, 256
+
+
+class _Part(InputPartition):
+    """All below a folder, or every ``slices``-th of its own files by a hash of the name."""
+
+    def __init__(self, path: str, slices: int = 0, own: int = 0):
+        self.path, self.slices, self.own = path, slices, own
 
 
 class _Walker(DataSourceReader):
-    def __init__(self, root: str, with_root: bool):
-        self.root, self.with_root = root, with_root
+    def __init__(self, root: str, with_root: bool, factory: str):
+        self.root, self.with_root, self.factory = root, with_root, factory
 
     def partitions(self) -> list[InputPartition]:
-        """One for each folder in the root; the root itself if there are none, or if its own files are wanted too."""
-        tops = sorted(e.path for e in os.scandir(self.root) if e.is_dir())
-        return [_Top(p) for p in tops] + ([_Top("")] if self.with_root and tops else []) or [_Top(self.root)]
-
-    def read(self, partition: _Top) -> Iterator[tuple[str]]:
-        if not partition.path:
-            names = [(self.root, sorted(e.name for e in os.scandir(self.root) if e.is_file()))]
-        else:
-            names = ((d, files) for d, _, files in os.walk(partition.path, onerror=lambda e: None))
-        for folder, files in names:
-            for name in files:
-                if os.path.splitext(name)[1].lower() in AUDIO_SUFFIXES:
-                    yield (os.path.realpath(os.path.join(folder, name)),)
+        """For each folder in the root (or the root, without one), its own files in slices and each folder in it."""
+        store = Store(self.root, self.factory)
+        if not list(store.entries()) and store.fs.get_file_info(store.root).type != fs.FileType.Directory:
+            raise ValueError(f"there is no folder {self.root}")
+
+        def split(path: str) -> tuple[list[InputPartition], list[str]]:
+            entries = list(store.entries(path))
+            files = sum(is_file for _, is_file in entries)
+            slices = min(MOST_SLICES, -(-files // LISTED))
+            below = [f"{path.rstrip('/')}/{n}" for n, is_file in entries if not is_file]
+            return [_Part(path, slices, k) for k in range(slices)], below if path == store.root else [b for b in below if not os.path.islink(b)]
+
+        own, tops = split(store.root)
+        out = own if self.with_root or not tops else []
+        for top in sorted(tops):
+            files, below = split(top)
+            out += files + [_Part(b) for b in sorted(below)]
+        return out or [_Part(store.root, 1, 0)]
+
+    def read(self, partition: _Part) -> Iterator[tuple[str]]:
+        store, todo = Store(self.root, self.factory), [partition.path]
+        local = isinstance(store.fs, fs.LocalFileSystem)
+        while todo:
+            folder = todo.pop()
+            for name, is_file in sorted(store.entries(folder)):
+                whole = f"{folder.rstrip('/')}/{name}"
+                if not is_file:
+                    todo += [] if partition.slices or (local and os.path.islink(whole)) else [whole]
+                elif os.path.splitext(name)[1].lower() in AUDIO_SUFFIXES and (not partition.slices or zlib.crc32(name.encode()) % partition.slices == partition.own):
+                    yield (os.path.realpath(whole) if local else whole,)
 
 
 class AudioWalk(DataSource):
-    """``format("audiowalk")``: paths of audio files, hidden ones included; option withroot takes the root's own files too."""
+    """``format("audiowalk")``: paths of audio files, hidden ones included; option withroot takes the root's own files too, and
+    store names a factory of the store.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -58,13 +87,13 @@ class AudioWalk(DataSource):
         return "path string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Walker(self.options["path"], self.options.get("withroot", "false").lower() == "true")
+        return _Walker(self.options["path"], self.options.get("withroot", "false").lower() == "true", self.options.get("store", ""))
 
 
-def scan_directory(spark: SparkSession, root: str, with_root: bool = False) -> DataFrame:
-    """file_id, audio_filepath of the audio files below a folder on a shared file system, by folder, then name."""
+def scan_directory(spark: SparkSession, root: str, with_root: bool = False, store: str = "") -> DataFrame:
+    """file_id, audio_filepath of the audio files below a folder of a shared store, by folder, then name."""
     spark.dataSource.register(AudioWalk)
-    found = spark.read.format("audiowalk").option("withroot", str(with_root)).load(root)
+    found = spark.read.format("audiowalk").option("withroot", str(with_root)).option("store", store).load(root)
     return manifest_of(found)
 
 
@@ -79,34 +108,101 @@ def manifest_of(paths: DataFrame) -> DataFrame:
     return paths.orderBy(parent(path), file_name(path)).select(stem(path).alias("file_id"), path.alias("audio_filepath"))
 
 
+def _samples(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """The first channel of PCM data, in -1..1."""
+    if width == 1:
+        return (np.frombuffer(raw, np.uint8)[::channels].astype(np.float32) - 128) / 128
+    if width == 3:  # 24 bits: the three bytes become the upper ones of 32
+        own = np.frombuffer(raw, np.uint8).reshape(-1, 3)[::channels]
+        wide = np.zeros((len(own), 4), np.uint8)
+        wide[:, 1:] = own
+        return wide.view("<i4").ravel().astype(np.float32) / float(1 << 31)
+    if width in (2, 4):
+        return np.frombuffer(raw, np.int16 if width == 2 else np.int32)[::channels].astype(np.float32) / float(1 << (8 * width - 1))
+    raise ValueError(f"samples of {width} bytes are not served")
+
+
 def decode_wav(body: bytes) -> tuple[np.ndarray, int]:
     """(samples of the first channel in -1..1, rate) of PCM data."""
     with wave.open(io.BytesIO(body)) as w:
-        width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:  # 24 bits: the three bytes become the upper ones of 32
-        wide = np.zeros((len(raw) // 3, 4), np.uint8)
-        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-        x = wide.view("<i4").ravel().astype(np.float32) / float(1 << 31)
-    elif width in (2, 4):
-        x = np.frombuffer(raw, np.int16 if width == 2 else np.int32).astype(np.float32) / float(1 << (8 * width - 1))
-    else:
-        raise ValueError(f"samples of {width} bytes are not served")
-    return x.reshape(-1, channels)[:, 0], rate
+        raw = w.readframes(w.getnframes())
+        return _samples(raw[: len(raw) // (w.getsampwidth() * w.getnchannels()) * w.getsampwidth() * w.getnchannels()], w.getsampwidth(), w.getnchannels()), w.getframerate()
+
+
+class Polyphase:
+    """Windowed-sinc resampling by a bank of filters, one for each place of an output between two inputs.
+
+    Outputs repeat their places after ``up`` of them and ``down`` inputs, so the bank is made once for two rates. Inputs come
+    in parts of any size; what is held is a part, the inputs that later outputs still reach, and the outputs of a part.
+    """
+
+    def __init__(self, rate: int, to: int, zeros: int = 16):
+        g = math.gcd(rate, to)
+        self.rate, self.to, self.up, self.down = rate, to, to // g, rate // g
+        cutoff = min(1.0, to / rate)
+        self.half = math.ceil(zeros / cutoff)
+        places = (np.arange(self.up) * self.down % self.up) / self.up
+        d = places[:, None] - np.arange(-self.half + 1, self.half + 1)
+        self.bank = cutoff * np.sinc(cutoff * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / self.half, -1, 1)))
+
+    def _made(self, held: np.ndarray, first: int, begin: int, end: int) -> np.ndarray:
+        """Outputs begin..end from the inputs ``held``, of which the first is input ``first``; begin is a multiple of ``up``."""
+        out, taps, at = np.empty(end - begin, np.float32), 2 * self.half, begin // self.up * self.down - self.half + 1 - first
+        for p in range(min(self.up, end - begin)):
+            n = len(range(p, end - begin, self.up))
+            part = held[at + p * self.down // self.up :]
+            rows = np.lib.stride_tricks.as_strided(part, (n, taps), (self.down * part.itemsize, part.itemsize), writeable=False)
+            out[p :: self.up] = rows @ self.bank[p]
+        return out
+
+    def run(self, parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+        held, first, begin, seen = np.zeros(self.half), -self.half, 0, 0
+        for x in parts:
+            held, seen = np.concatenate([held, x]), seen + len(x)
+            end = max(0, (seen - self.half) * self.up // self.down) // self.up * self.up
+            if end > begin:
+                yield self._made(held, first, begin, end)
+                begin, keep = end, end // self.up * self.down - self.half
+                held, first = held[keep - first :].copy(), keep
+        end = -(-seen * self.to // self.rate)
+        if end > begin:
+            yield self._made(np.concatenate([held, np.zeros(2 * self.half + self.down)]), first, begin, end)
+
+
+#: Frames of audio that are decoded and resampled at a time.
+FRAMES = 1 << 18
+_BANKS: dict[tuple[int, int, int], Polyphase] = {}
+
+
+def _bank(rate: int, to: int, zeros: int) -> Polyphase:
+    if (rate, to, zeros) not in _BANKS:
+        if len(_BANKS) >= 16:
+            _BANKS.clear()
+        _BANKS[rate, to, zeros] = Polyphase(rate, to, zeros)
+    return _BANKS[rate, to, zeros]
 
 
 def resample(x: np.ndarray, rate: int, to: int = RATE, zeros: int = 16) -> np.ndarray:
     """Windowed-sinc resampling; the input itself at an equal rate."""
     if rate == to or not len(x):
         return x
-    at = np.arange(int(np.ceil(len(x) * to / rate))) * (rate / to)
-    cutoff = min(1.0, to / rate)
-    half = int(np.ceil(zeros / cutoff))
-    near = np.floor(at).astype(int)[:, None] + np.arange(-half + 1, half + 1)
-    d = at[:, None] - near
-    kernel = cutoff * np.sinc(cutoff * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / half, -1, 1)))
-    return (np.where((near >= 0) & (near < len(x)), x[np.clip(near, 0, len(x) - 1)], 0) * kernel).sum(1).astype(np.float32)
+    return np.concatenate(list(_bank(rate, to, zeros).run(x[at : at + FRAMES] for at in range(0, len(x), FRAMES))))
+
+
+def decode_at(body: bytes, to: int = RATE) -> tuple[np.ndarray, int, int]:
+    """(samples of the first channel at the rate ``to``, samples there were, rate there was), a part of the file at a time."""
+    with wave.open(io.BytesIO(body)) as w:
+        width, channels, rate, n = w.getsampwidth(), w.getnchannels(), w.getframerate(), 0
+
+        def parts() -> Iterator[np.ndarray]:
+            nonlocal n
+            while raw := w.readframes(FRAMES):
+                x = _samples(raw[: len(raw) // (width * channels) * width * channels], width, channels)
+                n += len(x)
+                yield x
+
+        done = parts() if rate == to else _bank(rate, to, 16).run(parts())
+        return np.concatenate([np.empty(0, np.float32), *done]), n, rate
 
 
 def load_audio(df: DataFrame, content: str = "content", to: int = RATE) -> DataFrame:
@@ -118,8 +214,8 @@ def load_audio(df: DataFrame, content: str = "content", to: int = RATE) -> DataF
         rows = []
         for b in bodies:
             try:
-                x, rate = decode_wav(bytes(b))
-                rows.append((resample(x, rate, to).tolist(), to, len(x), rate, None))
+                x, n, rate = decode_at(bytes(b), to)
+                rows.append((x.tolist(), to, n, rate, None))
             except Exception as e:  # a bad file is counted, not fatal
                 rows.append((None, None, None, None, str(e)[:100] or type(e).__name__))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in more.split(", ")]).astype({"rate": "Int32", "n_samples": "Int32", "native_rate": "Int32"})
