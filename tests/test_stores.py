@@ -78,15 +78,14 @@ def test_audio_of_a_bucket(spark, bucket):
     assert [tuple(r) for r in got.collect()] == [("ok", 6)] and tar.read_tokens(spark, "enc", BUCKET).count() == 6
 
 
-def test_flat_folder_is_split(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "LISTED", 100)
+def test_flat_folder_is_split(spark, tmp_path):
     for folder, n in (("a", 1000), ("a/sub", 3), ("a/sub/deep", 2), ("b", 5)):
         os.makedirs(f"{tmp_path}/s/{folder}", exist_ok=True)
         for k in range(n):
             open(f"{tmp_path}/s/{folder}/{k:05d}.wav", "wb").close()
     os.symlink(f"{tmp_path}/s", f"{tmp_path}/s/a/sub/round")
     spark.dataSource.register(files.AudioWalk)
-    found = spark.read.format("audiowalk").load(f"{tmp_path}/s")
+    found = spark.read.format("audiowalk").option("listed", 100).load(f"{tmp_path}/s")
     by = dict(found.groupBy(F.spark_partition_id()).count().collect())
     assert sum(by.values()) == 1010 and max(by.values()) < 160 and len(by) >= 11
     assert found.distinct().count() == 1010

@@ -122,7 +122,8 @@ def early_stop(log: DataFrame, keys: list[str], patience: int = 3) -> DataFrame:
     each key and range tells what came before: the lowest loss, the number of rows, and where the last improvement was.
     """
     part = _free(log, "_part")
-    dealt = cut(log.select(*keys, "step", "loss").repartitionByRange(*keys, "step").withColumn(part, F.spark_partition_id()))
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(log.select(*keys, "step", "loss").repartitionByRange(parts, *keys, "step").withColumn(part, F.spark_partition_id()))
     here = Window.partitionBy(*keys, part).orderBy("step")
     earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     first, at = here.rowsBetween(Window.unboundedPreceding, -1), [*keys, part]

@@ -38,8 +38,8 @@ class _Part(InputPartition):
 
 
 class _Walker(DataSourceReader):
-    def __init__(self, root: str, with_root: bool, factory: str):
-        self.root, self.with_root, self.factory = root, with_root, factory
+    def __init__(self, root: str, with_root: bool, factory: str, listed: int):
+        self.root, self.with_root, self.factory, self.listed = root, with_root, factory, listed
 
     def partitions(self) -> list[InputPartition]:
         """For each folder in the root (or the root, without one), its own files in slices and each folder in it."""
@@ -50,7 +50,7 @@ class _Walker(DataSourceReader):
         def split(path: str) -> tuple[list[InputPartition], list[str]]:
             entries = list(store.entries(path))
             files = sum(is_file for _, is_file in entries)
-            slices = min(MOST_SLICES, -(-files // LISTED))
+            slices = min(MOST_SLICES, -(-files // self.listed))
             below = [f"{path.rstrip('/')}/{n}" for n, is_file in entries if not is_file]
             return [_Part(path, slices, k) for k in range(slices)], below if path == store.root else [b for b in below if not os.path.islink(b)]
 
@@ -76,7 +76,7 @@ class _Walker(DataSourceReader):
 
 class AudioWalk(DataSource):
     """``format("audiowalk")``: paths of audio files, hidden ones included; option withroot takes the root's own files too, and
-    store names a factory of the store.
+    store names a factory of the store, and listed how many files of a folder make a task.
     """
 
     @classmethod
@@ -87,7 +87,7 @@ class AudioWalk(DataSource):
         return "path string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Walker(self.options["path"], self.options.get("withroot", "false").lower() == "true", self.options.get("store", ""))
+        return _Walker(self.options["path"], self.options.get("withroot", "false").lower() == "true", self.options.get("store", ""), int(self.options.get("listed", LISTED)))
 
 
 def scan_directory(spark: SparkSession, root: str, with_root: bool = False, store: str = "") -> DataFrame:
