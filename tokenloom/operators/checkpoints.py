@@ -1,6 +1,8 @@
 """Model folders and checkpoints: which one is meant, what it holds, and how its keys are named elsewhere.
 
-Models are few and their weights are opaque here: a loader for each model type plugs in by ``register``.
+Models are few; a loader for each model type plugs in by ``register``. Null keys and paths stay null or are left out where said;
+repeated keys and paths are kept each; empty tables give no rows, and an empty model has no tied head. Further columns are not
+read.
 """
 
 from __future__ import annotations
@@ -56,6 +58,15 @@ def with_tied_head(keys: DataFrame, key: str = "key") -> DataFrame:
     return own.union(has.where("h = 0 AND e = 1").select(F.lit(head), F.lit(embedding)))
 
 
+def model_tensors(tensors: DataFrame) -> DataFrame:
+    """(key, name, dtype, shape, part, n_bytes, data): the tensors under the keys that a model needs, the tied head from its embedding.
+
+    The keys of a model are few, its data is not: only the keys are looked up.
+    """
+    keys = with_tied_head(tensors.where("part = 0").select("name"), "name").withColumnRenamed("source", "name")
+    return tensors.drop("file").join(F.broadcast(keys), "name").select("key", "name", "dtype", "shape", "part", "n_bytes", "data")
+
+
 def latest_checkpoint(paths: DataFrame, run: str = "run", path: str = "path") -> DataFrame:
     """(run, path): of each run, the checkpoint of the highest number; null where no path ends in one."""
     return paths.groupBy(run).agg(F.max_by(path, trailing_number(F.col(path))).alias(path))

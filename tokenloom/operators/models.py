@@ -1,6 +1,7 @@
 """Sequence models in numpy, for scoring with given weights: an LSTM and a GPT-2, as plug-ins of ``bigrams.score_with``.
 
-Weights are a dict of arrays under the usual names of such checkpoints (torch's for the LSTM). Training is not done here.
+Weights are a dict of arrays under the usual names of such checkpoints (torch's for the LSTM). Training is not done here. A
+sequence of fewer than two tokens scores 0 over none; null sequences are left to the caller, which gives them null scores.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 
 from tokenloom.operators import checkpoints
+from tokenloom.sources import tensors
 
 Weights = dict[str, np.ndarray]
 Scorer = Callable[[list[list[int]]], list[tuple[float, int]]]
@@ -75,12 +77,14 @@ def scorer(logits: Callable[[np.ndarray], np.ndarray]) -> Scorer:
     return score
 
 
-def load_npz(folder: str, kind: str, heads: int = 12) -> Scorer:
-    """The scorer of ``model.npz`` in a folder that all workers see."""
-    with np.load(f"{folder}/model.npz") as f:
-        w = {k: f[k].astype(float) for k in f.files}
+def load_model(folder: str, kind: str, heads: int = 12, store: str = "") -> Scorer:
+    """The scorer of the .safetensors files of a folder that all workers see, or else of its ``model.npz``."""
+    w = {k: v.astype(float) for k, v in tensors.load(folder, store).items()}
+    if not w:
+        with np.load(f"{folder}/model.npz") as f:
+            w = {k: f[k].astype(float) for k in f.files}
     return scorer((lambda t: lstm_logits(w, t)) if kind == "lstm" else (lambda t: gpt2_logits(w, t, heads)))
 
 
-checkpoints.register("lstm", lambda folder, **options: load_npz(folder, "lstm", **options))
-checkpoints.register("gpt2", lambda folder, **options: load_npz(folder, "gpt2", **options))
+checkpoints.register("lstm", lambda folder, **options: load_model(folder, "lstm", **options))
+checkpoints.register("gpt2", lambda folder, **options: load_model(folder, "gpt2", **options))

@@ -2,7 +2,7 @@
 
 A ``factory`` is "module:function", importable on the driver and the executors; it returns a pyarrow FileSystem, and paths
 are then the store's own. Missing folders list nothing; hidden files (a name that begins with a dot) are listed only if asked
-for. No step needs a rename to be atomic or a file to be seekable.
+for. No step needs a rename to be atomic; only files of tensors are read at chosen places.
 """
 
 from __future__ import annotations
@@ -46,6 +46,13 @@ class Store:
     def reader(self, name: str) -> pa.NativeFile:
         return self.fs.open_input_stream(self.at(name), compression=None)
 
+    def random(self, name: str) -> pa.NativeFile:
+        """A file to read at any place."""
+        return self.fs.open_input_file(self.at(name))
+
+    def size(self, name: str) -> int:
+        return self.fs.get_file_info(self.at(name)).size
+
     def read(self, name: str) -> bytes:
         with self.reader(name) as f:
             return f.read()
