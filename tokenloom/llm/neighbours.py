@@ -33,8 +33,9 @@ from tokenloom.llm.common import Steps
 
 DIRECTIONS, LEAF = 8, 256
 BLOCK_ROWS = 8192
-#: Cells of one dimension, and rows of the sample that places their borders. Beyond MOST_CELLS cells grow, in more blocks.
-MOST_CELLS, SAMPLE = 4096, 65_536
+#: Cells follow the rows, one for about BLOCK_ROWS of them, up to MOST_CELLS over all dimensions; beyond that cells grow, in more
+#: blocks, which are all searched. Their borders come from a sample of PER_CELL rows for each, of DIRECTIONS numbers each.
+MOST_CELLS, PER_CELL = 1 << 17, 8
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -70,6 +71,15 @@ def lengths(a: np.ndarray) -> np.ndarray:
     return np.sqrt((a * a).sum(1))
 
 
+def in_order(a: np.ndarray, b: np.ndarray) -> float:
+    """The cosine of two vectors, with sums in the order of the components, as SQL has them."""
+    ab = aa = bb = 0.0
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        ab, aa, bb = ab + x * y, aa + x * x, bb + y * y
+    size = math.sqrt(aa) * math.sqrt(bb)
+    return ab / size if 0 < size < math.inf else float((a / lengths(a[None])[0]) @ (b / lengths(b[None])[0]))
+
+
 class Cells:
     """A kd-tree that cuts the projections of one dimension into cells; without points it is one cell."""
 
@@ -141,9 +151,19 @@ class Block:
             at = at[np.argpartition(self.places[at, axis], len(at) // 2)]
             todo += [at[: len(at) // 2], at[len(at) // 2 :]]
         self.leaves = leaves
+        self.at: dict[int, list[int]] = {}  # the rows of an id, made when a score is wanted
         self.verified = 0  # points compared on the original vectors, by all queries
         self.low, self.high = (np.array([f(self.places[x], 0) for x in leaves]) for f in (np.min, np.max))
 
+    def cosine(self, i: int, query: np.ndarray, near: float) -> float:
+        """The cosine of the query with the id's vector, summed in order; of several vectors the one at ``near``."""
+        if not self.at:
+            self.at = {x: [] for own in self.ids for x in own.tolist()}
+            for row, own in enumerate(self.ids):
+                for x in own.tolist():
+                    self.at[x].append(row)
+        return min((in_order(self.vectors[row], query) for row in self.at[i]), key=lambda c: abs(c - near))
+
     def reached(self, found: np.ndarray, at: np.ndarray, k: int) -> float:
         """The cost by which k + 1 different ids are met among the points at ``at``."""
         if not self.repeats:
@@ -206,7 +226,8 @@ def _searched(k: int, sure: float):
                 elif ids:
                     if block is None:
                         block, vectors = Block(np.array(ids), np.stack(vectors), k), []
-                    found += [(int(i), x, -c) for c, x in block.search(int(i), np.asarray(v, np.float64), k, sure, float(kth))]
+                    q = np.asarray(v, np.float64)
+                    found += [(int(i), x, block.cosine(x, q, -c)) for c, x in block.search(int(i), q, k, sure, float(kth))]
             yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": float})
 
     return run
@@ -249,14 +270,28 @@ def _routed(trees, sure: float):
 
 
 def _trees(rows: DataFrame) -> dict[int, Cells]:
-    """The cells of each dimension that has more than a block of rows, from a bounded sample of all rows."""
-    sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().where(F.col("count") > BLOCK_ROWS).orderBy(F.desc("count")).limit(64).collect()}
-    out = {}
-    for dim, n in sizes.items():
-        few = rows.where(F.col("dim") == dim).select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(SAMPLE)
-        places = few.mapInPandas(lambda fs: (pd.DataFrame({"p": list(_projected(f))}) for f in fs if len(f)), "p array<double>").toPandas()
-        out[dim] = Cells(np.stack(places["p"]), min(MOST_CELLS, -(-n // BLOCK_ROWS)))
-    return out
+    """The cells of each dimension that has more than a block of rows, from a bounded sample of all rows by a hash of them.
+
+    Rows are projected before they come to the driver: PER_CELL * MOST_CELLS short rows at most, but for chance.
+    """
+    large = rows.groupBy("dim").count().where(F.col("count") > BLOCK_ROWS).orderBy(F.desc("count"), "dim")
+    sizes = {r["dim"]: r["count"] for r in large.limit(MOST_CELLS).collect()}
+    wish = {dim: -(-n // BLOCK_ROWS) for dim, n in sizes.items()}
+    part = min(1.0, MOST_CELLS / max(1, sum(wish.values())))
+    cells = {dim: int(w * part) for dim, w in wish.items() if int(w * part) > 1}
+    if not cells:
+        return {}
+    few = [(dim, int((1 << 30) * min(1.0, max(64, PER_CELL * k) / sizes[dim]))) for dim, k in cells.items()]
+    few = F.broadcast(rows.sparkSession.createDataFrame(few, "dim int, share bigint"))  # at most half of MOST_CELLS rows
+    drawn = rows.join(few, "dim").where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30)) < F.col("share")).select("dim", "vec_id", "embedding")
+
+    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for _, own in f.groupby("dim"):
+                yield pd.DataFrame({"dim": own["dim"], "vec_id": own["vec_id"], "p": list(_projected(own))})
+
+    places = drawn.mapInPandas(project, "dim int, vec_id bigint, p array<double>").toPandas()
+    return {int(dim): Cells(np.stack(own.sort_values("vec_id")["p"]), cells[int(dim)]) for dim, own in places.groupby("dim")}
 
 
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sure: float = 0.98) -> DataFrame:
@@ -271,7 +306,8 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     trees = df.sparkSession.sparkContext.broadcast(_trees(rows))
     placed = rows.mapInPandas(_celled(trees), f"dim int, vec_id bigint, embedding {kind}, q boolean, cell bigint")
     placed = steps.keep("placed", placed)
-    # a row for each cell: at most MOST_CELLS of each of 64 dimensions, and one of each other
+    steps.drop("rows")
+    # a row for each cell: MOST_CELLS and one for each dimension at most
     blocks = steps.keep("blocks", placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")))
     held = placed.join(blocks, ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("vec_id", "embedding"), "blocks").alias("block"), F.lit(False).alias("asked"), "vec_id", "embedding", F.lit(0.0).alias("kth"))
 
