@@ -15,14 +15,16 @@ from tokenloom.operators.positions import with_running
 BLOCK = 2048
 
 
-def pack_blocks(df: DataFrame, order: list[str], tokens: str, bos: int, eos: int, size: int = BLOCK) -> DataFrame:
+def pack_blocks(df: DataFrame, order: list[str], tokens: str, bos: int, eos: int, size: int = BLOCK, count: int | None = None) -> DataFrame:
     """(block_id, tokens): sequences wrapped and concatenated in the order, cut at every ``size`` tokens.
 
     Offsets are computed over sequences, not tokens; each sequence is cut into its stretches of blocks, and only stretches,
-    at most one more than its blocks, are grouped.
+    at most one more than its blocks, are grouped. With ``count``, only the first blocks: sequences behind them are left out
+    once their offsets are known.
     """
     wrapped = df.select(*order, wrap(F.col(tokens), bos, eos).alias("_w"))
     at = with_running(wrapped, order, F.size("_w"), "_at").where(F.size("_w") > 0)
+    at = at if count is None else at.where(F.col("_at") < count * size)
     first, last = F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.size("_w") - 1) / size)
     cut = at.withColumn("block_id", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("block_id") * size, F.col("_at"))
@@ -40,7 +42,7 @@ def eval_blocks(df: DataFrame, order: list[str], tokens: str, bos: int, eos: int
         raise ValueError("there are no token sequences to make blocks of")
     rounds = -(-count * size // total)
     turns = df.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.lit(int(rounds)))))
-    return pack_blocks(turns, ["_turn", *order], tokens, bos, eos, size).where(F.col("block_id") < count)
+    return pack_blocks(turns, ["_turn", *order], tokens, bos, eos, size, count).where(F.col("block_id") < count)
 
 
 def shuffled(df: DataFrame, seed: int = 101, with_replacement: bool = False, fraction: float = 1.0) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators.selection import median
 
-#: Score ranges that a large group is split into, so that one group's ranks are found in many tasks.
-RANGES = 64
+#: Score ranges that a large group is split into, so that one group's ranks are found in many tasks, and the different scores that
+#: make a group large.
+RANGES, LARGE = 64, 4096
 
 
 def _clean(df: DataFrame, score: str, positive: str, keys: list[str]) -> DataFrame:
@@ -25,15 +26,18 @@ def group_accuracy(df: DataFrame, score: str, positive: str, keys: list[str], co
     """Per group: n_pos, n_neg, won (pairs), accuracy; ``collapsed`` counts equal positives once and NaN above all numbers.
 
     Equal scores are summed first; ranks come from a running sum inside (group, score range) and the totals of the ranges
-    below. Ranges are the group's own quantiles, so no group meets in one task, however large it is or near its scores are.
+    below. Ranges are the quantiles of a large group's own scores, so no group meets in one task, however large it is or near
+    its scores are; a group of few scores is one range.
     """
     clean = _clean(df, score, positive, keys)
     sums = [F.sum(F.col("_pos").cast("long")).alias("p"), F.sum((~F.col("_pos")).cast("long")).alias("n")]
     tied = clean.groupBy(*keys, "_score").agg(*sums)
     if collapsed:
         tied = tied.withColumn("p", F.least("p", F.lit(1)))
+    numbers = tied.where(~F.isnan("_score")).select(*keys, "_score")
+    large = numbers.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).drop("_n")
     quantiles = F.percentile_approx("_score", [k / RANGES for k in range(1, RANGES)], 2000).alias("_edges")
-    edges = clean.where(~F.isnan("_score")).groupBy(*keys).agg(quantiles)
+    edges = numbers.join(large, keys, "left_semi").groupBy(*keys).agg(quantiles)
     part = F.size(F.filter(F.array_distinct(F.coalesce("_edges", F.array().cast("array<double>"))), lambda e: F.col("_score") > e))
     last = F.lit(RANGES) if collapsed else F.lit(-1)
     ranged = tied.join(edges, keys, "left").withColumn("_range", F.when(F.isnan("_score"), last).otherwise(part)).drop("_edges")
