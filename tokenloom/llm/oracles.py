@@ -29,17 +29,38 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _secrets() -> str:
-    """Spans from split parts and matches; entropies directly from each window, not incrementally."""
-
-    def matches(kind: str, order: int, pattern: str, where: str, base: bool) -> str:
-        p = _quoted(pattern)
-        return f"""
+def _matches(kind: str, order: int, pattern: str, where: str, base: bool) -> str:
+    """The places of the matches of a pattern in the texts t of d, from the parts between them."""
+    p = _quoted(pattern)
+    return f"""
   SELECT rid, {order} AS o, '{kind}' AS kind, {base} AS base, s AS start, s + length(m) AS stop, m FROM (
     SELECT rid, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)::BIGINT)) AS s
     FROM (SELECT rid, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS ps FROM d)
   ) WHERE {where}"""
 
+
+def _pii_base() -> str:
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    doubled = f"list_transform(string_split(reverse({digits}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)"
+    octets = "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0"
+    parts = [
+        _matches("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "TRUE", True),
+        _matches("ip", 1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", octets, True),
+        _matches("card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 16 AND 19 AND list_sum({doubled}) % 10 = 0", True),
+        _matches("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15", True),
+    ]
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone"))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({' UNION ALL '.join(parts)}),
+g AS (SELECT rid, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start) AS b FROM s GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0)::BIGINT AS n_{k}' for k in ('email', 'ip', 'card', 'phone'))}, sha256(coalesce(b, '')) AS base_sha256 FROM d LEFT JOIN g USING (rid)
+"""
+
+
+def _secrets() -> str:
+    """Spans from split parts and matches; entropies directly from each window, not incrementally."""
+    matches = _matches
     parts = [
         matches("assign", 0, secrets.ASSIGN, f"length(regexp_extract(m, {_quoted(secrets.ASSIGN)}, 2)) >= 6", True),
         matches("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20", True),
@@ -158,6 +179,7 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 """
 
 ORACLES = {
+    "pii_base": _pii_base(),
     "op6_neighbours": _NEIGHBOURS,
     "op13_hardneg": _HARD_NEGATIVES,
     "op12_covertree": _NEAR_VECTORS,

@@ -38,6 +38,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op5_pii: the base spans, without those of the transducers."""
+    return op5_pii(spark, sf_dir).drop("spans")
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -72,7 +77,7 @@ def op13_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op5_pii, op6_neighbours, op7_toxicity, op8_minhash, op9_language, op10_quality, op11_audit, op12_covertree, op13_hardneg)}
+    return {f.__name__: f for f in (op1_packing, op2_lm, op3_pieces, op4_secrets, op5_pii, op6_neighbours, op7_toxicity, op8_minhash, op9_language, op10_quality, op11_audit, op12_covertree, op13_hardneg, pii_base)}
 
 
 def oracle_sql() -> dict[str, str]:
