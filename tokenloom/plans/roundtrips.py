@@ -5,17 +5,22 @@ What they write lies in the session's shared folder.
 
 from __future__ import annotations
 
+import io
+import math
+import tarfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.functions import names
-from tokenloom.operators import checkpoints, evaluate, grid, metrics, quantize, tables
+from tokenloom.functions import names, sequences
+from tokenloom.operators import bigrams, checkpoints, evaluate, grid, metrics, quantize, tables
 from tokenloom.plans import flows
 from tokenloom.plans.catalog import _ACCURACY, _SEQ, _SHOWN, _rounded, _shown, event_sequences, query, scored_events
 from tokenloom.session import checkpoint_dir, table
-from tokenloom.sources import tar, tensors
+from tokenloom.sources import files, tar, tensors
+from tokenloom.sources.store import Store
 from tokenloom.streaming import pack
 
 
@@ -172,3 +177,94 @@ def stored_tensors(spark, sf_dir):
     read = checkpoints.model_tensors(tensors.read_tensors(spark, home, maxbytes=100_000))
     whole = read.groupBy("key").agg(F.max("shape").alias("shape"), F.array_sort(F.collect_list(F.struct("part", "data"))).alias("ps"))
     return whole.select("key", grid.parameter_count(F.array("shape")).alias("n_params"), F.md5(F.aggregate("ps", F.lit(b""), lambda a, p: F.concat(a, p["data"]))).alias("digest"))
+
+
+def _files_of(df: DataFrame, home: str) -> int:
+    """Write rows (path, content) as a file each below ``home``, in the tasks that have them; returns how many."""
+
+    def put(frames):
+        for f in frames:
+            for folder, name, content in zip(f["path"].str.rpartition("/")[0], f["path"].str.rpartition("/")[2], f["content"], strict=True):
+                store = Store(f"{home}/{folder}")
+                store.make()
+                store.write(name, bytes(content))
+            yield f[["path"]]
+
+    return df.select("path", "content").mapInPandas(put, "path string").count()
+
+
+_SOUND_NAME = "CASE doc_id % 5 WHEN 1 THEN 'd' || doc_id || '.WAV' WHEN 2 THEN 'd' || doc_id || '.txt' WHEN 3 THEN '.d' || doc_id || '.wav' ELSE 'd.' || doc_id || '.wav' END"
+
+
+@query(f"""WITH s AS (SELECT coalesce(lang, 'none') || CASE WHEN doc_id % 3 = 0 THEN '/more/' ELSE '/' END || {_SOUND_NAME} AS path, {_SOUND_NAME} AS name, coalesce(strlen(text), 0)::BIGINT AS n FROM documents WHERE doc_id % 5 <> 2)
+SELECT path, name[:-5] AS file_id, n AS n_samples, 8000::BIGINT AS native_rate, CASE WHEN n = 0 THEN 'error_empty' WHEN n < 160 THEN 'error_no_tokens' ELSE 'ok' END AS status FROM s""")
+def scanned_sounds(spark, sf_dir):
+    """Texts as audio files in folders, found by a walk and encoded where they are read."""
+    home, i = _folder(spark), F.col("doc_id").cast("string")
+    ending = F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("d"), i, F.lit(".WAV"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("d"), i, F.lit(".txt")))
+    name = ending.when(F.col("doc_id") % 5 == 3, F.concat(F.lit(".d"), i, F.lit(".wav"))).otherwise(F.concat(F.lit("d."), i, F.lit(".wav")))
+    path = F.concat(F.coalesce("lang", F.lit("none")), F.when(F.col("doc_id") % 3 == 0, "/more/").otherwise("/"), name)
+    _files_of(table(spark, sf_dir, "documents").select(path.alias("path"), _sound(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("content")), home)
+    found = files.scan_directory(spark, home)
+    done = flows.encode_paths(found, "audio_filepath", home, "levels", 0.0)
+    return done.select(F.regexp_extract("audio_filepath", "/roundtrip-[0-9a-f]+/(.*)$", 1).alias("path"), "file_id", "n_samples", "native_rate", "status")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 7 = 0")
+def checked_shards(spark, sf_dir):
+    """A tar file for each text, some cut short; those that can't be listed to their end."""
+    home = _folder(spark)
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series, cut: pd.Series) -> pd.Series:
+        def one(text: str | None, short: bool) -> bytes:
+            out, body = io.BytesIO(), f"{text or ''} and more".encode()
+            with tarfile.open(fileobj=out, mode="w") as t:
+                info = tarfile.TarInfo("a.json")
+                info.size = len(body)
+                t.addfile(info, io.BytesIO(body))
+            return out.getvalue()[: 515 if short else None]
+
+        return pd.Series([one(t, c) for t, c in zip(texts, cut, strict=True)])
+
+    docs = table(spark, sf_dir, "documents").select(F.format_string("t/%d.tar", "doc_id").alias("path"), packed("text", F.col("doc_id") % 7 == 0).alias("content"))
+    _files_of(docs, home)
+    return tar.broken_shards(spark, f"{home}/t/*.tar").select(F.regexp_extract("path", r"(\d+)\.tar$", 1).cast("bigint").alias("doc_id"))
+
+
+@query("""WITH s AS (SELECT 2 * (o_custkey % 800) AS n FROM orders UNION ALL SELECT o_orderkey % 1200 FROM orders)
+SELECT CASE WHEN n = 0 THEN 'error_empty' WHEN n < 800 THEN 'skipped_short' ELSE 'ok' END AS status, count(*) AS n FROM s GROUP BY 1 UNION ALL SELECT 'metadata', 2 * count(*) FROM orders UNION ALL SELECT 'stored', count(*) FROM s WHERE n >= 800""")
+def prepared_pairs(spark, sf_dir):
+    """Pairs with embedded audio to shards and metadata, which also has the samples that were skipped."""
+    home, voice = _folder(spark), F.when(F.col("o_orderkey") % 2 == 0, "AM").otherwise("PM").alias("voice")
+    side = lambda text, n: F.struct(_sound(F.repeat(F.lit(text), n.cast("int")).cast("binary")).alias("bytes"))
+    o = table(spark, sf_dir, "orders")
+    words = [F.col(c).alias(f"{p}_{f}") for p, c in (("positive", "o_orderpriority"), ("negative", "o_orderstatus")) for f in ("word", "phones")]
+    o.select(F.col("o_orderkey").alias("id"), voice, side("ab", F.col("o_custkey") % 800).alias("positive"), side("b", F.col("o_orderkey") % 1200).alias("negative"), *words).write.parquet(f"{home}/pairs/p.parquet")
+    told = flows.prepare_pairs(spark, f"{home}/pairs/*.parquet", "levels", f"{home}/shards", f"{home}/meta.csv", 0.1)
+    meta = evaluate.read_scored(spark, f"{home}/meta.csv").agg(F.lit("metadata").alias("status"), F.count("positive").alias("n"))
+    stored = tar.read_tokens(spark, f"{home}/shards").agg(F.lit("stored").alias("status"), F.count_distinct("key").alias("n"))
+    return told.union(meta).union(stored)
+
+
+@query(f"WITH {_SEQ} SELECT user_id, round(-(len(t) + 1) * ln(7), 6) AS log_prob, round(-ln(7), 6) AS log_prob_norm, (len(t) + 1)::BIGINT AS num_tokens FROM q")
+def plugged_scores(spark, sf_dir):
+    """A scorer that plugs in, here one to which all seven tokens are alike, over wrapped sequences."""
+    seqs = event_sequences(spark, sf_dir).select("user_id", sequences.wrap(F.col("tokens"), 5, 6).alias("tokens"))
+    return _rounded(bigrams.score_with(seqs, lambda: lambda ss: [(-(len(s) - 1) * math.log(7), len(s) - 1) for s in ss], "user_id", "tokens"))
+
+
+@query("SELECT 'docs' AS name, 'csv' AS kind, count(*) AS n, count(DISTINCT doc_id) AS n_paths FROM documents UNION ALL SELECT 'pages', 'parquet', count(*), count(DISTINCT url) FROM pages")
+def resolved_manifests(spark, sf_dir):
+    """Manifests under their names in a folder, one of each format; a file that is there wins over its name with a suffix."""
+    home = _folder(spark)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.format_string("d/%d.wav", "doc_id").alias("audio_filepath"))
+    tables.save_manifest(docs, f"{home}/docs.csv")
+    table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file_id"), F.col("url").alias("path")).write.parquet(f"{home}/pages.parquet")
+    out = None
+    for name in ("docs", "pages"):
+        path = tables.resolve_manifest(spark, name, home)
+        loaded = tables.load_manifest(spark, path)
+        one = loaded.agg(F.lit(name).alias("name"), F.lit(path.rpartition(".")[2]).alias("kind"), F.count("*").alias("n"), F.count_distinct("audio_filepath").alias("n_paths"))
+        out = one if out is None else out.union(one)
+    return out
