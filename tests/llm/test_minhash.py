@@ -155,3 +155,34 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(1, 31)} | {k: 100 for k in range(101, 140)}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_prefix_lists_lose_nothing(spark):
+    """Any two alike sets of different components lie in one group of the lists; sets with too much of their own lie in none."""
+    rng = random.Random(8)
+    base = list(range(1000, 1060))
+    for percent in (80, 50, 95):
+        sets = []
+        for _ in range(160):
+            own = [x for x in base if rng.random() < rng.choice([0.7, 0.95, 1.0])]
+            sets.append(sorted({*own, *(rng.randrange(1060, 1300) for _ in range(rng.choice([0, 1, 3, 8, 20])))}) or [1])
+        members = [(0, 1000 + k if k % 5 else 1000, k, len(s)) for k, s in enumerate(sets)]
+        m = spark.createDataFrame(members, "group bigint, component bigint, node bigint, n_shingles bigint")
+        of = spark.createDataFrame(list(enumerate(sets)), "node bigint, shingles array<bigint>")
+        got: dict = {}
+        for r in minhash._listed(m, of, percent, common.Steps(spark, "t")).collect():
+            got.setdefault(r.node, set()).add(r.group)
+        alike = 0
+        for a in range(160):
+            for b in range(a):
+                x, y = set(sets[a]), set(sets[b])
+                if members[a][1] != members[b][1] and 100 * len(x & y) >= percent * len(x | y):
+                    alike += 1
+                    assert got[a] & got[b], (a, b, percent)
+        assert alike > 20 or percent == 95
+    # a template with a seventh of shingles of their own: each shares 6/7 with every other, and none is alike
+    rows = [(0, k, k, 140) for k in range(300)]
+    of = spark.createDataFrame([(k, [*range(120), *range(1000 * (k + 1), 1000 * (k + 1) + 20)]) for k in range(300)], "node bigint, shingles array<bigint>")
+    left = minhash._listed(spark.createDataFrame(rows, m.schema), of, 80, common.Steps(spark, "t"))
+    assert left.count() == 0
+    assert minhash._eligible(spark.createDataFrame(rows, m.schema), of, 80).count() == 300  # by the share of their own alone they would all be compared

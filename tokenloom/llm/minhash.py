@@ -8,11 +8,14 @@ bucket into its pairs:
 1. the smallest node of a bucket is the hub of its other nodes; each node is verified against the hub it shares most
    buckets with, and the links are joined into components;
 2. the nodes that share a bucket with a hub of one component are a group; where a group still holds several components,
-   members leave that have too many shingles which no other member has, and the others are compared exactly across
-   components: dealt in runs of HOLD shingles, two runs in a task, which emits only links that join what is apart.
+   members leave that have too many shingles which no other member has. Of the others, two that are alike share one of the
+   rarest shingles that both have: the larger set among as many as may be missing from the smaller one, the smaller set among
+   even fewer. Lists of these shingles, from one aggregation, tell which members can still be alike; those that hang together
+   over lists are compared exactly across components: dealt in runs of HOLD shingles, two runs in a task, which emits only
+   links that join what is apart.
 Verification is exact, on 64-bit shingle hashes of the whole texts. Banding misses a pair of similarity s with
-probability (1 - s^5)^40: 1.3e-7 at 0.8; nothing else is lost. The second step's comparisons grow with the square of the
-members that are nearly alike and yet not linked; its rows do not.
+probability (1 - s^5)^40: 1.3e-7 at 0.8; nothing else is lost. Members that share most shingles, and have more of their own
+than alike texts may, are on no list together, however many they are.
 
 Defined results: texts without words (null too) have the empty set and are linked with nothing; fewer words than the
 width make one shingle, the whole sequence; rows with a null id are linked with nothing and kept, with a null component;
@@ -184,10 +187,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("of_u") + F.size("of_v") - shared)).select("u", "v")
 
 
-def _split(members: DataFrame) -> DataFrame:
-    """The members of groups that hold several components and are not merely a node and the hub it was tried with."""
+def _split(members: DataFrame, steps: Steps, name: str) -> DataFrame:
+    """The members of groups that hold several components and are not merely a node and the hub it was tried with.
+
+    The groups are a table of their own, so that the join of a hot one is split.
+    """
     spans = members.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.max("tried").alias("tried"))
-    return members.join(spans.where("low < high AND NOT (n = 2 AND tried)").select("group"), "group", "left_semi")
+    spans = steps.keep(name, spans.where("low < high AND NOT (n = 2 AND tried)").select("group"))
+    return members.join(spans, "group", "left_semi")
+
+
+def _listed(members: DataFrame, sets: DataFrame, percent: int, steps: Steps) -> DataFrame:
+    """(group, component, node, n_shingles) of members that can be alike to one of another component, in groups that hang together.
+
+    In the order of shingles in which those of one component alone come first and then the rarest in the group, two sets x
+    and y with |x| <= |y| that are alike share a shingle among the first |x| - ceil(2p|x| / (100 + p)) + 1 of x and among
+    the first |y| - ceil(p|y| / 100) + 1 of y. A list holds the members with one shingle among those; it counts if a member has
+    it among the fewer and it spans components. No pair is formed: members are joined to the smallest of their list.
+    """
+    each = members.join(sets, "node").select("group", "component", "node", "n_shingles", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("group", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    shared = steps.keep("shared", shared.where("low < high").select("group", "shingle", "n"))
+    own = each.join(shared, ["group", "shingle"]).groupBy("group", "node").agg(
+        F.any_value("component").alias("component"), F.any_value("n_shingles").alias("n_shingles"), F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common")
+    )
+    own = own.withColumn("alone", F.col("n_shingles") - F.size("common"))
+    own = own.withColumn("longer", F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1 - alone"))
+    own = own.withColumn("shorter", F.expr(f"n_shingles - (2 * {percent} * n_shingles + {99 + percent}) div {100 + percent} + 1 - alone"))
+    first = F.slice("common", F.lit(1), F.least(F.col("longer").cast("int"), F.size("common")))
+    entries = own.where("longer > 0").select("group", "component", "node", "n_shingles", "shorter", F.posexplode(first).alias("at", "s"))
+    entries = steps.keep("entries", entries.select("group", "component", "node", "n_shingles", F.col("s.shingle").alias("shingle"), (F.col("at") < F.col("shorter")).alias("few")))
+    lists = entries.groupBy("group", "shingle").agg(F.max("few").alias("few"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub"))
+    lists = steps.keep("lists", lists.where("few AND low < high").select("group", "shingle", "hub"))
+    met = entries.join(lists, ["group", "shingle"]).select("component", "node", "n_shingles", "hub").distinct()
+    met = steps.keep("listed", met)
+    whole = components(met.select(F.col("node").alias("u"), F.col("hub").alias("v")), Steps(steps.spark, "minhash-lists"))
+    steps.drop("shared", "entries", "lists")
+    named = met.select("component", "node", "n_shingles").distinct().join(whole.toDF("node", "whole"), "node", "left")
+    return named.select(F.coalesce("whole", "node").alias("group"), "component", "node", "n_shingles")
 
 
 def _eligible(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -304,9 +341,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = placed.select("group", "node", "best").union(placed.select("group", F.col("hub").alias("node"), F.lit(False)))
     members = members.groupBy("group", "node").agg(F.max("best").alias("tried"))
     members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = steps.keep("members", _split(members).join(classes.select("node", "n_shingles"), "node").select("group", "component", "node", "n_shingles", "tried"))
-    left = steps.keep("left", _split(_eligible(members, sets, percent)).select("group", "component", "node", "n_shingles"))
-    steps.drop("known", "pairs", "members")
+    members = steps.keep("members", _split(members, steps, "apart").join(classes.select("node", "n_shingles"), "node").select("group", "component", "node", "n_shingles", "tried"))
+    left = steps.keep("able", _eligible(members, sets, percent))
+    left = _split(left, steps, "still").select("group", "component", "node", "n_shingles")
+    left = steps.keep("left", _listed(left, sets, percent, steps))
+    steps.drop("known", "pairs", "members", "apart", "able", "still", "listed")
     further = steps.keep("further", components(_joined(left, sets, percent, steps), steps).toDF("component", "whole"))
     steps.drop("sets", "left", "runs")
 
