@@ -114,3 +114,22 @@ def test_bins_part_lengths_in_order(spark):
     assert rows[:1025] == list(range(1025)) and rows == sorted(rows) and len(set(rows[1025:])) <= 64 * 7
     for k in range(11, 17):
         assert len(set(rows[1 << k : 2 << k])) <= 64
+
+
+def test_one_id_on_very_many_rows(spark, monkeypatch):
+    """Rows of one id and length, or without an id, get a slot each, and no task makes more than its share of them."""
+    monkeypatch.setattr(packing, "REPEATS", 100)
+    docs = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).cast("long").alias("doc_id"), F.lit("a b c").alias("text")).union(spark.range(100, 400).select("id", F.concat(F.lit("w "), F.repeat(F.lit("x "), (F.col("id") % 5).cast("int")))))
+    got = packing.pack(docs, buckets=3, token_budget=64)
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 5300 and len({(r.bucket, r.batch, r.slot) for r in rows}) == 5300
+    assert sum(r.doc_id == 7 for r in rows) == 3333 and sum(r.doc_id is None for r in rows) == 1667
+    for b in {r.bucket for r in rows}:
+        own = sorted((r.batch, r.slot) for r in rows if r.bucket == b)
+        size = max(1, 64 // next(r.bucket_len for r in rows if r.bucket == b))
+        assert own == [(k // size, k % size) for k in range(len(own))]
+    tasks = {}
+    for r in rows:
+        if r.doc_id == 7:
+            tasks[r.task] = tasks.get(r.task, 0) + 1
+    assert len(tasks) > 3 and max(tasks.values()) < 1700

@@ -22,8 +22,8 @@ from tokenloom.llm.common import WORD, cut
 
 #: Lengths up to this have a bin each; above it, each octave has 64 of equal width.
 EXACT = 1024
-#: Rows that share a chunk, about.
-CHUNK_ROWS = 4096
+#: Rows that share a chunk, about, and rows of one id and length that a task makes at a time.
+CHUNK_ROWS, REPEATS = 4096, 65_536
 
 
 def length_bin(length: Column) -> Column:
@@ -88,11 +88,19 @@ def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, te
     placed = lengths.withColumn("bucket", bucket).withColumn("chunk", F.pmod(drawn.cast("long"), F.lit(chunks)))
     before = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("bucket", "chunk").count().select("bucket", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("doc_id", "n_tokens")) - 1
-    ranked = placed.withColumn("place", place).join(starts, ["bucket", "chunk"])
+    # rows of one id and length are alike: they are counted, and made again from their count, a long count in many tasks
+    keyed = placed.groupBy("bucket", "chunk", "doc_id", "n_tokens").agg(F.count("*").alias("rows"))
+    earlier = Window.partitionBy("bucket", "chunk").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = keyed.withColumn("place", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).join(starts, ["bucket", "chunk"])
+    keyed = cut(keyed.select("doc_id", "n_tokens", "bucket", "rows", (F.col("start") + F.col("place")).alias("first")))
+    few = keyed.where(F.col("rows") <= REPEATS).withColumn("lo", F.lit(0).cast("long"))
+    many = keyed.where(F.col("rows") > REPEATS).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(REPEATS).cast("long"))))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, since there is little of it before it is made again
+    ranked = few.union(many.repartition(parts, "doc_id", "n_tokens", "lo"))
+    ranked = ranked.withColumn("k", F.explode(F.sequence("lo", F.least(F.col("lo") + REPEATS, F.col("rows")) - 1)))
     top = F.element_at(F.array(*(F.lit(e).cast("long") for e in edges)), F.col("bucket") + 1)
     size = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(top, F.lit(1)))).cast("long")
-    at = F.col("start") + F.col("place")
+    at = F.col("first") + F.col("k")
     return ranked.select(
         "doc_id",
         "n_tokens",
