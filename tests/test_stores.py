@@ -231,3 +231,26 @@ def test_early_stop_of_a_long_log(spark, monkeypatch):
         parts = seen[-1].where("config = 'hot'").groupBy("_part").count().collect()
         assert len(parts) > 3 and max(r["count"] for r in parts) < 2000
     assert grid.early_stop(spark.createDataFrame([], "config string, step int, loss double"), ["config"]).count() == 0
+
+
+def test_many_result_files_few_branches(spark, tmp_path):
+    """A hundred result files of two headers are two scans; files without a header or a score are left out."""
+    os.makedirs(f"{tmp_path}/r/base_gpt2_e9.csv")
+    for k in range(100):
+        wide = k % 2
+        with open(f"{tmp_path}/r/m {k}+x%41_lstm_h{k}.csv", "w") as f:
+            f.write("group_id,positive,log_prob_norm" + ",voice" * wide + "\n" + "".join(f"{g},{p},{v}" + ",AM" * wide + "\n" for g, p, v in ((1, "true", k), (1, "false", 50))))
+    for part in range(2):
+        with open(f"{tmp_path}/r/base_gpt2_e9.csv/part-{part}.csv", "w") as f:
+            f.write(f"group_id,positive,log_prob_norm\n1,{'true' if part else 'false'},{part}\n")
+    for name, body in (("a_lstm_h1.csv", ""), ("b_lstm_h1.csv", "group_id,positive\n1,true\n")):
+        with open(f"{tmp_path}/r/{name}", "w") as f:
+            f.write(body)
+    paths = evaluate.result_files(spark, f"{tmp_path}/r")
+    assert len(paths) == 103 and len(evaluate.files_by_header(spark, paths)) == 3
+    found = evaluate.model_results(spark, f"{tmp_path}/r")
+    got = {r.filename: r.accuracy for r in found.collect()}
+    assert got == {f"m {k}+x%41_lstm_h{k}": float(k > 50) for k in range(100)} | {"base_gpt2_e9": 1.0}
+    assert found._jdf.queryExecution().analyzed().toString().count("Relation [") <= 8  # two headers, met four times in the ranks
+    os.makedirs(f"{tmp_path}/none")
+    assert evaluate.model_results(spark, f"{tmp_path}/none").count() == 0

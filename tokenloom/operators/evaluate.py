@@ -9,7 +9,6 @@ import hashlib
 from collections.abc import Callable
 from urllib.parse import unquote
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,26 +101,37 @@ def result_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(where) if s.getPath().getName().endswith(".csv"))
 
 
+def files_by_header(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The CSV files (also those inside folders) of each header line, from one scan; files without a line are left out.
+
+    The driver gets the names of the files, one for each model, and the few headers that they have.
+    """
+    if not paths:
+        return {}
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where("begin = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    out: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        out.setdefault(r["head"], []).append(r["file"])
+    return out
+
+
 def model_results(spark: SparkSession, folder: str, score: str = "log_prob_norm") -> DataFrame:
     """encoder, arch, size, accuracy, filename: one row for each result file of a known architecture.
 
-    Files that can't be read, or lack the score or the flag, are skipped. The plan has one branch for each file: a folder
-    has a file for each model.
+    Files that can't be read, or lack the score or the flag, are skipped. Files of one header are one scan, so the plan has a
+    branch for each of a few headers, however many models there are.
     """
-    parts = []
-    for path in result_files(spark, folder):
-        try:
-            df = read_scored(spark, path)
-            if score not in df.columns or "positive" not in df.columns or group_column(df) not in df.columns:
-                continue
-        except PySparkException:
-            continue
-        parts.append(df.select(F.lit(path).alias("path"), F.col(group_column(df)).alias("group_id"), "positive", F.col(score).try_cast("double").alias("score")))
     schema = "path string, group_id string, positive boolean, score double"
     every = spark.createDataFrame([], schema)
-    for p in parts:
-        every = every.union(p)
-    files = every.select("path").distinct().select("path", stem(F.col("path")).alias("filename"))
-    files = files.select("*", *(c.alias(k) for k, c in model_info(F.col("filename")).items())).where(F.col("arch").isin("lstm", "gpt2"))
+    for files in files_by_header(spark, result_files(spark, folder)).values():
+        df = spark.read.option("header", True).csv([unquote(f) for f in files])
+        if score not in df.columns or "positive" not in df.columns or group_column(df) not in df.columns:
+            continue
+        own = F.col("_metadata.file_path")
+        path = F.when(F.substring_index(own, "/", -2).rlike(r"\.csv/"), F.regexp_replace(own, "/[^/]*$", "")).otherwise(own)
+        every = every.union(df.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("path"), F.col(group_column(df)).alias("group_id"), F.col("positive").try_cast("boolean"), F.col(score).try_cast("double")))
+    known = every.select("path").distinct().select("path", stem(F.col("path")).alias("filename"))
+    known = known.select("*", *(c.alias(k) for k, c in model_info(F.col("filename")).items())).where(F.col("arch").isin("lstm", "gpt2"))
     accuracy = group_accuracy(every, "score", "positive", ["path", "group_id"]).groupBy("path").agg(F.avg("accuracy").alias("accuracy"))
-    return files.join(accuracy, "path", "left").select("encoder", "arch", "size", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), "filename")
+    return known.join(accuracy, "path", "left").select("encoder", "arch", "size", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), "filename")
