@@ -1,4 +1,8 @@
-"""Column functions over arrays: token sequences, frames and waveforms."""
+"""Column functions over arrays: token sequences, frames and waveforms.
+
+A null array gives null, an empty one the empty result (or null where there is no element to take); each row stands for itself, so
+repeated rows and empty tables need no rule. Only the arrays given are read.
+"""
 
 from __future__ import annotations
 
