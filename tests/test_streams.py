@@ -200,3 +200,16 @@ def test_buffer_of_a_stream(spark, tmp_path):
     at = {x: i for i, x in enumerate(come)}
     assert all(k >= at[x] - 50 for k, x in enumerate(out))
     assert spark.table("left").where("ends").count() == 1
+
+
+def test_state_has_no_more_partitions_than_lanes(spark, tmp_path):
+    """A micro-batch pays a task and a state store for each partition, so lanes bound them; the session's own number stays."""
+    shards(spark, f"{tmp_path}/in", 60, 10, length=6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    blocks = pack.training_blocks(spark, f"{tmp_path}/in", 200, 201, 8, lanes=2, seed=4, buffer=5, replacement="false", epochs=1, shardspertrigger=5)
+    q = pack.write_blocks(blocks, f"{tmp_path}/out", f"{tmp_path}/c", 2)
+    q.processAllAvailable()
+    told = [o["numShufflePartitions"] for p in q.recentProgress for o in p["stateOperators"]]
+    q.stop()
+    assert int(before) > 2 and set(told) == {2} and spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert sorted(r.tokens[1] for r in pack.read_blocks(spark, f"{tmp_path}/out").collect()) == list(range(60))

@@ -119,13 +119,18 @@ def stored_record_keys(spark, sf_dir):
 
 @query("""SELECT md5(array_to_string(list_concat([32766], list_transform(range(1, 15), lambda i: (doc_id * i + coalesce(n_chars, 0)) % 32000), [32767]), ',')) AS digest, 16 AS n FROM documents""")
 def streamed_blocks(spark, sf_dir):
-    """The training stream over one epoch, from shards through lanes, buffers and packing into shards: sequences as long as a block, so each is one."""
-    home = _folder(spark)
+    """The training stream over one epoch, from shards through lanes, buffers and packing into shards: sequences as long as a block, so each is one.
+
+    Shards grow with the table, and lanes with it and the cluster, so that there are tens of micro-batches at any size.
+    """
+    home, n = _folder(spark), table(spark, sf_dir, "documents").count()
+    each = max(40, min(1000, n // 64))
+    lanes = max(2, min(spark.sparkContext.defaultParallelism, n // each // 20))
     tokens = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: ((F.col("doc_id") * i + F.coalesce("n_chars", F.lit(0))) % 32000).cast("smallint"))
     docs = table(spark, sf_dir, "documents").select(F.format_string("d%d", "doc_id").alias("key"), tokens.alias("tokens"))
-    tar.write_tokens(docs, f"{home}/in", maxrecords=40)
-    blocks = pack.training_blocks(spark, f"{home}/in", 32766, 32767, 16, lanes=2, buffer=100, replacement="false", epochs=1, shardspertrigger=20)
-    running = pack.write_blocks(blocks, f"{home}/out", f"{home}/progress")
+    tar.write_tokens(docs, f"{home}/in", maxrecords=each)
+    blocks = pack.training_blocks(spark, f"{home}/in", 32766, 32767, 16, lanes=lanes, buffer=100, replacement="false", epochs=1, shardspertrigger=20)
+    running = pack.write_blocks(blocks, f"{home}/out", f"{home}/progress", lanes)
     running.processAllAvailable()
     running.stop()
     return pack.read_blocks(spark, f"{home}/out").select(F.md5(_shown(F.col("tokens")).cast("binary")).alias("digest"), F.size("tokens").alias("n"))

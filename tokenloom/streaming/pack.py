@@ -114,16 +114,23 @@ def training_blocks(spark: SparkSession, folder: str, bos: int, eos: int, size:
     return pack_lanes(shuffle_buffer(seen, buffer, seed), bos, eos, size)
 
 
-def write_blocks(blocks: DataFrame, folder: str, checkpoint: str, **options) -> StreamingQuery:
+def write_blocks(blocks: DataFrame, folder: str, checkpoint: str, lanes: int | None = None, **options) -> StreamingQuery:
     """Start a query that writes blocks into shards, each exactly once over restarts from the checkpoint folder.
 
-    Records are keyed by lane and block. The stream's name in the folder is its checkpoint's path.
+    Records are keyed by lane and block. The stream's name in the folder is its checkpoint's path. With ``lanes``, a stateful step
+    has that many partitions at most: each costs every micro-batch a task with a state store, also without a lane.
     """
-    blocks.sparkSession.dataSource.register(tar.TokenTar)
+    spark, shuffled = blocks.sparkSession, "spark.sql.shuffle.partitions"
+    spark.dataSource.register(tar.TokenTar)
     key = F.format_string("lane%04d-%012d", "lane", "block_id")
     rows = blocks.select(key.alias("key"), F.col("tokens").cast("array<smallint>").alias("tokens"))
     writer = rows.writeStream.format("tokentar").option("path", folder).option("streamname", checkpoint).option("checkpointLocation", checkpoint)
-    return writer.options(**{k: str(v) for k, v in options.items()}).start()
+    before = spark.conf.get(shuffled)
+    spark.conf.set(shuffled, min(int(before), lanes or int(before)))
+    try:  # the query keeps the session's settings as they are at its start
+        return writer.options(**{k: str(v) for k, v in options.items()}).start()
+    finally:
+        spark.conf.set(shuffled, before)
 
 
 def read_blocks(spark: SparkSession, folder: str, store: str = "") -> DataFrame:
