@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.operators import evaluate, grid, positions, quantize
+from tokenloom.operators import evaluate, grid, positions, quantize, tables
 from tokenloom.plans import flows
 from tokenloom.sources import files, tar
 from tokenloom.streaming import pack
@@ -254,3 +254,22 @@ def test_many_result_files_few_branches(spark, tmp_path):
     assert found._jdf.queryExecution().analyzed().toString().count("Relation [") <= 8  # two headers, met four times in the ranks
     os.makedirs(f"{tmp_path}/none")
     assert evaluate.model_results(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_manifest_lines_over_many_parts(spark, tmp_path):
+    """Files that are read in several parts, cut at other lines for CSV and text: lines are numbered without gaps, in order."""
+    df = spark.range(3000).select(F.format_string("p%d", "id").alias("file_id"), F.format_string("/d%04d/x", "id").alias("audio_filepath"))
+    tables.save_manifest(df, f"{tmp_path}/m.csv")
+    tables.save_manifest(df, f"{tmp_path}/m.txt")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for c in before:
+        spark.conf.set(c, "10000")
+    try:
+        loaded, lines = tables.load_manifest(spark, f"{tmp_path}/m.csv"), spark.read.text(f"{tmp_path}/m.txt")
+        assert loaded.rdd.getNumPartitions() > lines.rdd.getNumPartitions() > 1
+        for rows, path in ((tables.numbered(loaded), "audio_filepath"), (tables.numbered(lines), "value")):
+            assert sorted((r.line, r[path]) for r in rows.collect()) == [(k, f"/d{k:04d}/x") for k in range(3000)]
+        assert tables.numbered(loaded.limit(0)).count() == 0
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)

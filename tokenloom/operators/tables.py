@@ -7,6 +7,8 @@ Spark as ambiguous only if read; the key and the value are the only columns take
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -122,6 +124,15 @@ def save_manifest(df: DataFrame, path: str) -> None:
         raise ValueError(f"manifests are saved as .csv or .txt, not {path}")
 
 
+def numbered(df: DataFrame, name: str = "line") -> DataFrame:
+    """Add each row's number from 0 to the rows of one file as it is read, in however many parts: one count a part is collected."""
+    at = F.monotonically_increasing_id()  # the part above 33 bits that count its rows
+    counts = dict(df.groupBy(F.shiftright(at, 33).alias("part")).count().collect())
+    starts = [0, *accumulate(counts.get(k, 0) for k in range(max(counts, default=0)))]
+    first = F.get(F.array(*(F.lit(n).cast("long") for n in starts)), F.shiftright(F.col(name), 33).cast("int"))
+    return df.withColumn(name, at).withColumn(name, first + F.col(name).bitwiseAND((1 << 33) - 1))
+
+
 def progress(statuses: DataFrame, elapsed: float, total: int) -> DataFrame:
     """Counts of a column ``status`` as written, skipped_short and skipped_error, the rate a second, and hours and minutes to go."""
     s, ok = F.col("status"), F.count_if(F.col("status") == "ok")

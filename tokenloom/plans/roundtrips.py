@@ -82,8 +82,8 @@ def saved_manifest(spark, sf_dir):
     tables.save_manifest(tables.load_manifest(spark, f"{home}/m.parquet", prefer_path=True), f"{home}/m.csv")
     loaded = tables.load_manifest(spark, f"{home}/m.csv")
     tables.save_manifest(loaded, f"{home}/m.txt")
-    lines = spark.read.text(f"{home}/m.txt").withColumn("line", F.monotonically_increasing_id())  # one part: its lines in order
-    own = loaded.withColumn("line", F.monotonically_increasing_id())
+    lines = tables.numbered(spark.read.text(f"{home}/m.txt"))
+    own = tables.numbered(loaded)
     return own.join(lines, "line").where("value = audio_filepath").select("file_id", "audio_filepath", "line")
 
 
