@@ -9,11 +9,13 @@ import io
 import math
 import tarfile
 import uuid
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions import batches as batches_of
 from tokenloom.functions import names, sequences
 from tokenloom.operators import bigrams, checkpoints, evaluate, grid, metrics, quantize, tables
 from tokenloom.plans import flows
@@ -184,18 +186,24 @@ def stored_tensors(spark, sf_dir):
     return whole.select("key", grid.parameter_count(F.array("shape")).alias("n_params"), F.md5(F.aggregate("ps", F.lit(b""), lambda a, p: F.concat(a, p["data"]))).alias("digest"))
 
 
-def _files_of(df: DataFrame, home: str) -> int:
-    """Write rows (path, content) as a file each below ``home``, in the tasks that have them; returns how many."""
+def _files_of(df: DataFrame, home: str, content: Callable[..., bytes] = bytes) -> int:
+    """Write rows (path, and what ``content`` makes its bytes of) as a file each below ``home``, in the tasks that have them; returns how many.
 
-    def put(frames):
-        for f in frames:
-            for folder, name, content in zip(f["path"].str.rpartition("/")[0], f["path"].str.rpartition("/")[2], f["content"], strict=True):
-                store = Store(f"{home}/{folder}")
-                store.make()
-                store.write(name, bytes(content))
-            yield f[["path"]]
+    A file's bytes are made where they are written, one at a time.
+    """
+
+    def put(batches):
+        store, made = Store(home), set()
+        for paths, *parts in batches_of.slices(batches):
+            for path, *of in zip(paths, *parts, strict=True):
+                folder = path.rpartition("/")[0]
+                if folder not in made:
+                    Store(f"{home}/{folder}").make()
+                    made.add(folder)
+                store.write(path, content(*of))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
 
-    return df.select("path", "content").mapInPandas(put, "path string").count()
+    return df.mapInArrow(put, "path string").count()
 
 
 _SOUND_NAME = "CASE doc_id % 5 WHEN 1 THEN 'd' || doc_id || '.WAV' WHEN 2 THEN 'd' || doc_id || '.txt' WHEN 3 THEN '.d' || doc_id || '.wav' ELSE 'd.' || doc_id || '.wav' END"
@@ -220,20 +228,16 @@ def checked_shards(spark, sf_dir):
     """A tar file for each text, some cut short; those that can't be listed to their end."""
     home = _folder(spark)
 
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series, cut: pd.Series) -> pd.Series:
-        def one(text: str | None, short: bool) -> bytes:
-            out, body = io.BytesIO(), f"{text or ''} and more".encode()
-            with tarfile.open(fileobj=out, mode="w") as t:
-                info = tarfile.TarInfo("a.json")
-                info.size = len(body)
-                t.addfile(info, io.BytesIO(body))
-            return out.getvalue()[: 515 if short else None]
-
-        return pd.Series([one(t, c) for t, c in zip(texts, cut, strict=True)])
+    def packed(text: str | None, short: bool) -> bytes:
+        out, body = io.BytesIO(), f"{text or ''} and more".encode()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            info = tarfile.TarInfo("a.json")
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body))
+        return out.getvalue()[: 515 if short else None]
 
-    docs = table(spark, sf_dir, "documents").select(F.format_string("t/%d.tar", "doc_id").alias("path"), packed("text", F.col("doc_id") % 7 == 0).alias("content"))
-    _files_of(docs, home)
+    docs = table(spark, sf_dir, "documents").select(F.format_string("t/%d.tar", "doc_id").alias("path"), "text", (F.col("doc_id") % 7 == 0).alias("short"))
+    _files_of(docs, home, packed)
     return tar.broken_shards(spark, f"{home}/t/*.tar").select(F.regexp_extract("path", r"(\d+)\.tar$", 1).cast("bigint").alias("doc_id"))
 
 
