@@ -24,12 +24,16 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tokenloom.functions.batches import slices
+
 KINDS = ("email", "ip", "card", "phone")
 OUT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+_ARROW = pa.schema([(c.split()[0], pa.int64() if c.endswith("bigint") else pa.string()) for c in OUT.split(", ")])
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -338,17 +342,15 @@ def show(spans: list[Span]) -> str:
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, counts and digest of the base spans, and all spans."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in slices(batches):
             rows = []
-            for i, text in zip(f["doc_id"], f["text"], strict=True):
+            for i, text in zip(ids, texts, strict=True):
                 base, more = find(text)
                 rows.append((i, *(sum(k == n for k, _, _ in base) for n in range(4)), hashlib.sha256(show(base).encode()).hexdigest(), show(base + more)))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types, strict=True)], schema=_ARROW)
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInPandas(run, OUT)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, OUT)
 
 
 def redacted(text: str | None) -> str | None:
