@@ -93,3 +93,21 @@ def test_tied_head_and_scores(spark, tmp_path):
         tensors.write_tensors(spark.createDataFrame(rows_of(tied), SCHEMA), f"{tmp_path}/t{head}")
         found = {r.key: bytes(r.data) for r in checkpoints.model_tensors(tensors.read_tensors(spark, f"{tmp_path}/t{head}")).collect()}
         assert found == {"transformer.wte.weight": np.arange(4.0).tobytes(), "lm_head.weight": tied.get("lm_head.weight", np.arange(4.0)).tobytes()}
+
+
+def test_many_small_tensors(spark, tmp_path):
+    """Tasks follow the bytes, not the tensors; each part comes once at any size of tasks; very many tensors roll files."""
+    w = {f"t{k}": np.full(k % 50, k % 256, "u1") for k in range(2000)} | {"big": np.arange(9000, dtype="u1")}
+    tensors.write_tensors(spark.createDataFrame(rows_of(w), SCHEMA).coalesce(1), f"{tmp_path}/m", mosttensors=600)
+    assert len(os.listdir(f"{tmp_path}/m")) == 4
+    for task, parts in ((1 << 40, 4), (40_000, None), (700, None)):
+        read = tensors.read_tensors(spark, f"{tmp_path}/m", maxbytes=1000, taskbytes=task)
+        found = {}
+        for r in read.orderBy("name", "part").collect():
+            assert r.n_bytes == len(r.data) <= 1000
+            found.setdefault(r.name, []).append((r.part, bytes(r.data)))
+        assert {k: b"".join(d for _, d in v) for k, v in found.items()} == {k: v.tobytes() for k, v in w.items()}
+        assert all([p for p, _ in v] == list(range(len(v))) for v in found.values())
+        assert parts is None or read.rdd.getNumPartitions() == parts
+    plan = checkpoints.model_tensors(tensors.read_tensors(spark, f"{tmp_path}/m"), tensors.read_tensors(spark, f"{tmp_path}/m", data=False))
+    assert plan.count() == 2001 and plan._jdf.queryExecution().optimizedPlan().toString().count("RelationV2") == 2  # of the data, one scan

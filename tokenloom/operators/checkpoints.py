@@ -58,13 +58,17 @@ def with_tied_head(keys: DataFrame, key: str = "key") -> DataFrame:
     return own.union(has.where("h = 0 AND e = 1").select(F.lit(head), F.lit(embedding)))
 
 
-def model_tensors(tensors: DataFrame) -> DataFrame:
+def model_tensors(tensors: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(key, name, dtype, shape, part, n_bytes, data): the tensors under the keys that a model needs, the tied head from its embedding.
 
-    The keys of a model are few, its data is not: only the keys are looked up.
+    Data is read once and meets one row that says whether there is a head, found among ``names`` (a column ``name``, as from a
+    scan of headers alone) or the tensors themselves.
     """
-    keys = with_tied_head(tensors.where("part = 0").select("name"), "name").withColumnRenamed("source", "name")
-    return tensors.drop("file").join(F.broadcast(keys), "name").select("key", "name", "dtype", "shape", "part", "n_bytes", "data")
+    head, embedding = "lm_head.weight", "transformer.wte.weight"
+    has = (tensors if names is None else names).agg(F.coalesce(F.max((F.col("name") == head).cast("int")), F.lit(0)).alias("_head"))
+    own = F.array("name")
+    keys = F.when((F.col("name") == embedding) & (F.col("_head") == 0), F.concat(own, F.array(F.lit(head)))).otherwise(own)
+    return tensors.drop("file").crossJoin(F.broadcast(has)).withColumn("key", F.explode(keys)).select("key", "name", "dtype", "shape", "part", "n_bytes", "data")
 
 
 def latest_checkpoint(paths: DataFrame, run: str = "run", path: str = "path") -> DataFrame:

@@ -175,13 +175,14 @@ def stored_centroids(spark, sf_dir):
 @query("""WITH t AS (SELECT 'h.' || doc_id || '.weight' AS key, strlen(text)::BIGINT AS n_params, md5(text) AS digest, doc_id FROM documents WHERE text IS NOT NULL)
 SELECT key, n_params, digest FROM t UNION ALL SELECT 'transformer.wte.weight', n_params, digest FROM t WHERE doc_id = (SELECT min(doc_id) FROM t) UNION ALL SELECT 'lm_head.weight', n_params, digest FROM t WHERE doc_id = (SELECT min(doc_id) FROM t)""")
 def stored_tensors(spark, sf_dir):
-    """Texts as tensors of bytes in files of a few tasks, read by ranges; the missing head comes from the embedding."""
+    """Texts as tensors of bytes, in files of three tasks or more by their size, read by ranges; the missing head comes from the embedding."""
     home, docs = _folder(spark), table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("data"))
     first = docs.agg(F.min("doc_id")).first()[0]
     named = docs.select(F.format_string("h.%d.weight", "doc_id").alias("name"), "data").union(docs.where(F.col("doc_id") == first).select(F.lit("transformer.wte.weight"), "data"))
     rows = named.select("name", F.lit("U8").alias("dtype"), F.array(F.octet_length("data").cast("bigint")).alias("shape"), "data")
-    tensors.write_tensors(rows.repartition(3), home, "overwrite")
-    read = checkpoints.model_tensors(tensors.read_tensors(spark, home, maxbytes=100_000))
+    writers = max(3, docs.count() // 20_000)
+    tensors.write_tensors(rows.repartition(writers), home, "overwrite")
+    read = checkpoints.model_tensors(tensors.read_tensors(spark, home, maxbytes=100_000, taskbytes=32 << 20), tensors.read_tensors(spark, home, data=False, taskbytes=1 << 40))
     whole = read.groupBy("key").agg(F.max("shape").alias("shape"), F.array_sort(F.collect_list(F.struct("part", "data"))).alias("ps"))
     return whole.select("key", grid.parameter_count(F.array("shape")).alias("n_params"), F.md5(F.aggregate("ps", F.lit(b""), lambda a, p: F.concat(a, p["data"]))).alias("digest"))
 
