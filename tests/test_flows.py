@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators import encoders, tables
 from tokenloom.plans import flows
-from tokenloom.sources import tar
+from tokenloom.sources import files, tar
 
 
 def wav(x, rate=8000):
@@ -92,3 +92,28 @@ def test_audio_is_not_shuffled(spark, tmp_path):
     done = flows.encode_paths(manifest.repartition(4), "audio_filepath", "/x", "levels", 1.0)
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_short_sounds_are_only_counted(monkeypatch):
+    """A sound that is skipped for its length is not resampled; what is as long as asked for is."""
+    real, runs = files.Polyphase.run, []
+    monkeypatch.setattr(files.Polyphase, "run", lambda self, parts: runs.append(1) or real(self, parts))
+    body = wav(np.ones(800) * 0.5)
+    x, n, rate = files.decode_at(body, least=0.2)
+    assert (len(x), n, rate, runs) == (0, 800, 8000, [])
+    x, n, rate = files.decode_at(body, least=0.1)
+    assert (len(x), n, rate, runs) == (1600, 800, 8000, [1])
+
+
+def test_arrays_of_shards_are_numpys():
+    """The bytes that numpy writes, and all that it reads, also where an array isn't written as here."""
+    for t in ([], [1], [-5, 32767, -32768], list(range(5000))):
+        want = io.BytesIO()
+        np.save(want, np.asarray(t, np.int16))
+        [(_, body)], wrong = tar._body({"key": "k", "tokens": t})
+        assert body == want.getvalue() and wrong is None and tar._loaded(body) == t
+        other = io.BytesIO()
+        np.save(other, np.asarray(t, ">i4").reshape(1, -1) % 100)
+        assert tar._loaded(other.getvalue()) == [v % 100 for v in t]
+    with pytest.raises(ValueError):
+        tar._loaded(body[:-3])

@@ -37,7 +37,7 @@ def _encoding(encoder: str, min_seconds: float, body: Callable[[object], bytes],
 
         def one(value) -> tuple:
             try:
-                x, n, rate = files.decode_at(bytes(body(value)))
+                x, n, rate = files.decode_at(bytes(body(value)), least=min_seconds)
             except Exception as e:  # a bad file is counted, not fatal
                 return None, None, None, str(e)[:100] or type(e).__name__, None
             if not n or n / rate < min_seconds:

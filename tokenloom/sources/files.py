@@ -189,8 +189,11 @@ def resample(x: np.ndarray, rate: int, to: int = RATE, zeros: int = 16) -> np.nd
     return np.concatenate(list(_bank(rate, to, zeros).run(x[at : at + FRAMES] for at in range(0, len(x), FRAMES))))
 
 
-def decode_at(body: bytes, to: int = RATE) -> tuple[np.ndarray, int, int]:
-    """(samples of the first channel at the rate ``to``, samples there were, rate there was), a part of the file at a time."""
+def decode_at(body: bytes, to: int = RATE, least: float = 0.0) -> tuple[np.ndarray, int, int]:
+    """(samples of the first channel at the rate ``to``, samples there were, rate there was), a part of the file at a time.
+
+    What is shorter than ``least`` seconds by its header is only counted; no sample of it is returned.
+    """
     with wave.open(io.BytesIO(body)) as w:
         width, channels, rate, n = w.getsampwidth(), w.getnchannels(), w.getframerate(), 0
 
@@ -201,6 +204,9 @@ def decode_at(body: bytes, to: int = RATE) -> tuple[np.ndarray, int, int]:
                 n += len(x)
                 yield x
 
+        if w.getnframes() < least * rate:
+            done = (x[:0] for x in parts())
+            return np.concatenate([np.empty(0, np.float32), *done]), n, rate
         done = parts() if rate == to else _bank(rate, to, 16).run(parts())
         return np.concatenate([np.empty(0, np.float32), *done]), n, rate
 
