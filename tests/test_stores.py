@@ -273,3 +273,19 @@ def test_manifest_lines_over_many_parts(spark, tmp_path):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+def test_wide_folders_are_listed_a_few_times(tmp_path, monkeypatch):
+    """The tasks of a folder each list it whole, so their number is bounded; a local listing looks at no file by itself."""
+    os.makedirs(f"{tmp_path}/a/b")
+    for k in range(300):
+        open(f"{tmp_path}/a/{k}.wav", "w").close()
+    os.symlink(f"{tmp_path}/a/7.wav", f"{tmp_path}/a/b/link.wav")
+    os.symlink(f"{tmp_path}/gone", f"{tmp_path}/a/b/lost.wav")
+    walker = files._Walker(str(tmp_path), False, "", 5)
+    parts, looked, real = walker.partitions(), [], os.path.realpath
+    assert sum(p.slices > 0 for p in parts) == files.MOST_SLICES < 300 / 5
+    monkeypatch.setattr(os.path, "realpath", lambda p: looked.append(p) or real(p))
+    got = sorted(p for part in parts for (p,) in walker.read(part))
+    assert got == sorted([real(f"{tmp_path}/a/{k}.wav") for k in range(300)] + [real(f"{tmp_path}/a/7.wav")])
+    assert len(looked) <= len(parts) + 1

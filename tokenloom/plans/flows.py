@@ -71,9 +71,13 @@ def encode_audio(df: DataFrame, encoder: str, min_seconds: float, content: str =
 def encode_paths(df: DataFrame, path: str, root: str, encoder: str, min_seconds: float, store: str = "", **options) -> DataFrame:
     """The same for a column of paths below ``root``, each read by the task that encodes it, from any store."""
 
+    homes: list[Store] = []  # made once in a worker
+
     def body(p: object) -> bytes:
-        home = Store(root, store)
-        whole = Store(str(p), store).root
+        homes[:] = homes or [Store(root, store)]
+        home, whole = homes[0], str(p)
+        if not whole.startswith(home.at("")):
+            whole = Store(whole, store).root
         if not whole.startswith(home.at("")):
             raise ValueError(f"the file is not below {root}")
         return home.read(whole[len(home.at("")) :])

@@ -219,7 +219,7 @@ def scanned_sounds(spark, sf_dir):
     name = ending.when(F.col("doc_id") % 5 == 3, F.concat(F.lit(".d"), i, F.lit(".wav"))).otherwise(F.concat(F.lit("d."), i, F.lit(".wav")))
     path = F.concat(F.coalesce("lang", F.lit("none")), F.when(F.col("doc_id") % 3 == 0, "/more/").otherwise("/"), name)
     _files_of(table(spark, sf_dir, "documents").select(path.alias("path"), _sound(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("content")), home)
-    found = files.scan_directory(spark, home)
+    found = files.scan_directory(spark, home).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
     done = flows.encode_paths(found, "audio_filepath", home, "levels", 0.0)
     return done.select(F.regexp_extract("audio_filepath", "/roundtrip-[0-9a-f]+/(.*)$", 1).alias("path"), "file_id", "n_samples", "native_rate", "status")
 

@@ -26,8 +26,8 @@ from tokenloom.sources.store import Store
 RATE = 16_000
 
 
-#: Files of one folder that a task lists by itself, and tasks that one folder is split into at most.
-LISTED, MOST_SLICES = 1000, 256
+#: Files of one folder that a task lists by itself, and tasks that one folder is split into at most: each lists the whole folder.
+LISTED, MOST_SLICES = 1000, 16
 
 
 class _Part(InputPartition):
@@ -66,12 +66,13 @@ class _Walker(DataSourceReader):
         local = isinstance(store.fs, fs.LocalFileSystem)
         while todo:
             folder = todo.pop()
-            for name, is_file in sorted(store.entries(folder)):
+            real = os.path.realpath(folder) if local else folder.rstrip("/")
+            for name, is_file in store.entries(folder):
                 whole = f"{folder.rstrip('/')}/{name}"
                 if not is_file:
                     todo += [] if partition.slices or (local and os.path.islink(whole)) else [whole]
                 elif os.path.splitext(name)[1].lower() in AUDIO_SUFFIXES and (not partition.slices or zlib.crc32(name.encode()) % partition.slices == partition.own):
-                    yield (os.path.realpath(whole) if local else whole,)
+                    yield (os.path.realpath(whole) if local and os.path.islink(whole) else f"{real.rstrip('/')}/{name}",)
 
 
 class AudioWalk(DataSource):

@@ -8,6 +8,7 @@ for. No step needs a rename to be atomic; only files of tensors are read at chos
 from __future__ import annotations
 
 import importlib
+import os
 import re
 from collections.abc import Iterable
 
@@ -36,7 +37,13 @@ class Store:
         return sorted(n for n, is_file in self.entries() if is_file and n.endswith(suffix) and (hidden or not n.startswith(".")))
 
     def entries(self, folder: str | None = None) -> Iterable[tuple[str, bool]]:
-        """(name, is a file) of what a folder holds."""
+        """(name, is a file) of what a folder holds. A local one is read without looking at each file."""
+        if isinstance(self.fs, fs.LocalFileSystem):
+            try:
+                with os.scandir(folder or self.root) as found:
+                    return [(e.name, e.is_file()) for e in found if e.is_file() or e.is_dir()]
+            except FileNotFoundError:
+                return []
         found = self.fs.get_file_info(fs.FileSelector(folder or self.root, allow_not_found=True))
         return [(i.base_name, i.type == fs.FileType.File) for i in found if i.type in (fs.FileType.File, fs.FileType.Directory)]
 
