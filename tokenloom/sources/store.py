@@ -10,7 +10,7 @@ from __future__ import annotations
 import importlib
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,16 +36,17 @@ class Store:
         """The files directly in the folder, sorted."""
         return sorted(n for n, is_file in self.entries() if is_file and n.endswith(suffix) and (hidden or not n.startswith(".")))
 
-    def entries(self, folder: str | None = None) -> Iterable[tuple[str, bool]]:
-        """(name, is a file) of what a folder holds. A local one is read without looking at each file."""
+    def entries(self, folder: str | None = None) -> Iterator[tuple[str, bool]]:
+        """(name, is a file) of what a folder holds. A local one is read without looking at each file or holding their names."""
         if isinstance(self.fs, fs.LocalFileSystem):
             try:
                 with os.scandir(folder or self.root) as found:
-                    return [(e.name, e.is_file()) for e in found if e.is_file() or e.is_dir()]
+                    yield from ((e.name, e.is_file()) for e in found if e.is_file() or e.is_dir())
             except FileNotFoundError:
-                return []
+                pass
+            return
         found = self.fs.get_file_info(fs.FileSelector(folder or self.root, allow_not_found=True))
-        return [(i.base_name, i.type == fs.FileType.File) for i in found if i.type in (fs.FileType.File, fs.FileType.Directory)]
+        yield from ((i.base_name, i.type == fs.FileType.File) for i in found if i.type in (fs.FileType.File, fs.FileType.Directory))
 
     def exists(self, name: str) -> bool:
         return self.fs.get_file_info(self.at(name)).type == fs.FileType.File

@@ -21,6 +21,7 @@ import tarfile
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from tokenloom.functions import batches as batches_of
 from tokenloom.functions.names import segment_key
 from tokenloom.sources.store import Store
 
@@ -466,12 +468,48 @@ def with_meta(df: DataFrame) -> DataFrame:
     return df.withColumn("meta", F.from_json("meta", META))
 
 
+#: What Spark doesn't read of a folder, as the beginning of a regular expression of names.
+_SHOWN = r"(?!\.|_(?!.*=)|.*\._COPYING_$)"
+
+
+def _places(spark: SparkSession, glob_path: str) -> list[tuple[str, str]]:
+    """The folders that a path with wildcards finds files in, each with a regular expression of their names; both by Hadoop's rules."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for one in hadoop.GlobExpander.expand(glob_path):
+        path = hadoop.Path(one)
+        own = path.getFileSystem(conf)
+        path = own.makeQualified(path)
+        names = _SHOWN + hadoop.GlobPattern(path.getName()).compiled().pattern()
+        found += [(f.getPath().toString(), names) for f in own.globStatus(path.getParent()) or [] if f.isDirectory()]
+    return found
+
+
+def _below(folder: str, names: str, store: str) -> Iterator[str]:
+    """The files of a folder whose names match, and those directly in its folders whose names do."""
+    own, match = Store(folder, store), re.compile(names, re.S).fullmatch
+    for name, is_file in own.entries():
+        if match(name):
+            if is_file:
+                yield f"{folder.rstrip('/')}/{name}"
+            elif not store:
+                yield from (f"{folder.rstrip('/')}/{name}/{n}" for n, f in own.entries(own.at(name)) if f and re.match(_SHOWN, n, re.S))
+
+
 def broken_shards(spark: SparkSession, glob_path: str, store: str = "") -> DataFrame:
     """(path, error) of the tar files that can't be listed to their end; each is read as a stream.
 
-    Spark lists them. With a factory, ``glob_path`` is a folder of its store, and all its .tar files are read.
+    Spark finds the folders; a task lists all of a folder, and their files are dealt to as many tasks as a shuffle has. A path
+    without files is an error. With a factory, ``glob_path`` is a folder of its store, and all its .tar files are read.
     """
 
+    def listed(batches):
+        for folders, names in batches_of.slices(batches):
+            for place in zip(folders, names, strict=True):
+                paths = _below(*place, store)
+                while some := list(islice(paths, 1024)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["path"])
+
     def test(frames):
         import pandas as pd
 
@@ -492,9 +530,8 @@ def broken_shards(spark: SparkSession, glob_path: str, store: str = "") -> DataF
                     rows.append((path, str(e)[:100]))
             yield pd.DataFrame(rows, columns=["path", "error"])
 
-    if store:
-        names = [(Store(glob_path, store).at(n),) for n in Store(glob_path, store).names(".tar")]
-        paths = spark.createDataFrame(names, "path string").repartition(max(1, len(names)))
-    else:
-        paths = spark.read.format("binaryFile").load(glob_path).select("path")
-    return paths.mapInPandas(test, "path string, error string")
+    places = [(glob_path, r"(?!\.).*\.tar")] if store else _places(spark, glob_path)
+    if not store and not any(True for p in places for _ in _below(*p, store)):
+        raise FileNotFoundError(f"there are no files {glob_path}")
+    paths = spark.createDataFrame(places, "folder string, names string").mapInArrow(listed, "path string")
+    return paths.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInPandas(test, "path string, error string")
